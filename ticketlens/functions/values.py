@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticketlens.functions.text import as_column, blank_to_null, casefold, clean_text, strip
+from ticketlens.functions.text import as_column, blank_to_null, clean_text, simple_casefold, strip
 
 # Labels written by the ticket system.
 MISSING_LABEL = "Не указано"
@@ -26,6 +28,11 @@ _INFINITE_PART = r"\s*[+-]?(?i:inf(?:inity)?)\s*"
 _DURATION_OR_INFINITE = rf"^-?(?:{_PART}|{_INFINITE_PART}):(?:{_PART}|{_INFINITE_PART})(?::(?:{_PART}|{_INFINITE_PART}))?$"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Apply ``use`` to ``value`` evaluated once, however often ``use`` mentions it."""
+    return F.transform(F.array(value), lambda x: use(x))[0]
+
+
 def _finite(number: Column) -> Column:
     return F.when(number.between(-_LARGEST, _LARGEST), number)
 
@@ -60,15 +67,18 @@ def label(value: Column | str, missing: str | None = MISSING_LABEL) -> Column:
 
 def duration_hours(value: Column | str, allow_infinite: bool = False) -> Column:
     """``[-]H:MM[:SS]`` in hours. Parts may be fractional and are not limited to 0-59."""
-    text = strip(value)
-    body = F.regexp_replace(text, r"^-|[_\s]", "")
+    layout = _DURATION_OR_INFINITE if allow_infinite else _DURATION
 
-    def part(n: int) -> Column:
-        return F.split_part(body, F.lit(":"), F.lit(n)).try_cast("double")
+    def total(parts: Column) -> Column:
+        hours, minutes, seconds = [F.get(parts, F.lit(i)).try_cast("double") for i in range(3)]
+        return hours + minutes / 60 + F.coalesce(seconds, F.lit(0.0)) / 3600
 
-    total = part(1) + part(2) / 60 + F.coalesce(part(3), F.lit(0.0)) / 3600
-    sign = F.when(text.startswith("-"), -1.0).otherwise(1.0)
-    return F.when(text.rlike(_DURATION_OR_INFINITE if allow_infinite else _DURATION), sign * total)
+    def parse(text: Column) -> Column:
+        sign = F.when(text.startswith("-"), -1.0).otherwise(1.0)
+        parts = F.split(F.regexp_replace(text, r"^-|[_\s]", ""), ":")
+        return F.when(text.rlike(layout), sign * bound(parts, total))
+
+    return bound(strip(value), parse)
 
 
 def strict_duration_seconds(value: Column | str) -> Column:
@@ -115,9 +125,10 @@ def _calendar(text: Column, swap: bool) -> Column:
 
 def ticket_datetime(value: Column | str) -> Column:
     """ISO first, then day-first calendar text, else null."""
-    text = strip(value)
-    return (F.when(text.rlike(_ISO), _without_offset(text)).when(text.rlike(_DAY_FIRST), _calendar(text, swap=True))
-            .try_cast("timestamp_ntz"))
+    def parse(text: Column) -> Column:
+        return F.when(text.rlike(_ISO), _without_offset(text)).when(text.rlike(_DAY_FIRST), _calendar(text, swap=True))
+
+    return bound(strip(value), parse).try_cast("timestamp_ntz")
 
 
 def audit_datetime(value: Column | str, layout: str) -> Column:
@@ -137,8 +148,8 @@ def clarification_count_batch(value: Column | str) -> Column:
 
 
 def overdue_flag(value: Column | str, yes: str = OVERDUE_LABEL, no: str = NOT_OVERDUE_LABEL) -> Column:
-    text = casefold(clean_text(value))
-    return F.when(text == yes.casefold(), 1).when(text == no.casefold(), 0)
+    return bound(simple_casefold(clean_text(value)),
+                 lambda text: F.when(text == yes.casefold(), 1).when(text == no.casefold(), 0))
 
 
 def overdue_flag_batch(value: Column | str, yes: str = OVERDUE_LABEL) -> Column:

@@ -95,15 +95,16 @@ def needs_enrichment(columns: Sequence[str]) -> bool:
 
 
 def top_values(rows: DataFrame, column: str, limit: int = TOP_CATEGORIES, exclude: str | None = None,
-               seen_order: str | None = None) -> DataFrame:
+               seen_order: str | None = None, weight: str | None = None) -> DataFrame:
     """The ``limit`` most frequent values. Ties go to the first seen value, or to the smaller one.
 
-    The result never has more than ``limit`` rows, so it may always be broadcast.
+    ``weight`` names a row count when ``rows`` is already counted. The result
+    never has more than ``limit`` rows, so it may always be broadcast.
     """
     present = rows.filter(F.col(column).isNotNull())
     if exclude is not None:
         present = present.filter(F.col(column) != exclude)
-    measures = [F.count(F.lit(1)).alias("count")]
+    measures = [(F.sum(weight) if weight else F.count(F.lit(1))).alias("count")]
     order = [F.desc("count")]
     if seen_order:
         measures.append(F.min(seen_order).alias("first_seen"))
@@ -118,6 +119,13 @@ def group_tail(rows: DataFrame, column: str, out: str, top: DataFrame, other: st
     return joined.withColumn(out, F.coalesce("_listed", F.lit(other))).drop("_listed")
 
 
+def _category_counts(raw: DataFrame, clean: Callable[[Column], Column], seen_order: str | None = None) -> DataFrame:
+    """Rows per category: counted as written first, so that only distinct spellings are cleaned."""
+    seen = [F.min(seen_order).alias("first_seen")] if seen_order else []
+    counted = raw.groupBy(CATEGORY).agg(F.count(F.lit(1)).alias("rows"), *seen)
+    return counted.select(clean(F.col(CATEGORY)).alias("category_original"), "rows", *(["first_seen"] if seen_order else []))
+
+
 _LINE_COLUMNS = {f"line_{n}_{kind}_h": names[n] for n in LINES for kind, names in (("react", REACT), ("work", WORK))}
 
 
@@ -182,7 +190,8 @@ def enrich_tickets(raw: DataFrame, seen_order: str | None = None, top_n: int = T
         "is_multiline": (F.col("lines_count") > 1).cast("int"),
         "is_high_clarifications": (F.col("clarifications_cnt") >= 2).cast("int"),
     })
-    top = top_values(rows, "category_original", top_n, exclude=v.OTHER_CATEGORY, seen_order=seen_order)
+    top = top_values(_category_counts(raw, tx.clean_text, seen_order), "category_original", top_n, v.OTHER_CATEGORY,
+                     "first_seen" if seen_order else None, "rows")
     rows = group_tail(rows, "category_original", "category_grouped", top)
     return rows.select(*kept, *RUNTIME_OUTPUT)
 
@@ -233,7 +242,7 @@ def enrich_tickets_batch(raw: DataFrame, top_n: int = TOP_CATEGORIES) -> DataFra
         "is_multiline": (F.col("lines_count") > 1).cast("int"),
         "lines_count_changed": (F.col("lines_count") != F.col("_work_lines")).cast("int"),
     })
-    top = top_values(rows, "category_original", top_n, exclude=v.OTHER_CATEGORY)
+    top = top_values(_category_counts(raw, tx.clean_text_batch), "category_original", top_n, v.OTHER_CATEGORY, None, "rows")
     return group_tail(rows, "category_original", "category_grouped", top).select(*BATCH_OUTPUT)
 
 
