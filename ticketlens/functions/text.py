@@ -127,7 +127,7 @@ def word_tokens(value: Column | str, pattern: str = WORD_2) -> Column:
 
 def token_set(value: Column | str) -> Column:
     """Sorted distinct words of already normalised text."""
-    return F.array_sort(F.array_distinct(word_tokens(value, WORD)))
+    return F.sort_array(F.array_distinct(word_tokens(value, WORD)))
 
 
 def search_words(value: Column | str) -> Column:

@@ -68,6 +68,7 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - _SLACK) + 1)
         .select("rep", "size", "token", "place")
     )
+    prefix = materialize(prefix, "prefixes")
     left = prefix.select(*[F.col(c).alias(f"{c}_a") for c in prefix.columns])
     right = prefix.select(*[F.col(c).alias(f"{c}_b") for c in prefix.columns])
     fits = (
@@ -129,15 +130,16 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 50)
     Alternates large-star and small-star steps (Kiveris et al. 2014), which
     need a logarithmic number of rounds in practice. Each round writes the edge
     set to the shared scratch folder, so that a lost executor costs one round.
-    Hubs meet their minimum through a skew-safe join.
+    Hubs meet their minimum through a skew-safe join. The rounds end as soon as
+    every component is a star around its smallest vertex.
     """
     current = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
 
-    def star(links: DataFrame, large: bool) -> DataFrame:
+    def star(links: DataFrame, large: bool, total: int) -> DataFrame:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links
         lowest = both.groupBy("u").agg(F.min("v").alias("_low"), F.count(F.lit(1)).alias("_links"))
         lowest = lowest.withColumn("_low", F.least("u", "_low"))
-        met = attach_by_key(both, lowest, "u", "_links", ["u", "v"])
+        met = attach_by_key(both, lowest, "u", "_links", ["u", "v"], total=total)
         if large:
             moved = met.filter("v > u").select(F.col("v").alias("u"), F.col("_low").alias("v"))
         else:
@@ -145,16 +147,19 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 50)
                 lowest.select("u", F.col("_low").alias("v")))
         return moved.filter("u <> v").distinct()
 
-    def fingerprint(links: DataFrame) -> tuple:
-        return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def shape(links: DataFrame) -> tuple[int, bool]:
+        """Number of links, and whether they are stars: every vertex has one parent or is one, never both."""
+        roles = links.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(
+            links.select(F.col("v").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+        seen = roles.groupBy("x").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+        total, worst = seen.agg(F.coalesce(F.sum("child"), F.lit(0)), F.coalesce(F.max(F.col("child") + F.col("parent")), F.lit(0))).first()
+        return total, worst <= 1
 
-    seen = fingerprint(current)
     for _ in range(max_rounds):
-        current = materialize(star(star(current, large=True), large=False), "edges")
-        now = fingerprint(current)
-        if now == seen:
+        total, settled = shape(current)
+        if settled:
             break
-        seen = now
+        current = materialize(star(star(current, True, 2 * total), False, 2 * total), "edges")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     members = current.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
@@ -173,7 +178,8 @@ def duplicate_groups(prepared: TokenSets, pairs: DataFrame) -> DataFrame:
     smallest = prepared.rows.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("normal").alias("_text"))
     placed = sets.join(smallest, "set_key")
     names = placed.groupBy("component").agg(F.sha2(F.min("_text"), 256).alias("duplicate_group"), F.count(F.lit(1)).alias("_sets"))
-    named = attach_by_key(placed.select("set_key", "copies", "component"), names, "component", "_sets", ["set_key"])
+    size = prepared.rows.count()
+    named = attach_by_key(placed.select("set_key", "copies", "component"), names, "component", "_sets", ["set_key"], total=size)
     facts = materialize(named.select("set_key", "copies", "duplicate_group"), "set_groups")
-    joined = attach_by_key(prepared.rows, facts, "set_key", "copies", ["id"])
+    joined = attach_by_key(prepared.rows, facts, "set_key", "copies", ["id"], total=size)
     return joined.select("id", "normal", F.coalesce("duplicate_group", F.sha2("normal", 256)).alias("duplicate_group"))

@@ -17,15 +17,22 @@ SPREAD = 256
 
 
 def attach_by_key(rows: DataFrame, facts: DataFrame, key: str, weight: str,
-                  spread_by: Sequence[str] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+                  spread_by: Sequence[str] | None = None, hot_rows: int = HOT_ROWS,
+                  total: int | None = None) -> DataFrame:
     """Left join ``rows`` to ``facts`` (one row per ``key``) without a hot partition.
 
     ``weight`` is the number of rows per key. The heaviest keys, at most
     ``HOT_KEYS`` of them, are looked up by broadcast; their rows then take part
     in the shuffle under a spread-out dummy key. All other rows meet their facts
-    in an ordinary shuffle join.
+    in an ordinary shuffle join. ``total``, the number of rows when it is known,
+    spares the look-up where no key can be hot.
     """
+    # The same filter in both uses of the facts lets Spark compute them once.
+    facts = facts.filter(F.col(key).isNotNull())
     added = [c for c in facts.columns if c != key]
+    if total is not None and total < hot_rows:
+        plain = facts.select(F.col(key).alias("_cold_key"), *added)
+        return rows.join(plain, F.col(key) == F.col("_cold_key"), "left").drop("_cold_key")
     hot = (
         facts.filter(F.col(weight) >= hot_rows)
         .orderBy(F.desc(weight), F.asc(key)).limit(HOT_KEYS)

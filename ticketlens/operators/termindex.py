@@ -14,6 +14,8 @@ WORD_FEATURES = 40_000
 CHAR_FEATURES = 60_000
 TOP_HITS = 5
 MIN_SIMILARITY = 0.1
+# Scores are compared at this precision, so that equal texts tie whatever the order of their sums.
+SCORE_DIGITS = 9
 
 
 def search_terms(text: Column) -> Column:
@@ -26,19 +28,32 @@ def classifier_terms(text: Column) -> Column:
     return tx.word_ngrams(tx.classifier_words(text), 2)
 
 
+def by_document(texts: DataFrame, id_column: str, text: str) -> DataFrame:
+    """Texts hashed by document over all shuffle partitions.
+
+    The count is explicit because texts grow many times over when they are cut
+    into terms: partitions must not be merged by the size of the texts.
+    """
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return texts.select(F.col(id_column).alias("doc"), F.col(text).alias("_text")).repartition(partitions, "doc")
+
+
 def term_counts(texts: DataFrame, id_column: str, text: str, terms: Callable[[Column], Column] = search_terms) -> DataFrame:
     """(doc, term, tf). The texts are placed by document once; everything per document then needs no shuffle."""
-    placed = texts.select(F.col(id_column).alias("doc"), F.col(text).alias("_text")).repartition("doc")
+    placed = by_document(texts, id_column, text)
     return placed.select("doc", F.explode(terms(F.col("_text"))).alias("term")).groupBy("doc", "term").agg(
         F.count(F.lit(1)).alias("tf"))
 
 
 def char_counts(texts: DataFrame, id_column: str, text: str, shortest: int = 3, longest: int = 5) -> DataFrame:
     """(doc, term, tf) of character n-grams inside padded words; repeated words are cut up once."""
-    placed = texts.select(F.col(id_column).alias("doc"), F.col(text).alias("_text")).repartition("doc")
+    placed = by_document(texts, id_column, text)
     words = placed.select("doc", F.explode(tx.padded_words("_text")).alias("_word")).groupBy("doc", "_word").agg(
         F.count(F.lit(1)).alias("_n"))
-    grams = words.select("doc", "_n", F.explode(tx.char_ngrams(F.col("_word"), shortest, longest)).alias("term"))
+    starts = words.select("doc", "_n", "_word", F.explode(F.sequence(F.lit(1), F.length("_word") - (shortest - 1))).alias("_at"))
+    cuts = [F.when(F.col("_at") + (n - 1) <= F.length("_word"), F.substring("_word", F.col("_at"), F.lit(n)))
+            for n in range(shortest, longest + 1)]
+    grams = starts.select("doc", "_n", F.explode(F.array(*cuts)).alias("term")).filter(F.col("term").isNotNull())
     return grams.groupBy("doc", "term").agg(F.sum("_n").alias("tf"))
 
 
@@ -93,7 +108,7 @@ def pair_scores(queries: DataFrame, postings: DataFrame) -> DataFrame:
     """
     wanted = queries.select(F.col("doc").alias("query"), "term", F.col("weight").alias("_q"))
     return (postings.join(wanted, "term").groupBy("doc", "query")
-            .agg(F.sum(F.col("weight") * F.col("_q")).alias("score")).select("query", "doc", "score"))
+            .agg(F.round(F.sum(F.col("weight") * F.col("_q")), SCORE_DIGITS).alias("score")).select("query", "doc", "score"))
 
 
 def spread_terms(queries: DataFrame, postings: DataFrame, weights: DataFrame, rows_per_lane: int = 1_000_000) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("ticket_queries", "data_queries", "text_queries")
+_MODULES = ("ticket_queries", "data_queries", "text_queries", "model_queries")
 
 
 def load_queries():

@@ -303,7 +303,7 @@ def _known_words(spark: SparkSession, folder: str) -> DataFrame:
 SEARCH_SQL = f"""counts AS ({sql_counts('documents', 'doc_id')}),
     weights AS ({sql_weights('counts', '(SELECT count(*) FROM documents)', 1)}), corpus AS ({sql_tfidf('counts', 'weights')}),
     qcounts AS ({sql_counts('benchmark', 'item_id')}), asked AS ({sql_tfidf('qcounts', 'weights')}),
-    scores AS (SELECT q.doc AS query, c.doc AS doc, sum(q.weight * c.weight) AS score FROM asked q JOIN corpus c USING (term) GROUP BY 1, 2),
+    scores AS (SELECT q.doc AS query, c.doc AS doc, round(sum(q.weight * c.weight), 9) AS score FROM asked q JOIN corpus c USING (term) GROUP BY 1, 2),
     hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM scores WHERE score > 0) WHERE rank <= 5)"""
 
 
@@ -332,7 +332,7 @@ RETRIEVAL_SQL = PREPARED_SQL + f""",
     train AS (SELECT id, text_clean AS text FROM prepared WHERE split = 'train'), asked_rows AS (SELECT id, text_clean AS text FROM prepared WHERE split = 'test'),
     counts AS ({sql_counts('train', 'id')}), weights AS ({sql_weights('counts', '(SELECT count(*) FROM train)', 2)}), corpus AS ({sql_tfidf('counts', 'weights')}),
     qcounts AS ({sql_counts('asked_rows', 'id')}), asked AS ({sql_tfidf('qcounts', 'weights')}),
-    scores AS (SELECT q.doc AS query, c.doc AS doc, sum(q.weight * c.weight) AS score FROM asked q JOIN corpus c USING (term) GROUP BY 1, 2),
+    scores AS (SELECT q.doc AS query, c.doc AS doc, round(sum(q.weight * c.weight), 9) AS score FROM asked q JOIN corpus c USING (term) GROUP BY 1, 2),
     others AS (SELECT s.*, d.grp FROM scores s JOIN prepared d ON d.id = s.doc JOIN prepared q ON q.id = s.query
                WHERE score >= 0.1 AND s.doc <> s.query AND d.grp <> q.grp),
     single AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, grp ORDER BY score DESC, doc) AS g FROM others) WHERE g = 1),
