@@ -8,10 +8,12 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What counts as white space, and the token classes.
-WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
-EDGE_WHITESPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+_SPACES = r"\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+WHITESPACE = f"[{_SPACES}]+"
+EDGE_WHITESPACE = f"^[{_SPACES}]+|[{_SPACES}]+$"
 WORD = r"[\p{L}\p{N}_]+"
 WORD_2 = r"[\p{L}\p{N}_]{2,}"
 LETTERS_2 = r"^[\p{L}\p{Nl}\p{No}]{2,}$"
@@ -39,17 +41,17 @@ STABLE_TEXT = (
 )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc_casefold(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v).casefold(), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _casefold(values: pd.Series) -> pd.Series:
     return values.map(str.casefold, na_action="ignore")
 
@@ -111,7 +113,7 @@ def classifier_text(value: Column | str, phrases: Sequence[str] = TEMPLATE_PHRAS
     text = F.lower(F.coalesce(as_column(value), F.lit("")))
     if phrases:
         text = F.regexp_replace(text, "(?U)" + "|".join(phrases), " ")
-    text = F.regexp_replace(text, r"(?U)http\S+|www\S+", " <URL> ")
+    text = F.regexp_replace(text, f"http[^{_SPACES}]+|www[^{_SPACES}]+", " <URL> ")
     text = F.regexp_replace(text, r"(?<![\p{L}\p{N}_])\p{Nd}+(?![\p{L}\p{N}_])", " <NUM> ")
     return collapse(text)
 
@@ -157,15 +159,3 @@ def padded_words(value: Column | str) -> Column:
     """White-space separated lower-case words, each padded with one blank per side."""
     words = F.split(collapse(F.lower(as_column(value))), " ")
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-
-
-def char_ngrams(padded: Column, shortest: int = 3, longest: int = 5) -> Column:
-    """Substrings of one padded word, for every length that fits."""
-    def of_length(n: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.length(padded) - n + 1),
-            lambda i: F.substring(padded, i, n),
-        )
-
-    lengths = F.sequence(F.lit(shortest), F.least(F.lit(longest), F.length(padded)))
-    return F.flatten(F.transform(lengths, of_length))

@@ -13,6 +13,7 @@ from ticketlens.functions import values as v
 from ticketlens.functions.text import blank_to_null, normalize_casefold, normalize_text
 from ticketlens.operators import enrich as en
 from ticketlens.operators.scaling import attach_by_key
+from ticketlens.session import materialize
 
 
 def _name(column: str) -> Column:
@@ -69,7 +70,7 @@ def _groups(rows: DataFrame, position: str, key: Column) -> DataFrame:
     A group is named by its first member. It comes out as rows, not as an
     array, so its size is not limited by one task.
     """
-    keyed = rows.select(_name(position).alias(position), key.alias("_digest")).filter(F.col("_digest").isNotNull())
+    keyed = materialize(rows.select(_name(position).alias(position), key.alias("_digest")).filter(F.col("_digest").isNotNull()), "digests")
     sizes = keyed.groupBy("_digest").agg(F.count(F.lit(1)).alias("group_size"), F.min(position).alias("group_row")).filter("group_size > 1")
     return attach_by_key(keyed, sizes, "_digest", "group_size", [position]).filter("group_size IS NOT NULL").select(
         "group_row", "group_size", position)
@@ -82,9 +83,12 @@ def exact_duplicates(rows: DataFrame, position: str, columns: Sequence[str] | No
 
 def text_duplicates(rows: DataFrame, position: str, columns: Sequence[str]) -> DataFrame:
     """Groups of equal normalised text; rows without any text take no part."""
-    parts = [F.coalesce(normalize_casefold(_name(c).cast("string")), F.lit("")) for c in columns]
-    anything = reduce(lambda a, b: a | b, [p != "" for p in parts])
-    return _groups(rows, position, F.when(anything, _digest(parts)))
+    names = [f"_text_{i}" for i in range(len(columns))]
+    normal = rows.select(_name(position).alias(position), *[
+        F.coalesce(normalize_casefold(_name(c).cast("string")), F.lit("")).alias(n) for c, n in zip(columns, names)])
+    # Texts are normalised once, in their own step, and only digests go on.
+    anything = reduce(lambda a, b: a | b, [F.col(n) != "" for n in names])
+    return _groups(normal, position, F.when(anything, _digest([F.col(n) for n in names])))
 
 
 def conflicting_groups(rows: DataFrame, group: str, label: str) -> DataFrame:
@@ -152,7 +156,7 @@ def missing_per_field(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def table_audit(raw: DataFrame, position: str) -> DataFrame:
     """All audit numbers as (section, item, amount): counts, histograms, gaps, ranges and contradictions."""
-    parsed = audited(raw, position)
+    parsed = materialize(audited(raw, position), "audited")
 
     def tally(section: str, column: str) -> DataFrame:
         return raw.groupBy(_name(column).alias("item")).agg(F.count(F.lit(1)).alias("amount")).select(
@@ -170,7 +174,7 @@ def table_audit(raw: DataFrame, position: str) -> DataFrame:
         one("categories", raw.select(_name(en.CATEGORY)).distinct()),
         tally("solving_line", en.SOLVED_BY), tally("sla_flag", en.OVERDUE),
         missing_per_field(raw, columns).select(F.lit("missing").alias("section"), F.col("field").alias("item"), F.col("missing").alias("amount")),
-        invalid_values(raw, position).groupBy("field").agg(F.count(F.lit(1)).alias("amount")).select(
+        parsed.select(F.explode("invalid").alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("amount")).select(
             F.lit("invalid").alias("section"), F.col("field").alias("item"), "amount"),
         one("negative_intervals", parsed.filter("finish < start")),
         one("sla_disagreements", parsed.filter(checked & ((F.col("actual_s") > F.col("norm_s")) != late))),

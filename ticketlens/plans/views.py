@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ticketlens.operators import enrich as en
 from ticketlens.session import materialize
-from ticketlens.sources.tables import table
+from ticketlens.sources.tables import spread, table
 
 
 def _two(x: str) -> str:
@@ -185,7 +185,7 @@ def once(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFr
     """Table derived once per application and kept in the shared scratch folder."""
     key = (spark.sparkContext.applicationId, folder, name)
     if key not in _MEMO:
-        _MEMO[key] = materialize(build(), name)
+        _MEMO[key] = spread(materialize(build(), name))
     return _MEMO[key]
 
 
