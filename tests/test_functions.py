@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ticketlens.functions import text as tx
 from ticketlens.functions import values as v
-from ticketlens.operators.termindex import char_counts
+from ticketlens.operators.termindex import char_counts, term_counts
 
 
 def column(spark, values, make, kind="string"):
@@ -79,7 +79,8 @@ def test_classifier_text_and_features(spark):
 
 
 def test_terms(spark):
-    assert column(spark, ["Не работает вход в портал2"], lambda x: tx.word_ngrams(tx.classifier_words(x))) == [
-        ["работает", "вход", "работает вход"]]
+    rows = spark.createDataFrame([(1, "Не работает вход в портал2"), (2, "")], "id int, text string")
+    assert {(r.doc, r.term) for r in term_counts(rows, "id", "text", tx.classifier_words).collect()} == {
+        (1, "работает"), (1, "вход"), (1, "работает вход")}
     rows = spark.createDataFrame([(1, "ab  c ab")], "id int, text string")
     assert {(r.term, r.tf) for r in char_counts(rows, "id", "text").collect()} == {(" ab", 2), ("ab ", 2), (" ab ", 2), (" c ", 1)}

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticketlens.functions.text import as_column, blank_to_null, clean_text, simple_casefold, strip
+from ticketlens.functions.text import as_column, blank_to_null, bound, clean_text, simple_casefold, strip
 
 # Labels written by the ticket system.
 MISSING_LABEL = "Не указано"
@@ -28,11 +26,6 @@ _INFINITE_PART = r"\s*[+-]?(?i:inf(?:inity)?)\s*"
 _DURATION_OR_INFINITE = rf"^-?(?:{_PART}|{_INFINITE_PART}):(?:{_PART}|{_INFINITE_PART})(?::(?:{_PART}|{_INFINITE_PART}))?$"
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Apply ``use`` to ``value`` evaluated once, however often ``use`` mentions it."""
-    return F.transform(F.array(value), lambda x: use(x))[0]
-
-
 def _finite(number: Column) -> Column:
     return F.when(number.between(-_LARGEST, _LARGEST), number)
 

@@ -79,14 +79,16 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
            >= _required_overlap(F.col("size_a"), F.col("size_b"), threshold))
     )
     candidates = left.join(right, fits).select("rep_a", "rep_b").distinct()
-    full = sets.select("rep", "tokens", "copies")
-    verified = (
+    full = sets.select("rep", "tokens", "copies", "size")
+    met = (
         candidates.join(full.select(*[F.col(c).alias(f"{c}_a") for c in full.columns]), "rep_a")
         .join(full.select(*[F.col(c).alias(f"{c}_b") for c in full.columns]), "rep_b")
-        .withColumn("_overlap", F.size(F.array_intersect("tokens_a", "tokens_b")))
-        .withColumn("_score", F.col("_overlap") / (F.size("tokens_a") + F.size("tokens_b") - F.col("_overlap")))
     )
-    return verified.filter(F.col("_score") >= threshold).select(
+    # A generated column is computed once; a plain one would be repeated in the filter below.
+    counted = met.select("rep_a", "rep_b", "copies_a", "copies_b", "size_a", "size_b",
+                         F.explode(F.array(F.size(F.array_intersect("tokens_a", "tokens_b")))).alias("_overlap"))
+    scored = counted.withColumn("_score", F.col("_overlap") / (F.col("size_a") + F.col("size_b") - F.col("_overlap")))
+    return scored.filter(F.col("_score") >= threshold).select(
         "rep_a", "rep_b", "copies_a", "copies_b", F.round("_score", 6).alias("jaccard"))
 
 

@@ -14,20 +14,11 @@ WORD_FEATURES = 40_000
 CHAR_FEATURES = 60_000
 TOP_HITS = 5
 MIN_SIMILARITY = 0.1
+Words = Callable[[Column], Column]
 # Scores are compared at this precision, so that equal texts tie whatever the order of their sums.
 SCORE_DIGITS = 9
 
 
-def search_terms(text: Column) -> Column:
-    """Words of two or more characters and pairs of neighbouring words."""
-    return tx.word_ngrams(tx.search_words(text), 2)
-
-
-def classifier_terms(text: Column) -> Column:
-    """Letters-only words without stop words, and pairs of them."""
-    return tx.word_ngrams(tx.classifier_words(text), 2)
-
-
 def by_document(texts: DataFrame, id_column: str, text: str) -> DataFrame:
     """Texts hashed by document over all shuffle partitions.
 
@@ -38,11 +29,19 @@ def by_document(texts: DataFrame, id_column: str, text: str) -> DataFrame:
     return texts.select(F.col(id_column).alias("doc"), F.col(text).alias("_text")).repartition(partitions, "doc")
 
 
-def term_counts(texts: DataFrame, id_column: str, text: str, terms: Callable[[Column], Column] = search_terms) -> DataFrame:
-    """(doc, term, tf). The texts are placed by document once; everything per document then needs no shuffle."""
-    placed = by_document(texts, id_column, text)
-    return placed.select("doc", F.explode(terms(F.col("_text"))).alias("term")).groupBy("doc", "term").agg(
-        F.count(F.lit(1)).alias("tf"))
+def term_counts(texts: DataFrame, id_column: str, text: str, words: Words = tx.search_words) -> DataFrame:
+    """(doc, term, tf) of words and of pairs of neighbouring words.
+
+    The texts are placed by document once; everything per document then needs
+    no shuffle. Each word is laid next to its follower, so one pass over the
+    positions gives both the word and the pair.
+    """
+    placed = by_document(texts, id_column, text).select("doc", words(F.col("_text")).alias("_words"))
+    follower = F.slice("_words", F.lit(2), F.greatest(F.size("_words") - 1, F.lit(0)))
+    spots = placed.select("doc", F.explode(F.arrays_zip(F.col("_words").alias("a"), follower.alias("b"))).alias("_at"))
+    pair = F.concat(F.col("_at.a"), F.lit(" "), F.col("_at.b"))
+    terms = spots.select("doc", F.explode(F.array(F.col("_at.a"), pair)).alias("term")).filter(F.col("term").isNotNull())
+    return terms.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def char_counts(texts: DataFrame, id_column: str, text: str, shortest: int = 3, longest: int = 5) -> DataFrame:
@@ -83,19 +82,19 @@ def tfidf(counts: DataFrame, weights: DataFrame) -> DataFrame:
     return raw.select("doc", "term", (F.col("_w") / norm).alias("weight"))
 
 
-def fit_index(texts: DataFrame, id_column: str, text: str, terms: Callable[[Column], Column] = search_terms,
+def fit_index(texts: DataFrame, id_column: str, text: str, words: Words = tx.search_words,
               min_df: int = 1, limit: int = WORD_FEATURES) -> tuple[DataFrame, DataFrame]:
     """Postings of a corpus and the (term, df, idf) table that weighs later queries."""
-    counts = term_counts(texts, id_column, text, terms)
+    counts = term_counts(texts, id_column, text, words)
     total = texts.agg(F.count(F.lit(1)).alias("n")).scalar()
     weights = materialize(term_weights(vocabulary(counts, min_df, limit), total), "weights")
     return tfidf(counts, weights), weights
 
 
 def known_terms(texts: DataFrame, id_column: str, text: str, weights: DataFrame,
-                terms: Callable[[Column], Column] = search_terms) -> DataFrame:
+                words: Words = tx.search_words) -> DataFrame:
     """Postings of new texts under the weights of a fitted corpus."""
-    return tfidf(term_counts(texts, id_column, text, terms), weights)
+    return tfidf(term_counts(texts, id_column, text, words), weights)
 
 
 def pair_scores(queries: DataFrame, postings: DataFrame) -> DataFrame:

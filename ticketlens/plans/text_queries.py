@@ -262,7 +262,7 @@ def _digest(counts: DataFrame) -> DataFrame:
 @query("classifier_terms", f"""SELECT doc AS doc_id, count(*) AS terms, cast(sum(tf) AS bigint) AS total, md5(string_agg(term, '|' ORDER BY term)) AS digest
     FROM ({sql_counts('documents', 'doc_id', _CLASS_WORDS)}) GROUP BY doc""")
 def _classifier_terms(spark: SparkSession, folder: str) -> DataFrame:
-    return _digest(ti.term_counts(table(spark, folder, "documents"), "doc_id", "text", ti.classifier_terms))
+    return _digest(ti.term_counts(table(spark, folder, "documents"), "doc_id", "text", tx.classifier_words))
 
 
 _CHAR_SQL = f"""SELECT doc, term, count(*) AS tf FROM (
@@ -294,7 +294,7 @@ def _tfidf(spark: SparkSession, folder: str) -> DataFrame:
     words AS (SELECT item_id AS doc, unnest(list_distinct({_CLASS_WORDS})) AS term FROM benchmark)
     SELECT item_id AS doc, count(weights.term) AS known_words FROM benchmark LEFT JOIN words ON doc = item_id LEFT JOIN weights USING (term) GROUP BY item_id""")
 def _known_words(spark: SparkSession, folder: str) -> DataFrame:
-    _, weights = ti.fit_index(table(spark, folder, "documents"), "doc_id", "text", ti.classifier_terms, min_df=2)
+    _, weights = ti.fit_index(table(spark, folder, "documents"), "doc_id", "text", tx.classifier_words, min_df=2)
     return ti.known_word_counts(table(spark, folder, "benchmark"), "item_id", "text", weights)
 
 
