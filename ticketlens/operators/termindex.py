@@ -102,8 +102,8 @@ def pair_scores(queries: DataFrame, postings: DataFrame) -> DataFrame:
 
     ``queries`` is materialised, so Spark knows its size: below the broadcast
     threshold the corpus is not shuffled at all and, being placed by document,
-    not even for the sum. A larger query set meets the corpus in a shuffle join
-    whose frequent terms are spread over lanes (see ``spread_terms``).
+    not even for the sum. A larger query set meets the corpus in a shuffle join;
+    ``spread_terms`` keeps its frequent terms from filling one partition.
     """
     wanted = queries.select(F.col("doc").alias("query"), "term", F.col("weight").alias("_q"))
     return (postings.join(wanted, "term").groupBy("doc", "query")
@@ -143,7 +143,8 @@ def search(queries: DataFrame, id_column: str, text: str, postings: DataFrame, w
            limit: int = TOP_HITS, min_score: float | None = None) -> DataFrame:
     """Top documents of each query text; blank queries and queries without a known term give no rows."""
     asked = materialize(known_terms(queries, id_column, text, weights), "queries")
-    return top_hits(pair_scores(asked, postings), min(TOP_HITS, max(0, limit)), min_score)
+    scores = pair_scores(*spread_terms(asked, postings, weights))
+    return top_hits(scores, min(TOP_HITS, max(0, limit)), min_score)
 
 
 def explain_hits(hits: DataFrame, queries: DataFrame, postings: DataFrame, limit: int = TOP_HITS) -> DataFrame:
@@ -156,11 +157,14 @@ def explain_hits(hits: DataFrame, queries: DataFrame, postings: DataFrame, limit
 
 
 def similar_elsewhere(queries: DataFrame, postings: DataFrame, query_groups: DataFrame, doc_groups: DataFrame,
-                      limit: int = TOP_HITS, min_score: float = MIN_SIMILARITY) -> DataFrame:
+                      limit: int = TOP_HITS, min_score: float = MIN_SIMILARITY, weights: DataFrame | None = None) -> DataFrame:
     """Top documents outside the query itself and its duplicate group, at most one per group.
 
     ``query_groups`` and ``doc_groups`` map ids (``query``, ``doc``) to ``group``.
+    ``weights`` lets frequent terms be spread over lanes.
     """
+    if weights is not None:
+        queries, postings = spread_terms(queries, postings, weights)
     scores = pair_scores(queries, postings).filter((F.col("score") > 0) & (F.col("score") >= min_score))
     placed = scores.join(query_groups.select("query", F.col("group").alias("_own")), "query").join(
         doc_groups.select("doc", "group"), "doc")
