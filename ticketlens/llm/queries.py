@@ -5,28 +5,63 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import curriculum_mix, exact_dedup
+from ticketlens.llm import curriculum_mix, exact_dedup, ngram_join, quality_gam, sentencepiece_codec
+
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    coded = sentencepiece_codec.encode(_table(spark, folder, "documents"), PIECE_MODEL)
+    return coded.select("doc_id", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"), "parity")
+
+
+def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.jaccard_classes(_table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
     mixed = curriculum_mix.mix(_table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_quality_gam(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = quality_gam.train(docs, _table(spark, folder, "labels"), learn_from=~quality_gam.held_out("id"))
+    scored = quality_gam.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", quality_gam.held_out("doc_id").alias("held_out"), "score",
+                         (F.col("score") >= quality_gam.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_content_sort(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.content_sort(_table(spark, folder, "documents"))
 
 
 QUERIES = {
+    "op4_sentencepiece": op4_sentencepiece,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_curriculum_mix": op7_curriculum_mix,
+    "op8_quality_gam": op8_quality_gam,
     "op10_content_sort": op10_content_sort,
 }
 
 ORACLES = {
+    "op6_ngram_jaccard": r"""
+        WITH RECURSIVE
+        w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[^\x20\x09-\x0D]+') AS a FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(a) < 4 THEN [array_to_string(a, ' ')]
+                  ELSE list_transform(range(1, len(a) - 2), lambda i: array_to_string(a[i:i + 3], ' ')) END) AS g FROM w WHERE len(a) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 185 * c >= 85 * (x.n + y.n)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r(v, o) AS (SELECT a, b FROM e UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.o)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.o, w.doc_id)) AS component_id
+        FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT v, min(o) AS o FROM r GROUP BY v) m ON m.v = w.doc_id""",
     "op7_curriculum_mix": r"""
         WITH d AS (
             SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
