@@ -200,3 +200,9 @@ def score(docs: DataFrame, model: PairwiseGam, text: str = "text", name: str = "
         return pd.Series(model.score(measure_all(texts)))
 
     return docs.withColumn(name, scored(F.col(text)))
+
+
+def accepted(docs: DataFrame, model: PairwiseGam, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, with their own columns alone."""
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return score(docs.select(kept, F.col(text).alias("text")), model).filter(F.col("score") >= threshold).select("row.*")

@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import curriculum_mix, exact_dedup, ngram_join, quality_gam, sentencepiece_codec
+from ticketlens.llm import (
+    curriculum_mix,
+    exact_dedup,
+    ngram_join,
+    order_minhash,
+    quality_gam,
+    sentencepiece_codec,
+    substring_dedup,
+)
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -19,6 +27,11 @@ def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"), "parity")
 
 
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = substring_dedup.remove_repeats(_table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_classes(_table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -36,19 +49,36 @@ def op8_quality_gam(spark: SparkSession, folder: str) -> DataFrame:
                          (F.col("score") >= quality_gam.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op9_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.fingerprints(_table(spark, folder, "documents"))
+
+
 def op10_content_sort(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.content_sort(_table(spark, folder, "documents"))
 
 
 QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_curriculum_mix": op7_curriculum_mix,
     "op8_quality_gam": op8_quality_gam,
+    "op9_order_minhash": op9_order_minhash,
     "op10_content_sort": op10_content_sort,
 }
 
 ORACLES = {
+    "op5_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS a FROM documents),
+        s AS (SELECT doc_id, a, unnest(range(1, len(a) - 18)) AS i FROM w WHERE len(a) >= 20),
+        k AS (SELECT doc_id, i, md5(array_to_string(a[i:i + 19], ' ')) AS g FROM s),
+        r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS o FROM k) WHERE o > 1),
+        c AS (SELECT DISTINCT doc_id, i + unnest(range(0, 20)) AS p FROM r),
+        d AS (SELECT doc_id, list(p) AS ps FROM c GROUP BY doc_id)
+        SELECT w.doc_id, len(a) AS n_words, coalesce(len(ps), 0) AS n_removed,
+               sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN a ELSE list_select(a, list_filter(range(1, len(a) + 1), lambda p: NOT list_contains(ps, p))) END, ' '), ''))
+                   AS kept_sha256
+        FROM w LEFT JOIN d USING (doc_id)""",
     "op6_ngram_jaccard": r"""
         WITH RECURSIVE
         w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
