@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from ticketlens.llm import (
     curriculum_mix,
     exact_dedup,
+    license_scan,
     ngram_join,
     order_minhash,
+    private_data,
     quality_gam,
     sentencepiece_codec,
     substring_dedup,
+    toxicity,
 )
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -22,6 +25,28 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_private_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = private_data.extract(_table(spark, folder, "documents"))
+    counts = [private_data.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in private_data.KINDS]
+    return found.select("doc_id", *counts, F.sha2(private_data.written(F.col("base")), 256).alias("base_sha256"),
+                        private_data.written(F.concat("base", "discovered")).alias("spans"))
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = toxicity.train(docs, _table(spark, folder, "labels"), learn_from=~toxicity.held_out("id"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score",
+                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = license_scan.scan_licenses(_table(spark, folder, "documents"))
+    listed = F.array_join(F.transform("licenses", lambda x: F.concat_ws(":", x["template"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select("doc_id", F.size("licenses").cast("bigint").alias("n_licenses"), listed.alias("findings"),
+                        F.coalesce(F.array_max(F.transform("licenses", lambda x: x["coverage"])), F.lit(0.0)).alias("best_coverage"))
+
+
 def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     coded = sentencepiece_codec.encode(_table(spark, folder, "documents"), PIECE_MODEL)
     return coded.select("doc_id", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"), "parity")
@@ -58,6 +83,9 @@ def op10_content_sort(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_private_data": op1_private_data,
+    "op2_toxicity": op2_toxicity,
+    "op3_license_scan": op3_license_scan,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_ngram_jaccard": op6_ngram_jaccard,
