@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -13,14 +14,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ticketlens.session import materialize
+
 MAX_TRAINING_ROWS = 20_000
 MAX_TERMS = 3_000
 THRESHOLD = 0.7
 LEAST_TOXIC = 3
 LEAST_WEIGHT = 1.5
+LEAST_TERM_WEIGHT = 0.05
+#: Lengths of the beginnings of words that may be terms.
+STEMS = (4, 5, 6)
+#: A term has to explain about so many toxic documents that no other term explains.
+PENALTY = 0.5
 WINDOW = 6
 #: Share of a hit's weight that is left when its context quotes it.
-QUOTED = 0.4
+QUOTED = 0.1
+MOST_WEIGHT = 60.0
 _SMOOTH = 0.5
 _MEMO = 400_000
 
@@ -118,14 +127,18 @@ class FuzzyLexicon:
         return self.ends[state]
 
 
+def units_of(word: str) -> list[str]:
+    """What may be a term: the word, and its beginnings, written with a star."""
+    return [word, *[f"{word[:n]}*" for n in STEMS if len(word) >= n]]
+
+
 @dataclass
 class ToxicityModel:
-    """Terms with their document counts (toxic, other), weights of their misspellings, and the logistic layer."""
+    """Weights of terms (words and stems) and of the misspellings of words, and the logistic layer over their sums."""
 
-    terms: dict[str, tuple[int, int]]
-    totals: tuple[int, int]
+    terms: dict[str, float]
     fuzzy: dict[str, float] = field(default_factory=dict)
-    layer: np.ndarray = field(default_factory=lambda: np.zeros(6))
+    layer: np.ndarray = field(default_factory=lambda: np.array([0.0, 0.0, 0.0, -4.0]))
     _lexicon: FuzzyLexicon | None = None
 
     def __getstate__(self) -> dict:
@@ -134,38 +147,43 @@ class ToxicityModel:
     @property
     def lexicon(self) -> FuzzyLexicon:
         if self._lexicon is None:
-            self._lexicon = FuzzyLexicon(sorted(self.terms))
+            self._lexicon = FuzzyLexicon(sorted(t for t in self.terms if not t.endswith("*")))
         return self._lexicon
 
-    def weight(self, term: str, without: int | None = None) -> float:
-        """Log odds of a term; ``without`` leaves out one document of that label, for documents the counts were learnt from."""
-        toxic, other = self.terms[term]
-        return log_odds(toxic - (without == 1), other - (without == 0), *self.totals)
-
-    def measure(self, text: str | None, without: int | None = None) -> list[float]:
-        """Exact, misspelt and quoted weight, number of hits and share of words hit, and a constant."""
+    def hits(self, word: str) -> list[tuple[str, int, float]]:
+        """(term, edits, weight) of each term that a word meets, or of the one it may be a misspelling of."""
+        known = [(u, 0, self.terms[u]) for u in units_of(word) if u in self.terms]
+        if known:
+            return known
+        near = self.misspelling(word)
+        if near is None or self.fuzzy.get(near[0], 0.0) <= 0:
+            return []
+        share = self.fuzzy[near[0]] / self.terms[near[0]] / near[1]
+        return [(u, near[1], share * self.terms[u]) for u in units_of(near[0]) if u in self.terms]
+
+    def misspelling(self, word: str) -> tuple[str, int] | None:
+        """Nearest term of a word that is neither a term nor begins with one."""
+        return None if any(u in self.terms for u in units_of(word)) else self.lexicon.nearest(word)
+
+    def measure(self, text: str | None) -> list[float]:
+        """Weight of the terms met, plainly, misspelt or quoted, number of hits, share of words hit, and a constant."""
         body = (text or "").casefold()
         tokens = list(_WORD.finditer(body))
         names = [m.group() for m in tokens]
-        best: dict[tuple[str, int], float] = {}
+        found = {name: self.hits(name) for name in set(names)}
+        best: dict[str, float] = {}
         hits = 0
         for i, name in enumerate(names):
-            near = (name, 0) if name in self.terms else self.lexicon.nearest(name)
-            if near is None:
-                continue
-            term, edits = near
-            weight = self.weight(term, without) if edits == 0 else self.fuzzy.get(term, 0.0) / edits
-            if weight <= 0:
+            if not found[name]:
                 continue
             hits += 1
             quoted = _is_quoted(body, tokens, names, i)
-            slot = (term, 2 if quoted else min(edits, 1))
-            best[slot] = max(best.get(slot, 0.0), weight * (QUOTED if quoted else 1.0))
-        sums = [min(sum(w for (_, kind), w in best.items() if kind == k), 30.0) for k in range(3)]
-        return [*sums, float(np.log1p(hits)), hits / max(len(names), 1), 1.0]
+            for term, _, weight in found[name]:
+                best[term] = max(best.get(term, 0.0), weight * (QUOTED if quoted else 1.0))
+        return [min(sum(best.values()), MOST_WEIGHT), float(np.log1p(hits)), hits / max(len(names), 1), 1.0]
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        values = np.array([self.measure(t) for t in texts]).reshape(len(texts), 6)
+        values = np.array([self.measure(t) for t in texts]).reshape(len(texts), 4)
         return 1.0 / (1.0 + np.exp(-np.clip(values @ self.layer, -40, 40)))
 
 
@@ -181,17 +199,36 @@ def _is_quoted(body: str, tokens: list[re.Match], names: list[str], i: int) -> b
     return any(w in _REPORTS for w in around) and not any(w in _ADDRESS for w in around)
 
 
-def log_odds(toxic: float, other: float, all_toxic: int, all_other: int) -> float:
-    return float(np.log((toxic + _SMOOTH) / (all_toxic + 2 * _SMOOTH)) - np.log((other + _SMOOTH) / (all_other + 2 * _SMOOTH)))
-
-
 def held_out(doc_id: str, folds: int = 3, fold: int = 1) -> Column:
     """Whether crc32 of the id as text falls on the fold that no label is learnt from; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
+def _sparse_weights(docs: np.ndarray, terms: np.ndarray, size: int, labels: np.ndarray, penalty: float = PENALTY, rounds: int = 2000) -> np.ndarray:
+    """Weights of a logistic model with an L1 penalty and no negative weight, by accelerated proximal steps until they settle.
+
+    ``docs`` and ``terms`` are the places of the ones of the matrix. Terms that
+    only accompany others in toxic documents explain nothing more and get 0.
+    """
+    weight, ahead, bias, momentum = np.zeros(size), np.zeros(size), float(np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5))), 1.0
+    most = np.bincount(docs, minlength=len(labels)).max(initial=1) + 1
+    rate = 4.0 / (most * max(np.bincount(terms, minlength=size).max(initial=1) / 8, 1.0))
+    for _ in range(rounds):
+        p = 1.0 / (1.0 + np.exp(-np.clip(np.bincount(docs, ahead[terms], len(labels)) + bias, -40, 40)))
+        slope = labels - p
+        after = np.maximum(ahead + rate * (np.bincount(terms, slope[docs], size) - penalty), 0.0)
+        bias += float(slope.sum() / max((p * (1 - p)).sum(), 1.0)) * 0.5
+        follow = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
+        ahead = after + (momentum - 1) / follow * (after - weight)
+        settled = np.abs(after - weight).max(initial=0.0) < 1e-5
+        weight, momentum = after, follow
+        if settled:
+            break
+    return weight
+
+
 def _fit_layer(values: np.ndarray, labels: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> np.ndarray:
-    """Logistic regression by Newton steps; weights of the hit columns do not go below zero."""
+    """Logistic regression by Newton steps; weights of the hits do not go below zero."""
     layer = np.zeros(values.shape[1])
     for _ in range(rounds):
         p = 1.0 / (1.0 + np.exp(-np.clip(values @ layer, -40, 40)))
@@ -199,7 +236,7 @@ def _fit_layer(values: np.ndarray, labels: np.ndarray, ridge: float = 0.05, roun
         curve = (values * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ values + ridge * np.eye(values.shape[1])
         step = np.clip(np.linalg.solve(curve, slope), -2, 2)
         layer = layer + step
-        layer[:3] = np.maximum(layer[:3], 0.0)
+        layer[:3] = np.maximum(layer[:3], 0.0)  # weight, hits, share
         if np.abs(step).max() < 1e-6:
             break
     return layer
@@ -209,11 +246,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: s
           learn_from: Column | None = None, max_rows: int = MAX_TRAINING_ROWS, max_terms: int = MAX_TERMS) -> ToxicityModel:
     """Learn from at most ``max_rows`` labelled rows, those with the smallest hash of the id.
 
-    Terms are the words of toxic documents with the highest log odds, at most
-    ``max_terms``. The weight of a term's misspellings comes from the words of
-    the sample that the automaton maps to it, so that a term whose neighbours
-    are ordinary words gives them nothing. The logistic layer is fitted with
-    each document's own count taken out of the weights. Without toxic rows
+    Candidate terms are the words and stems of toxic documents with the most
+    telling log odds, at most ``max_terms``; a sparse logistic model keeps
+    those that explain labels. The weight of a term's misspellings comes from
+    the words of the sample that the automata map to it, so that a term with
+    ordinary words for neighbours gives them nothing. Without toxic rows
     nothing is toxic. Null labels are no labels; the largest of several counts.
     """
     chosen = labels.select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("label")).filter(
@@ -226,43 +263,59 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: s
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(name, y) for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for name in set(words_of(text))]
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], names=["word", "label"])
-
-    counts = sample.groupBy().agg(F.sum(F.col("label")).alias("toxic"), F.count(F.lit(1)).alias("n")).first()
-    totals = (int(counts.toxic or 0), int(counts.n - (counts.toxic or 0)))
-    vocabulary = sample.mapInArrow(cut, "word string, label int").groupBy("word").agg(
-        F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("other"))
+            counts = (Counter(), Counter())
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts[y > 0].update({unit for word in set(words_of(text)) for unit in units_of(word)})
+            units = list(counts[0].keys() | counts[1].keys())
+            yield pa.record_batch([pa.array(units, pa.string()), *[pa.array([counts[y][u] for u in units], pa.int64()) for y in (1, 0)]],
+                                  names=["unit", "toxic", "other"])
+
+    total = sample.agg(F.coalesce(F.sum(F.col("label")), F.lit(0)).alias("toxic"), F.count(F.lit(1)).alias("n")).first()
+    totals = (int(total.toxic), int(total.n - total.toxic))
+    if not totals[0]:
+        return ToxicityModel({})
+    units = materialize(sample.mapInArrow(cut, "unit string, toxic long, other long").groupBy("unit").agg(
+        F.sum("toxic").alias("toxic"), F.sum("other").alias("other")), "toxic_units")
     odds = F.log((F.col("toxic") + _SMOOTH) / (totals[0] + 2 * _SMOOTH)) - F.log((F.col("other") + _SMOOTH) / (totals[1] + 2 * _SMOOTH))
-    terms = vocabulary.filter(F.col("toxic") >= LEAST_TOXIC).withColumn("odds", odds).filter(F.col("odds") >= LEAST_WEIGHT).orderBy(
-        F.desc(F.col("odds") * F.sqrt("toxic")), "word").limit(max_terms)
-    model = ToxicityModel({r.word: (r.toxic, r.other) for r in terms.collect()}, totals)
-    if not model.terms:
-        model.layer = np.array([0, 0, 0, 0, 0, -4.0])
-        return model
+    candidates = units.filter(F.col("toxic") >= LEAST_TOXIC).withColumn("odds", odds).filter(
+        F.col("odds") >= LEAST_WEIGHT).orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "unit").limit(max_terms).collect()
+    place = {r.unit: k for k, r in enumerate(candidates)}
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def hits(texts: pd.Series) -> pd.Series:
+        return pd.Series([sorted({place[u] for word in set(words_of(t)) for u in units_of(word) if u in place}) for t in texts])
+
+    rows = sample.select("label", hits("text").alias("hits")).toPandas()
+    spans = rows["hits"].map(len).to_numpy()
+    weights = _sparse_weights(np.repeat(np.arange(len(rows)), spans), np.concatenate([*rows["hits"], []]).astype(int), len(candidates),
+                              rows["label"].to_numpy(dtype=float))
+    # The penalty shrinks what it keeps; a kept term counts with its own log odds.
+    model = ToxicityModel({unit.unit: float(unit.odds) for unit, w in zip(candidates, weights) if w > LEAST_TERM_WEIGHT})
 
     def misspelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(near[0], t, o) for word, t, o in zip(*[batch.column(c).to_pylist() for c in range(3)])
-                    if word not in model.terms and (near := model.lexicon.nearest(word))]
+            rows = [(found[0], t, o) for word, t, o in zip(*[batch.column(c).to_pylist() for c in range(3)])
+                    if not word.endswith("*") and (found := model.misspelling(word))]
             yield pa.record_batch([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.string(), pa.int64(), pa.int64()))],
                                   names=["term", "toxic", "other"])
 
-    near = vocabulary.select("word", "toxic", "other").mapInArrow(misspelt, "term string, toxic long, other long").groupBy("term").agg(
+    near = units.mapInArrow(misspelt, "term string, toxic long, other long").groupBy("term").agg(
         F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     seen = {r.term: (r.toxic, r.other) for r in near.collect()}
-    for term in model.terms:
+    for term, weight in model.terms.items():
         toxic, other = seen.get(term, (0, 0))
-        prior = 1.0 / (1.0 + np.exp(-0.6 * model.weight(term)))
+        # Two made-up documents say that a misspelling has 0.6 of the term's weight; neighbours met in the sample outvote them.
+        prior = 1.0 / (1.0 + np.exp(-0.6 * weight))
         mass = 2.0 / (totals[1] + 1)
-        model.fuzzy[term] = float(np.log((toxic / (totals[0] + 1) + mass * prior) / (other / (totals[1] + 1) + mass * (1 - prior))))
+        model.fuzzy[term] = min(weight, float(np.log(
+            (toxic / (totals[0] + 1) + mass * prior) / (other / (totals[1] + 1) + mass * (1 - prior)))))
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def measured(texts: pd.Series, label: pd.Series) -> pd.Series:
-        return pd.Series([model.measure(t, y) for t, y in zip(texts, label.tolist())])
+    def measured(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.measure(t) for t in texts])
 
-    rows = sample.select("label", measured("text", "label").alias("values")).toPandas()
-    model.layer = _fit_layer(np.array(rows["values"].tolist(), dtype=float).reshape(len(rows), 6), rows["label"].to_numpy(dtype=float))
+    rows = sample.select("label", measured("text").alias("values")).toPandas()
+    model.layer = _fit_layer(np.array(rows["values"].tolist(), dtype=float).reshape(len(rows), 4), rows["label"].to_numpy(dtype=float))
     return model
 
 
