@@ -135,30 +135,30 @@ def _read(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
-def _scored_patterns(found: DataFrame, rounds: int) -> DataFrame:
-    """(pattern, kind, score, seeds) from the graph of patterns and instances.
-
-    Seeds have score 1 for their kind. The score of a pattern is the mean
-    score of its instances, the score of another instance the mean score of
-    its patterns. Each round passes scores over the graph once; the graph
-    holds each edge once, however often a text repeats it.
+def _scored_patterns(found: DataFrame, rounds: int, least_seeds: int, confidence: float) -> DataFrame:
+    """(pattern, kind, score, seeds) of the trusted patterns, from the graph of patterns and instances.
+
+    Seeds count 1 for their kind. The score of a pattern is the mean over its
+    instances. Another instance counts once trusted patterns hold it: with
+    1 - the product of (1 - score) over them, otherwise 0. Each round passes
+    scores over the graph once; the graph holds each edge once, however often
+    a text repeats it.
     """
     edges = materialize(found.select(F.explode("patterns").alias("pattern"), "value", "kind").groupBy("pattern", "value").agg(
         F.max("kind").alias("kind")), "pattern_graph")
-    kinds = found.sparkSession.range(len(KINDS)).select(F.col("id").cast("int").alias("of"))
     sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("size"))
-    degrees = edges.filter("kind < 0").groupBy("value").agg(F.count(F.lit(1)).alias("degree"))
     seeds = edges.filter("kind >= 0").groupBy("pattern", F.col("kind").alias("of")).agg(F.count(F.lit(1)).alias("seeds"))
-    known = seeds.join(sizes, "pattern")
-    scores = materialize(known.select("pattern", "of", "seeds", "size", (F.col("seeds") / F.col("size")).alias("score")), "pattern_scores")
-    open_edges = edges.filter("kind < 0").select("pattern", "value")
+    able = materialize(seeds.filter(F.col("seeds") >= least_seeds).join(sizes, "pattern"), "pattern_seeds")
+    scores = able.withColumn("score", F.col("seeds") / F.col("size"))
+    # Only edges of patterns with enough seeds can carry a score.
+    open_edges = edges.filter("kind < 0").select("pattern", "value").join(able.select("pattern").distinct(), "pattern", "left_semi")
     for _ in range(rounds - 1):
-        instances = open_edges.join(scores, "pattern").groupBy("value", "of").agg(F.sum("score").alias("total")).join(degrees, "value").select(
-            "value", "of", (F.col("total") / F.col("degree")).alias("score"))
-        passed = open_edges.join(instances, "value").groupBy("pattern", "of").agg(F.sum("score").alias("open"))
-        scores = materialize(scores.drop("score").join(passed, ["pattern", "of"], "left").select(
+        held = open_edges.join(scores.filter(F.col("score") >= confidence), "pattern").groupBy("value", "of").agg(
+            (1 - F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.99)))))).alias("held"))
+        passed = open_edges.join(held, "value").groupBy("pattern", "of").agg(F.sum("held").alias("open"))
+        scores = materialize(able.join(passed, ["pattern", "of"], "left").select(
             "pattern", "of", "seeds", "size", ((F.col("seeds") + F.coalesce("open", F.lit(0.0))) / F.col("size")).alias("score")), "pattern_scores")
-    return scores.join(kinds, "of", "left_semi").select("pattern", F.col("of").alias("kind"), "score", "seeds")
+    return scores.filter(F.col("score") >= confidence).select("pattern", F.col("of").alias("kind"), "score", "seeds")
 
 
 def extract(docs: DataFrame, id_column: str = "doc_id", text: str = "text", rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS,
@@ -180,7 +180,7 @@ def extract(docs: DataFrame, id_column: str = "doc_id", text: str = "text", roun
     texts = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     read = materialize(_read(texts).withColumn("row", F.monotonically_increasing_id()), "private_occurrences")
     found = read.select("row", F.explode("found").alias("f")).select("row", "f.*")
-    trusted = _scored_patterns(found, rounds).filter((F.col("seeds") >= least_seeds) & (F.col("score") >= confidence))
+    trusted = _scored_patterns(found, rounds, least_seeds, confidence)
     unseen = found.filter("kind < 0").select("row", "start", "end", F.explode("patterns").alias("pattern"))
     best = unseen.join(trusted, "pattern").groupBy("row", "start", "end").agg(
         F.max(F.struct("score", (-F.col("kind")).alias("kind"))).alias("best"))
