@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -88,12 +87,10 @@ def build_tokenizer(model: PieceModel):
     """A tokenizers.Tokenizer that encodes as the model does.
 
     Normaliser: the compiled character map, folded spaces where the model asks
-    for them, the leading marker, and the marker in place of spaces. Texts are
-    cut in front of a run of markers, so that words are encoded and cached one
-    by one, if no piece holds a marker behind another character; then no piece
-    can reach over such a cut.
+    for them, the leading marker, and the marker in place of spaces. A text is
+    encoded as a whole, so that pieces may reach over any of its places.
     """
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+    from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
     unknown = next((i for i, (_, _, kind) in enumerate(model.pieces) if kind == UNKNOWN), None)
     if model.kind == UNIGRAM:
@@ -111,25 +108,41 @@ def build_tokenizer(model: PieceModel):
     if model.dummy_prefix:
         steps.append(normalizers.Prepend(SPACE))
     tokenizer.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", SPACE)])
-    if not any(re.search(f"[^{SPACE}]{SPACE}", piece) for piece, _, kind in model.pieces if kind in (NORMAL, USER_DEFINED)):
-        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{SPACE}*[^{SPACE}]+|{SPACE}+"), "isolated")
     tokenizer.decoder = decoders.Sequence([
         decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse(),
         *([decoders.Strip(" ", 1, 0)] if model.dummy_prefix else [])])
     return tokenizer
 
 
-_BUILT: dict[str, tuple] = {}
+class Codec:
+    """The tokenizer of a model, and the original library to compare with."""
 
+    def __init__(self, data: bytes):
+        import sentencepiece
+
+        self.tokenizer = build_tokenizer(parse_model(data))
+        self.original = sentencepiece.SentencePieceProcessor(model_proto=data)
+
+    def run(self, texts: list[str], threads: int) -> Iterator[tuple[list[int], str, bool]]:
+        """(ids, decoded text, whether the original library gives the same ids) of each text."""
+        for portion in _portions(texts, BATCH_CHARS):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(portion, add_special_tokens=False)]
+            back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+            same = self.original.encode(portion, num_threads=threads)
+            for mine, text, theirs in zip(ids, back, same):
+                yield (mine, text, True) if mine == theirs else (theirs, self.original.decode(theirs), False)
+
+
+_BUILT: dict[bytes, Codec] = {}
 
-def _ready(data: bytes, threads: int):
-    """The tokenizer and the original processor of this worker, built once per model."""
-    key = hashlib.sha256(data).hexdigest()
+
+def _ready(data: bytes, threads: int) -> Codec:
+    """The codec of this worker, built once per model."""
+    key = hashlib.sha256(data).digest()
     if key not in _BUILT:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
-        import sentencepiece
-        _BUILT[key] = build_tokenizer(parse_model(data)), sentencepiece.SentencePieceProcessor(model_proto=data)
+        _BUILT[key] = Codec(data)
     return _BUILT[key]
 
 
@@ -145,17 +158,6 @@ def _portions(texts: list[str], most: int) -> Iterator[list[str]]:
         yield portion
 
 
-def encode_texts(texts: list[str], data: bytes, threads: int = THREADS) -> Iterable[tuple[list[int], str, bool]]:
-    """(ids, decoded text, whether the original library gives the same ids) of each text."""
-    tokenizer, original = _ready(data, threads)
-    for portion in _portions(texts, BATCH_CHARS):
-        ids = [e.ids for e in tokenizer.encode_batch_fast(portion, add_special_tokens=False)]
-        back = tokenizer.decode_batch(ids, skip_special_tokens=False)
-        same = original.encode(portion, num_threads=threads)
-        for mine, text, theirs in zip(ids, back, same):
-            yield (mine, text, True) if mine == theirs else (theirs, original.decode(theirs), False)
-
-
 def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text: str = "text", threads: int = THREADS) -> DataFrame:
     """One row per input row: id, ``n_tokens``, ``token_ids``, ``decoded`` and ``parity``.
 
@@ -179,7 +181,7 @@ def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text: st
             # A part of a batch at a time, so that a batch of long texts is never held several times over.
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                done = list(encode_texts(part.column(1).to_pylist(), data, threads))
+                done = list(_ready(data, threads).run(part.column(1).to_pylist(), threads))
                 yield pa.record_batch([
                     part.column(0), pa.array([len(x[0]) for x in done], pa.int64()), pa.array([x[0] for x in done], pa.list_(pa.int32())),
                     pa.array([x[1] for x in done], pa.string()), pa.array([x[2] for x in done], pa.bool_())],
