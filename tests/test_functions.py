@@ -84,3 +84,19 @@ def test_terms(spark):
         (1, "работает"), (1, "вход"), (1, "работает вход")}
     rows = spark.createDataFrame([(1, "ab  c ab")], "id int, text string")
     assert {(r.term, r.tf) for r in char_counts(rows, "id", "text").collect()} == {(" ab", 2), ("ab ", 2), (" ab ", 2), (" c ", 1)}
+
+
+def test_values_beyond_any_number_are_null_and_end_no_job(spark):
+    texts = ["1e30", "9999999999999999999", "3", "9000000000000000000:00:00", "1:00:00", "9" * 400 + ":00", "1e3:30", "9" * 120 + ":00"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    got = rows.select(v.clarification_count("t").alias("n"), v.clarification_count_batch("t").alias("m"), v.strict_duration_seconds("t").alias("s"),
+                      v.duration_hours("t").alias("h")).collect()
+    assert [r.n for r in got] == [None, None, 3, None, None, None, None, None] == [r.m for r in got]
+    assert [r.s for r in got] == [None, None, None, None, 3600, None, None, None]
+    assert got[4].h == 1.0 and got[5].h is None and got[6].h == 1000.5 and got[7].h > 1e119
+
+
+def test_fractions_of_a_second_stay_in_canonical_cells(spark):
+    rows = spark.sql("select timestamp_ntz'2031-06-10 10:00:00.123456' a, timestamp_ntz'2031-06-10 10:00:00' b, timestamp'2031-06-10 10:00:00.5' c")
+    row = rows.select(*[v.canonical(f.name, f.dataType).alias(f.name) for f in rows.schema]).first()
+    assert tuple(row) == ("2031-06-10T10:00:00.123456", "2031-06-10T10:00:00", "2031-06-10T10:00:00.500000")

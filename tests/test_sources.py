@@ -71,6 +71,25 @@ def test_import_stream_stores_each_record_once(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(target).collect()) == [1, 2, 3]
 
 
+def test_two_streams_into_one_table_keep_all_their_rows(spark, tmp_path):
+    target = scratch_path(spark, "two-streams")
+    for name, state in (("one", "team-00/stream-08"), ("two", "team-04/stream-50")):
+        landing = tmp_path / name
+        spark.createDataFrame([(i, f"{name} {i}") for i in range(10)], "id int, t string").coalesce(1).write.json(str(landing))
+        jobs.import_stream(spark.readStream.schema("id int, t string").json(str(landing)), target, f"{tmp_path}/{state}", "d", "s", "id")
+    assert spark.read.parquet(target).count() == 20
+
+
+def test_tables_kept_for_a_folder_follow_its_content(spark, tmp_path):
+    from ticketlens.plans.views import once
+    folder = str(tmp_path / "tables")
+    count = lambda: once(spark, folder, "all", lambda: spark.read.parquet(f"{folder}/t.parquet")).count()
+    spark.range(5).write.parquet(f"{folder}/t.parquet")
+    assert count() == 5 == count()
+    spark.range(3).write.mode("append").parquet(f"{folder}/t.parquet")
+    assert count() == 8
+
+
 def test_review_rules_in_order(spark):
     rows = spark.createDataFrame([("A", 0.7, 2), ("A", 0.69, 2), ("Прочее", 0.95, 2), ("Прочее / Неопределено", 0.95, 2), ("A", 0.9, 1)],
                                  "predicted string, confidence double, known_words int")

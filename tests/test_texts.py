@@ -19,7 +19,7 @@ def pairs_of(spark, texts, threshold=nb.THRESHOLD):
 
 
 def test_near_pairs_ignore_case_order_and_blanks(spark):
-    rows = spark.createDataFrame(list(enumerate(["Ошибка входа портал", "ПОРТАЛ ошибка входа", "другая проблема", ""])), "id int, text string")
+    rows = spark.createDataFrame(list(enumerate(["The pump leaks oil", "OIL  leaks the PUMP", "a new filter is due", "   "])), "id int, text string")
     prepared = nb.token_sets(rows, "id", "text")
     assert [(r.rep, r.id) for r in nb.copies_of(prepared).collect()] == [(0, 1)]
     assert nb.similar_sets(prepared.sets).count() == 0
@@ -64,14 +64,14 @@ def test_wordless_equal_texts_share_a_group(spark):
 
 
 def test_duplicate_groups_of_the_audit(spark):
-    rows = spark.createDataFrame([(2, "  Ошибка  Входа", "A", 0), (3, "ошибка входа", "B", None), (4, "", "A", 1), (5, "  Ошибка  Входа", "A", 0)],
-                                 "row int, text string, category string, count int")
-    assert sorted((r.group_row, r.row) for r in qu.exact_duplicates(rows, "row").collect()) == [(2, 2), (2, 5)]
-    assert sorted((r.group_row, r.row) for r in qu.text_duplicates(rows, "row", ["text"]).collect()) == [(2, 2), (2, 3), (2, 5)]
+    rows = spark.createDataFrame([(10, "Pump  OFF", "k1", 4), (11, "pump off", "k2", None), (12, None, "k1", 4), (13, "valve", "k1", 4),
+                                  (14, "Pump  OFF", "k1", 4), (15, "PUMP OFF ", "k3", 4)], "row int, text string, category string, count int")
+    assert sorted((r.group_row, r.row) for r in qu.exact_duplicates(rows, "row").collect()) == [(10, 10), (10, 14)]
+    assert sorted(r.row for r in qu.text_duplicates(rows, "row", ["text"]).collect()) == [10, 11, 14, 15]
     profile = {r["column"]: r for r in qu.column_profile(rows).collect()}
     assert profile["count"].missing == 1 and profile["text"].missing == 1
-    many = spark.createDataFrame([(str(i),) for i in range(17)], "category string")
-    assert tuple(qu.categories_outside(many, "category").first()) == (17, 2)
+    many = spark.createDataFrame([(f"kind {i}",) for i in range(21)], "category string")
+    assert tuple(qu.categories_outside(many, "category").first()) == (21, 6)
 
 
 def split_rows(spark, outcome="x"):
@@ -96,14 +96,15 @@ def test_placeholder_groups_go_to_review(spark):
 
 
 def test_training_accounting(spark):
-    rows = [(f"описание {label} {chr(97 + i)}", label) for label in ("alpha", "beta") for i in range(20)]
-    rows += [rows[0], (rows[1][0], "conflict"), (" ", "alpha")]
+    rows = [(f"report {word} number {i} of the week", word) for word in ("pump", "valve", "meter") for i in range(15)]
+    rows += [(rows[3][0], "pump"), (rows[3][0], "pump"), (rows[20][0], "pump"), ("\t", "valve"), (None, "meter")]
     source = spark.createDataFrame(rows, "description string, label string").withColumn("text", F.col("description"))
     report = sp.row_accounting(source).first()
-    assert (report.prepared_rows, report.conflict_rows_removed, report.duplicate_rows_removed, report.invalid_rows_removed) == (39, 2, 1, 1)
+    assert (report.invalid_rows_removed, report.conflict_rows_removed, report.duplicate_rows_removed, report.prepared_rows) == (2, 2, 2, 44)
     held = sp.with_target(sp.stratified_holdout(sp.consistent_features(sp.eligible_rows(source)).select("text", "label")))
     train, test = held.filter("split = 'train'"), held.filter("split = 'test'")
-    assert train.join(test, "text").count() == 0 and train.count() + test.count() == 39 and test.count() == 8
+    assert train.join(test, "text").count() == 0 and train.count() + test.count() == 44
+    assert {r.label for r in test.select("label").distinct().collect()} == {"pump", "valve", "meter"}
 
 
 def test_frequent_labels_come_from_training_alone(spark):
@@ -112,27 +113,44 @@ def test_frequent_labels_come_from_training_alone(spark):
     assert {r.target for r in held.filter("label = 'l15'").collect()} == {sp.OUTSIDE_TOP}
 
 
-HISTORY = ["пароль вход кабинет", "вход пароль ошибка", "доставка посылка задержка", "посылка доставка адрес"]
+CASES = [(1, "red pump leaks under load", "east"), (2, "pump leaks oil", "west"), (3, "pump noise", "west"), (4, "meter shows nothing", "east"),
+         (5, "red pump leaks", "north")]
 
 
 def test_retrieval_excludes_the_query_and_its_group(spark):
-    docs = spark.createDataFrame([(i, t, str(i // 2)) for i, t in enumerate(HISTORY)], "id int, text string, group string")
+    docs = spark.createDataFrame(CASES, "id int, text string, group string")
     postings, weights = ti.fit_index(docs, "id", "text")
-    asked = ti.known_terms(docs.filter("id = 0"), "id", "text", weights)
-    own = docs.select(F.col("id").alias("query"), "group")
-    hits = ti.similar_elsewhere(asked, postings, own, docs.select(F.col("id").alias("doc"), "group"), min_score=0.0)
-    assert hits.count() == 0
-    nobody = own.withColumn("group", F.lit("other"))
-    assert [r.doc for r in ti.similar_elsewhere(asked, postings, nobody, docs.select(F.col("id").alias("doc"), "group"), min_score=0.0).collect()] == [1]
+    groups = docs.select(F.col("id").alias("doc"), "group")
+
+    def hits(query_id, group, **options):
+        asked = ti.known_terms(docs.filter(F.col("id") == query_id), "id", "text", weights)
+        own = spark.createDataFrame([(query_id, group)], "query int, group string")
+        return [r.doc for r in ti.similar_elsewhere(asked, postings, own, groups, min_score=0.0, **options).orderBy("rank").collect()]
+
+    assert hits(1, "east") == [5, 2]  # of the two in the west only the better one
+    assert hits(1, "north") == [2] and hits(4, "east") == []
+    assert hits(1, "east", limit=1) == [5]
 
 
 def test_search_limits_ties_and_unknown_words(spark):
-    docs = spark.createDataFrame([(i, "общая ошибка авторизации пароль кабинет") for i in range(7)], "id int, text string")
+    docs = spark.createDataFrame([(10 * i, "pump and valve and gauge") for i in range(9)] + [(3, "valve")], "id int, text string")
+    postings, weights = ti.fit_index(docs, "id", "text")
+    asked = spark.createDataFrame([(1, "gauge pump"), (2, "qqq www"), (3, ""), (4, None)], "id int, text string")
+
+    def found(**options):
+        return [(r["query"], r.doc) for r in ti.search(asked, "id", "text", postings, weights, **options).orderBy("rank").collect()]
+
+    assert found(limit=50) == [(1, 10 * i) for i in range(5)]
+    assert found(limit=50, ceiling=None) == [(1, 10 * i) for i in range(9)]
+    assert found(limit=2) == [(1, 0), (1, 10)] and found(limit=0) == []
+
+
+def test_a_rare_term_beyond_any_limit_still_finds_its_document(spark):
+    docs = spark.createDataFrame([(i, f"common words only{i}") for i in range(50)] + [(99, "common needle")], "id int, text string")
     postings, weights = ti.fit_index(docs, "id", "text")
-    asked = spark.createDataFrame([(1, "ошибка авторизации"), (2, "zzzxqvv"), (3, " ")], "id int, text string")
-    hits = ti.search(asked, "id", "text", postings, weights, limit=100).orderBy("rank").collect()
-    assert [(r["query"], r.doc) for r in hits] == [(1, i) for i in range(5)]
-    assert ti.search(asked, "id", "text", postings, weights, limit=0).count() == 0
+    assert weights.count() > 100
+    hits = ti.search(spark.createDataFrame([(1, "needle")], "id int, text string"), "id", "text", postings, weights).collect()
+    assert [r.doc for r in hits] == [99]
 
 
 def test_spread_terms_give_the_same_scores(spark):

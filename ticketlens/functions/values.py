@@ -19,8 +19,8 @@ _DIGITS = r"\d+(?:_\d+)*"
 _NUMBER = rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
 _LARGEST = 1.7976931348623157e308
 
-# One part of a duration. Its size is limited so that the sum is always finite.
-_PART = r"\s*[+-]?(?:\d[\d_]{0,99}\.?(?:\d[\d_]*)?|\.\d[\d_]*)(?:[eE](?:-\d+|\+?\d{1,2}))?\s*"
+# One part of a duration; the sum is tested for finiteness after parsing.
+_PART = r"\s*[+-]?(?:\d[\d_]*\.?(?:\d[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?\s*"
 _DURATION = rf"^-?{_PART}:{_PART}(?::{_PART})?$"
 _INFINITE_PART = r"\s*[+-]?(?i:inf(?:inity)?)\s*"
 _DURATION_OR_INFINITE = rf"^-?(?:{_PART}|{_INFINITE_PART}):(?:{_PART}|{_INFINITE_PART})(?::(?:{_PART}|{_INFINITE_PART}))?$"
@@ -69,7 +69,8 @@ def duration_hours(value: Column | str, allow_infinite: bool = False) -> Column:
     def parse(text: Column) -> Column:
         sign = F.when(text.startswith("-"), -1.0).otherwise(1.0)
         parts = F.split(F.regexp_replace(text, r"^-|[_\s]", ""), ":")
-        return F.when(text.rlike(layout), sign * bound(parts, total))
+        hours = F.when(text.rlike(layout), sign * bound(parts, total))
+        return hours if allow_infinite else bound(hours, _finite)
 
     return bound(strip(value), parse)
 
@@ -79,7 +80,7 @@ def strict_duration_seconds(value: Column | str) -> Column:
     parts = F.split(text, ":")
     return F.when(
         text.rlike(r"^\d+:[0-5]\d:[0-5]\d$"),
-        parts[0].try_cast("bigint") * 3600 + parts[1].try_cast("bigint") * 60 + parts[2].try_cast("bigint"),
+        F.try_add(F.try_multiply(parts[0].try_cast("bigint"), F.lit(3600)), parts[1].try_cast("bigint") * 60 + parts[2].try_cast("bigint")),
     )
 
 
@@ -131,13 +132,13 @@ def audit_datetime(value: Column | str, layout: str) -> Column:
 
 def clarification_count(value: Column | str) -> Column:
     number = float_text(F.replace(as_column(value).cast("string"), F.lit(","), F.lit(".")))
-    return F.when(number % 1 == 0, number.cast("bigint"))
+    return F.when(number % 1 == 0, number.try_cast("bigint"))
 
 
 def clarification_count_batch(value: Column | str) -> Column:
     """Batch dialect: point decimals only."""
     number = float_text(as_column(value).cast("string"))
-    return F.when(number % 1 == 0, number.cast("bigint"))
+    return F.when(number % 1 == 0, number.try_cast("bigint"))
 
 
 def overdue_flag(value: Column | str, yes: str = OVERDUE_LABEL, no: str = NOT_OVERDUE_LABEL) -> Column:
@@ -159,5 +160,6 @@ def canonical(value: Column | str, data_type: T.DataType) -> Column:
     if isinstance(data_type, T.DateType):
         return F.date_format(column, "yyyy-MM-dd")
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss")
+        whole, fraction = F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss"), F.date_format(column, ".SSSSSS")
+        return F.concat(whole, F.when(fraction == ".000000", "").otherwise(fraction))
     return column

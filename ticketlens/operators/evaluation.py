@@ -112,7 +112,7 @@ def recommend(scored: DataFrame, classes: Sequence[str], class_rows: DataFrame,
     rows = scored.withColumns({
         "line": F.when(any_term, F.element_at(names, F.array_position(F.col(probabilities), best).cast("int"))),
         "confidence": F.when(any_term, best).otherwise(0.0)})
-    counts = F.broadcast(class_rows.select(F.col("label").alias("_label"), "rows"))  # one row per class
+    counts = class_rows.select(F.col("label").alias("_label"), "rows")
     joined = rows.join(counts, F.col("line") == F.col("_label"), "left")
     review = F.col("line").isNull() | (F.col("confidence") < threshold) | (F.coalesce("rows", F.lit(0)) < MIN_CLASS_ROWS)
     return joined.withColumn("needs_review", review).withColumn(
@@ -177,7 +177,7 @@ def class_holdout(scored: DataFrame, known: DataFrame | None = None) -> DataFram
     """Per-class report with the number of accepted rows of each actual class."""
     rows = scored.withColumn("reason", review_reason("predicted", "confidence", "known_words"))
     accepted = rows.filter("reason IS NULL").groupBy("actual").agg(F.count(F.lit(1)).alias("automatic_count"))
-    return class_report(confusion(rows), known).join(F.broadcast(accepted), F.col("label") == F.col("actual"), "left").select(
+    return class_report(confusion(rows), known).join(accepted, F.col("label") == F.col("actual"), "left").select(
         "label", "precision", "recall", "f1", "support", F.coalesce("automatic_count", F.lit(0)).alias("automatic_count"))
 
 

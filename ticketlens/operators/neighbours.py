@@ -126,7 +126,7 @@ def near_pair_totals(prepared: TokenSets, pairs: DataFrame, labels: DataFrame, i
     return totals.select("near_pairs", (F.col("near_pairs") - F.col("_same")).alias("conflicting_pairs"))
 
 
-def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(vertex, component) for every vertex with an edge; a component is named by its smallest vertex.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014), which
@@ -157,13 +157,10 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 50)
         total, worst = seen.agg(F.coalesce(F.sum("child"), F.lit(0)), F.coalesce(F.max(F.col("child") + F.col("parent")), F.lit(0))).first()
         return total, worst <= 1
 
-    for _ in range(max_rounds):
-        total, settled = shape(current)
-        if settled:
-            break
+    total, settled = shape(current)
+    while not settled:  # every round of a graph that is no set of stars yet moves links to smaller vertices
         current = materialize(star(star(current, True, 2 * total), False, 2 * total), "edges")
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        total, settled = shape(current)
     members = current.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
     return members.unionByName(members.select(F.col("component").alias("vertex"), "component").distinct())
 

@@ -28,9 +28,15 @@ def seeded_hash(value: Column | str, seed: int = SEED) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), value if isinstance(value, Column) else F.col(value)), 256)
 
 
+def _is_placeholder(text: Column) -> Column:
+    """Whether a text is one of the placeholders; only texts short enough to be one are folded."""
+    longest = 2 * max(map(len, PLACEHOLDERS))
+    return F.coalesce(casefold(F.when(F.length(text) <= longest, text)).isin(*PLACEHOLDERS), F.lit(False))
+
+
 def group_facts(rows: DataFrame, group: str = "duplicate_group", category: str = "category") -> DataFrame:
     """Size, label conflict and placeholder mark of every duplicate group."""
-    placeholder = casefold("text_clean").isin(*PLACEHOLDERS).cast("int")
+    placeholder = _is_placeholder(F.col("text_clean")).cast("int")
     return rows.groupBy(group).agg(
         F.count(F.lit(1)).alias("group_size"), F.min(category).alias("group_category"),
         (F.min(category) != F.max(category)).alias("conflict"), (F.max(placeholder) == 1).alias("placeholder"))
@@ -43,7 +49,7 @@ def quality_flags(category_conflict: Column, group_size: Column) -> Column:
         F.when(category_conflict, "conflicting_category"),
         F.when(group_size > 1, "repeated_text"),
         F.when(F.length(text) < SHORT_TEXT, "short_text_review"),
-        F.when(casefold(text).isin(*PLACEHOLDERS), "empty_or_test_template"),
+        F.when(_is_placeholder(text), "empty_or_test_template"),
         F.when(F.col("service") == UNKNOWN_SERVICE, "unknown_service"),
         F.when(strip(F.coalesce("component", F.lit(""))) == "", "missing_service_component")))
 

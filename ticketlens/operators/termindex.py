@@ -56,13 +56,14 @@ def char_counts(texts: DataFrame, id_column: str, text: str, shortest: int = 3,
     return grams.groupBy("doc", "term").agg(F.sum("_n").alias("tf"))
 
 
-def vocabulary(counts: DataFrame, min_df: int = 1, limit: int = WORD_FEATURES) -> DataFrame:
-    """The ``limit`` most frequent terms in at least ``min_df`` documents, ties in term order.
+def vocabulary(counts: DataFrame, min_df: int = 1, limit: int | None = None) -> DataFrame:
+    """Terms in at least ``min_df`` documents; with a ``limit`` the most frequent ones, ties in term order.
 
-    Never more than ``limit`` rows, so it may always be broadcast.
+    A limit is a parameter of a classifier's features. Retrieval has none:
+    every term can find documents.
     """
-    totals = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    return totals.filter(F.col("df") >= min_df).orderBy(F.desc("total"), F.asc("term")).limit(limit)
+    totals = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
+    return totals if limit is None else totals.orderBy(F.desc("total"), F.asc("term")).limit(limit)
 
 
 def term_weights(vocab: DataFrame, documents: Column) -> DataFrame:
@@ -73,19 +74,20 @@ def term_weights(vocab: DataFrame, documents: Column) -> DataFrame:
 def tfidf(counts: DataFrame, weights: DataFrame) -> DataFrame:
     """(doc, term, weight): sublinear tf times idf, each document scaled to length one.
 
-    ``counts`` placed by document stays placed: the vocabulary is broadcast and
-    the norm is a window over the document.
+    ``weights`` is a written table: Spark broadcasts it if its size allows,
+    and then ``counts`` stay placed by document; otherwise terms are joined in
+    a shuffle, where AQE splits frequent ones.
     """
-    raw = counts.join(F.broadcast(weights.select("term", "idf")), "term").select(
+    raw = counts.join(weights.select("term", "idf"), "term").select(
         "doc", "term", ((F.log(F.col("tf").cast("double")) + 1.0) * F.col("idf")).alias("_w"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("doc")))
     return raw.select("doc", "term", (F.col("_w") / norm).alias("weight"))
 
 
 def fit_index(texts: DataFrame, id_column: str, text: str, words: Words = tx.search_words,
-              min_df: int = 1, limit: int = WORD_FEATURES) -> tuple[DataFrame, DataFrame]:
-    """Postings of a corpus and the (term, df, idf) table that weighs later queries."""
-    counts = term_counts(texts, id_column, text, words)
+              min_df: int = 1, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Postings of a corpus and the (term, df, idf) table that weighs later queries. Texts are cut into terms once."""
+    counts = materialize(term_counts(texts, id_column, text, words), "term_counts")
     total = texts.agg(F.count(F.lit(1)).alias("n")).scalar()
     weights = materialize(term_weights(vocabulary(counts, min_df, limit), total), "weights")
     return tfidf(counts, weights), weights
@@ -116,7 +118,8 @@ def spread_terms(queries: DataFrame, postings: DataFrame, weights: DataFrame, ro
     The lane becomes part of the term, so :func:`pair_scores` works on the
     result unchanged and gives the same scores.
     """
-    lanes = F.broadcast(weights.select("term", F.ceil(F.col("df") / rows_per_lane).cast("int").alias("_lanes")).filter("_lanes > 1"))
+    # A term in this list has more than rows_per_lane postings, so it is short beside the postings; Spark decides on its size.
+    lanes = weights.select("term", F.ceil(F.col("df") / rows_per_lane).cast("int").alias("_lanes")).filter("_lanes > 1")
     corpus = postings.join(lanes, "term", "left").select(
         "doc", F.struct("term", F.when(F.col("_lanes").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc"), F.col("_lanes"))).cast("int").alias("lane")).alias("term"), "weight")
     asked = queries.join(lanes, "term", "left").select(
@@ -140,11 +143,15 @@ def top_hits(scores: DataFrame, limit: int = TOP_HITS, min_score: float | None =
 
 
 def search(queries: DataFrame, id_column: str, text: str, postings: DataFrame, weights: DataFrame,
-           limit: int = TOP_HITS, min_score: float | None = None) -> DataFrame:
-    """Top documents of each query text; blank queries and queries without a known term give no rows."""
+           limit: int = TOP_HITS, min_score: float | None = None, ceiling: int | None = TOP_HITS) -> DataFrame:
+    """Top documents of each query text; blank queries and queries without a known term give no rows.
+
+    ``ceiling`` is the rule of the interactive search, which never shows more
+    hits than that; None leaves the number to ``limit``.
+    """
     asked = materialize(known_terms(queries, id_column, text, weights), "queries")
     scores = pair_scores(*spread_terms(asked, postings, weights))
-    return top_hits(scores, min(TOP_HITS, max(0, limit)), min_score)
+    return top_hits(scores, limit if ceiling is None else min(ceiling, limit), min_score)
 
 
 def explain_hits(hits: DataFrame, queries: DataFrame, postings: DataFrame, limit: int = TOP_HITS) -> DataFrame:
@@ -176,7 +183,7 @@ def similar_elsewhere(queries: DataFrame, postings: DataFrame, query_groups: Dat
 def known_word_counts(texts: DataFrame, id_column: str, text: str, weights: DataFrame) -> DataFrame:
     """Distinct single words of each text that the vocabulary knows; zero for texts without any."""
     words = texts.select(F.col(id_column).alias("doc"), F.explode(F.array_distinct(tx.classifier_words(text))).alias("term"))
-    known = words.join(F.broadcast(weights.select("term")), "term").groupBy("doc").agg(F.count(F.lit(1)).alias("known_words"))
+    known = words.join(weights.select("term"), "term").groupBy("doc").agg(F.count(F.lit(1)).alias("known_words"))
     return texts.select(F.col(id_column).alias("doc")).join(known, "doc", "left").select(
         "doc", F.coalesce("known_words", F.lit(0)).alias("known_words"))
 

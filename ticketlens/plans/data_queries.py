@@ -89,13 +89,16 @@ def _header_check(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---- ingest -----------------------------------------------------------------------------
 
-@query("canonical_cells", """
-    SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, nullif(CASE WHEN event_type = 'view' THEN '' ELSE event_type END, '') AS event_type,
-           CASE WHEN event_type <> 'click' THEN value END AS value FROM events""")
+SQL_TS = "strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN strftime(ts, '.%f') = '.000000' THEN '' ELSE strftime(ts, '.%f') END"
+
+
+@query("canonical_cells", f"""
+    SELECT event_id, {SQL_TS} AS ts, user_id, nullif(CASE WHEN event_type = 'view' THEN '' ELSE event_type END, '') AS event_type,
+           CASE WHEN event_type <> 'click' THEN value END AS value, props FROM events""")
 def _canonical(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "events").select(
-        "event_id", "ts", F.when(F.col("event_type") == "view", "").otherwise(F.col("event_type")).alias("event_type"),
-        F.when(F.col("event_type") == "click", F.lit(float("nan"))).otherwise(F.col("value")).alias("value"))
+    rows = table(spark, folder, "events").withColumns({
+        "event_type": F.when(F.col("event_type") == "view", "").otherwise(F.col("event_type")),
+        "value": F.when(F.col("event_type") == "click", F.lit(float("nan"))).otherwise(F.col("value"))})
     return ingest.canonical_cells(rows)
 
 

@@ -9,9 +9,10 @@ from ticketlens.operators import evaluation as ev
 from ticketlens.operators import models as ml
 from ticketlens.operators import splits as sp
 from ticketlens.operators import termindex as ti
+from ticketlens.plans.data_queries import SQL_TS
 from ticketlens.plans.registry import query, rounded
 from ticketlens.plans.text_queries import prepared_documents, sql_counts, sql_tfidf, sql_weights
-from ticketlens.plans.views import once, tickets, with_tickets
+from ticketlens.plans.views import kept, once, tickets, with_tickets
 from ticketlens.sources.tables import table
 
 # ---- policies and metrics on a counting model -------------------------------------------
@@ -209,24 +210,19 @@ def _evidence(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---- trained models ---------------------------------------------------------------------
 
-_MODELS: dict[tuple[str, str, str], object] = {}
-
-
 def line_model(spark: SparkSession, folder: str):
     """Language as the support line: train on the train split, choose on validation."""
-    key = (spark.sparkContext.applicationId, folder, "line")
-    if key not in _MODELS:
+    def build():
         rows = prepared_documents(spark, folder).select("id", "text_clean", "lang", "split")
-        _MODELS[key] = ml.fit_line_model(rows.filter("split = 'train'"), rows.filter("split = 'validation'"), "id", "text_clean", "lang")
-    return _MODELS[key]
+        return ml.fit_line_model(rows.filter("split = 'train'"), rows.filter("split = 'validation'"), "id", "text_clean", "lang")
+    return kept(spark, folder, "line_model", build)
 
 
 def category_model(spark: SparkSession, folder: str) -> ml.CategoryModel:
-    key = (spark.sparkContext.applicationId, folder, "category")
-    if key not in _MODELS:
+    def build():
         rows = prepared_documents(spark, folder).filter("split = 'train'").select("id", "text_clean", "lang")
-        _MODELS[key] = ml.fit_category_model(rows, "id", "text_clean", "lang")
-    return _MODELS[key]
+        return ml.fit_category_model(rows, "id", "text_clean", "lang")
+    return kept(spark, folder, "category_model", build)
 
 
 def _test_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -285,18 +281,24 @@ def _triage_of_texts(spark: SparkSession, folder: str) -> DataFrame:
     return decided.withColumn("similar", F.size(F.coalesce("similar", F.array().cast("array<struct<rank:int,doc:bigint,score:double>>"))))
 
 
-@query("incremental_import", """
-    SELECT _record_id, event_type, n FROM (SELECT substr(sha256(concat_ws('|', '6:events', '6:stream', length(cast(event_id AS varchar)) || ':' || event_id,
-             length(event_type) || ':' || event_type, length(cast(user_id AS varchar)) || ':' || user_id)), 1, 20) AS _record_id, event_type, 1 AS n FROM events)""")
+_EVENT_CELLS = ", ".join(f"coalesce(length(x) || ':' || x, '-')".replace("x", f"cast({c} AS varchar)")
+                         for c in ("event_id", "nullif(event_type, '')", "nullif(props, '')", f"({SQL_TS})", "user_id", "value"))
+
+
+@query("incremental_import", " UNION ALL ".join(f"""
+    SELECT substr(sha256(concat_ws('|', '{len(name)}:{name}', '6:stream', {_EVENT_CELLS})), 1, 20) AS _record_id, event_type, user_id, value, props, {SQL_TS} AS ts,
+           1 AS n FROM events""" for name in ("web events", "app events")))
 def _incremental(spark: SparkSession, folder: str) -> DataFrame:
-    """Events streamed into a table twice: the second run finds every record already there."""
-    from ticketlens.streaming.jobs import import_stream
+    """Two streams of events into one table, each started twice: a second start finds every record of its own already there."""
     from ticketlens.session import scratch_path
+    from ticketlens.streaming.jobs import import_stream
     target = scratch_path(spark, "imported")
-    for run in ("first", "second"):
-        source = spark.readStream.schema(table(spark, folder, "events").schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-        import_stream(source.select("event_id", "event_type", "user_id"), target, f"{target}-state-{run}", "events", "stream", "event_id")
-    return spark.read.parquet(target).groupBy("_record_id", "event_type").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    for name in ("web events", "app events"):
+        for run in ("first", "second"):
+            source = spark.readStream.schema(table(spark, folder, "events").schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+            import_stream(source, target, f"{target}-state/{name[:3]}/{run}", name, "stream", "event_id")
+    stored = spark.read.parquet(target)
+    return stored.groupBy("_record_id", "event_type", "user_id", "value", "props", "ts").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
 @query("continuous_triage")

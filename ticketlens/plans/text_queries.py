@@ -11,7 +11,7 @@ from ticketlens.operators import quality as qu
 from ticketlens.operators import splits as sp
 from ticketlens.operators import termindex as ti
 from ticketlens.plans.registry import query, rounded, sql_collapse, sql_fold
-from ticketlens.plans.views import once
+from ticketlens.plans.views import kept, once
 from ticketlens.sources.tables import table
 
 _WORD = r"[\p{L}\p{N}_]+"
@@ -28,14 +28,8 @@ PAIRS_SQL = f"""normal AS (SELECT doc_id, source, lang, text, {sql_collapse(sql_
   pairs AS (SELECT rep_a, rep_b, o / cast(na + nb - o AS double) AS score FROM meetings WHERE o / cast(na + nb - o AS double) >= 0.85)"""
 
 
-_TOKEN_SETS: dict[tuple[str, str], nb.TokenSets] = {}
-
-
 def _token_sets(spark: SparkSession, folder: str) -> nb.TokenSets:
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _TOKEN_SETS:
-        _TOKEN_SETS[key] = nb.token_sets(table(spark, folder, "documents"), "doc_id", "text")
-    return _TOKEN_SETS[key]
+    return kept(spark, folder, "token_sets", lambda: nb.token_sets(table(spark, folder, "documents"), "doc_id", "text"))
 
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -237,9 +231,9 @@ def sql_counts(source: str, key: str, words: str = _SEARCH_WORDS) -> str:
             f"FROM (SELECT {key} AS doc, {words} AS ws FROM {source})) GROUP BY doc, term")
 
 
-def sql_weights(counts: str, total: str, min_df: int, limit: int = 40000) -> str:
+def sql_weights(counts: str, total: str, min_df: int, limit: int | None = None) -> str:
     return (f"SELECT term, count(*) AS df, ln((1.0 + {total}) / (1.0 + count(*))) + 1 AS idf FROM {counts} GROUP BY term "
-            f"HAVING count(*) >= {min_df} ORDER BY sum(tf) DESC, term LIMIT {limit}")
+            f"HAVING count(*) >= {min_df}" + (f" ORDER BY sum(tf) DESC, term LIMIT {limit}" if limit else ""))
 
 
 def sql_tfidf(counts: str, weights: str) -> str:
@@ -278,7 +272,7 @@ def _char_terms(spark: SparkSession, folder: str) -> DataFrame:
 @query("vocabulary", f"""WITH counts AS ({sql_counts('documents', 'doc_id')})
     SELECT term, count(*) AS df, cast(sum(tf) AS bigint) AS total FROM counts GROUP BY term HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 40000""")
 def _vocabulary(spark: SparkSession, folder: str) -> DataFrame:
-    return ti.vocabulary(ti.term_counts(table(spark, folder, "documents"), "doc_id", "text"), min_df=2)
+    return ti.vocabulary(ti.term_counts(table(spark, folder, "documents"), "doc_id", "text"), min_df=2, limit=ti.WORD_FEATURES)
 
 
 @query("tfidf_weights", f"""WITH counts AS ({sql_counts('documents', 'doc_id')}),
@@ -290,11 +284,11 @@ def _tfidf(spark: SparkSession, folder: str) -> DataFrame:
         F.count(F.lit(1)).alias("terms"), F.sum("weight").alias("total"), F.max("weight").alias("strongest")))
 
 
-@query("known_word_counts", f"""WITH counts AS ({sql_counts('documents', 'doc_id', _CLASS_WORDS)}), weights AS ({sql_weights('counts', '1', 2)}),
+@query("known_word_counts", f"""WITH counts AS ({sql_counts('documents', 'doc_id', _CLASS_WORDS)}), weights AS ({sql_weights('counts', '1', 2, 40000)}),
     words AS (SELECT item_id AS doc, unnest(list_distinct({_CLASS_WORDS})) AS term FROM benchmark)
     SELECT item_id AS doc, count(weights.term) AS known_words FROM benchmark LEFT JOIN words ON doc = item_id LEFT JOIN weights USING (term) GROUP BY item_id""")
 def _known_words(spark: SparkSession, folder: str) -> DataFrame:
-    _, weights = ti.fit_index(table(spark, folder, "documents"), "doc_id", "text", tx.classifier_words, min_df=2)
+    _, weights = ti.fit_index(table(spark, folder, "documents"), "doc_id", "text", tx.classifier_words, min_df=2, limit=ti.WORD_FEATURES)
     return ti.known_word_counts(table(spark, folder, "benchmark"), "item_id", "text", weights)
 
 

@@ -213,7 +213,9 @@ def _feature_partition(spark: SparkSession, folder: str) -> DataFrame:
     rows = batch_tickets(spark, folder)
     known, outcome = en.registration_features(rows), en.workflow_outcomes(rows)
     en.check_no_outcomes(known.columns)
-    joined = known.join(outcome.select("ticket_id", "fact_sla_h"), "ticket_id")
+    # Ticket ids may repeat, so the parts meet on the position of their row.
+    known = rows.select("position", *known.columns)
+    joined = known.join(rows.select("position", *[c for c in outcome.columns if c not in known.columns]), "position")
     return joined.groupBy("service").agg(F.count(F.lit(1)).alias("registered"), F.count("fact_sla_h").alias("with_sla"))
 
 
@@ -316,7 +318,7 @@ def _search_total(spark: SparkSession, folder: str) -> DataFrame:
     SELECT event_id, event_type FROM events WHERE contains(lower(event_type), 'err') OR contains(json_extract_string(props, '$.k'), 'err')
     ORDER BY event_id LIMIT 25 OFFSET 50""")
 def _search_page(spark: SparkSession, folder: str) -> DataFrame:
-    found = fl.search_values(table(spark, folder, "events").drop("ts"), "ERR")
+    found = fl.search_values(table(spark, folder, "events"), "ERR")
     return fl.page(found, "event_id", 25, 50).select("event_id", "event_type")
 
 

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ticketlens.operators import enrich as en
-from ticketlens.session import materialize
+from ticketlens.session import discard, folder_state, materialize
 from ticketlens.sources.tables import spread, table
 
 
@@ -178,15 +178,23 @@ tickets AS (
          {", ".join(f"line_{n}_{name}_h" for n in en.LINES for name in ("react", "work"))}
   FROM totals)"""
 
-_MEMO: dict[tuple[str, str, str], DataFrame] = {}
+_KEPT: dict[tuple[str, str, str], tuple[tuple, object]] = {}
+
+
+def kept(spark: SparkSession, folder: str, name: str, build: Callable[[], object]) -> object:
+    """Result of ``build`` for the present content of a folder; made anew, and the old table deleted, once a table has changed."""
+    key, state = (spark.sparkContext.applicationId, folder, name), folder_state(spark, folder)
+    known = _KEPT.get(key)
+    if known is None or known[0] != state:
+        if known is not None and isinstance(known[1], DataFrame):
+            discard(known[1])
+        _KEPT[key] = (state, build())
+    return _KEPT[key][1]
 
 
 def once(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Table derived once per application and kept in the shared scratch folder."""
-    key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _MEMO:
-        _MEMO[key] = spread(materialize(build(), name))
-    return _MEMO[key]
+    """Table derived once for the present content of a folder, kept in the shared scratch folder."""
+    return spread(kept(spark, folder, name, lambda: materialize(build(), name)))
 
 
 def raw_tickets(spark: SparkSession, folder: str) -> DataFrame:

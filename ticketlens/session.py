@@ -69,3 +69,22 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(frame: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote for ``frame``; nothing may read it any more."""
+    files = frame.inputFiles()
+    if files:
+        path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def folder_state(spark: SparkSession, folder: str) -> tuple:
+    """Name, size, number of files and time of change of every table in a folder: differs once a table has changed."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    state = []
+    for entry in files.listStatus(root):
+        total = files.getContentSummary(entry.getPath())
+        state.append((entry.getPath().getName(), total.getLength(), total.getFileCount(), entry.getModificationTime()))
+    return tuple(sorted(state))
