@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticketlens.llm.common import LANES, ascii_words, attach, mixed, window_hashes, word_hashes
+from ticketlens.llm.common import LANES, ascii_words, attach, mixed, perhaps_in, window_hashes, word_hashes
 from ticketlens.operators.neighbours import connected_components
-from ticketlens.session import materialize
+from ticketlens.session import discard, materialize
 
 SIZE = 4
 PERCENT = 85
@@ -23,6 +23,11 @@ COMMON_SHARE = 0.001
 #: Most shingles that the end of the order can hold: 8 bytes each are sent to every task.
 MOST_COMMON = 20_000
 BLOCK_DOCS, BLOCK_SHINGLES = 4_000, 4_000_000
+#: Places of the order that the first round looks at; the second round takes all that is left.
+FIRST_PLACES = 8
+HOME_PAIRS = 256
+#: Shingles that a task hands on at a time.
+BATCH_SHINGLES = 1_000_000
 
 
 def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
@@ -110,35 +115,55 @@ def _similar(overlap: Column, n_a: Column, n_b: Column, percent: int) -> Column:
 
 
 def _fragments(texts: DataFrame, size: int, common: np.ndarray, fragments: int) -> DataFrame:
-    """(uid, fragment, tokens): the set of each text, cut along the global order."""
+    """(home, lane, uid, fragment, tokens): the set of each text (uid, home, lane, text), cut along the global order."""
+    def packed(rows: list, parts: list) -> pa.RecordBatch:
+        return pa.record_batch([*[pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], pa.array(parts, pa.list_(pa.int64()))],
+                               names=["home", "lane", "uid", "fragment", "tokens"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uids, numbers, parts = [], [], []
-            for uid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            rows, parts, held = [], [], 0
+            for uid, home, lane, text in zip(*[batch.column(c).to_pylist() for c in range(3)], batch.column(3)):
                 ordered, rare = _ordered(shingles(text.as_py(), size), common)
                 bounds = [*np.searchsorted(ordered[:rare], np.array([(i << 64) // (fragments - 1) for i in range(fragments - 1)], np.uint64)),
                           rare, len(ordered)]
                 for number, (start, end) in enumerate(zip(bounds, bounds[1:])):
                     if start < end:
-                        uids.append(uid)
-                        numbers.append(number)
+                        rows.append((home, lane, uid, number))
                         parts.append(ordered[start:end].view(np.int64))
-            yield pa.record_batch([pa.array(uids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(parts, pa.list_(pa.int64()))],
-                                  names=["uid", "fragment", "tokens"])
+                held += len(ordered)
+                if held >= BATCH_SHINGLES:
+                    yield packed(rows, parts)
+                    rows, parts, held = [], [], 0
+            yield packed(rows, parts)
+
+    return texts.mapInArrow(cut, "home long, lane long, uid long, fragment long, tokens array<long>")
 
-    return texts.mapInArrow(cut, "uid long, fragment int, tokens array<long>")
 
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int, percent: int, common: np.ndarray, fragments: int) -> DataFrame:
+    """Pairs (a, b) of those (a, b, n_a, n_b) that are similar: overlaps are counted per fragment of the order and summed per pair.
 
-def _verified(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, n_a, n_b) that are similar: overlaps are counted fragment by fragment and summed per pair."""
-    left = cut.select(F.col("uid").alias("a"), "fragment", F.col("tokens").alias("tokens_a"))
-    right = cut.select(F.col("uid").alias("b"), "fragment", F.col("tokens").alias("tokens_b"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select(
-        "a", "b", "n_a", "n_b", "fragment", F.size(F.array_intersect("tokens_a", "tokens_b")).alias("shared"))
-    # A text repeated under one id is cut twice; each fragment counts once.
-    once = partial.groupBy("a", "b", "n_a", "n_b", "fragment").agg(F.max("shared").alias("shared"))
-    summed = once.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
-    return summed.filter(_similar(F.col("shared"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+    The second set of a pair travels to its first one, fragment by fragment.
+    A first set with many pairs is repeated once for every HOME_PAIRS of them.
+    """
+    degrees = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HOME_PAIRS).alias("lanes"))
+    laned = attach(pairs, degrees, "a", F.col("b")).withColumn("lane", F.pmod(F.xxhash64("b", F.lit(1)), F.col("lanes")))
+    roles = laned.select(F.col("b").alias("uid"), F.col("a").alias("home"), "lane").unionByName(
+        laned.select(F.col("a").alias("uid"), F.col("a").alias("home"), "lane").distinct())
+    where = materialize(roles.join(sets.select("uid", "lead"), "uid").select(
+        "uid", "home", "lane", F.col("lead.id").alias("id"), F.col("lead.text_hash").alias("text_hash")), "ngram_roles")
+    digest = F.xxhash64("id", "text_hash")
+    near = perhaps_in(texts, digest, where, digest)
+    chosen = near.join(where, near["id"].eqNullSafe(where["id"]) & (near["text_hash"] == where["text_hash"])).select("uid", "home", "lane", "text")
+    place = Window.partitionBy("home", "lane", "fragment").orderBy(F.col("uid") != F.col("home"))
+    first = F.first(F.struct("uid", "tokens")).over(place)
+    met = _fragments(chosen, size, common, fragments).select("home", "uid", "fragment", "tokens", first.alias("own"))
+    partial = met.filter((F.col("uid") != F.col("home")) & (F.col("own.uid") == F.col("home"))).select(
+        "home", "uid", "fragment", F.size(F.array_intersect("tokens", "own.tokens")).alias("shared"))
+    # A text repeated under one id is cut more than once; each fragment counts once.
+    summed = partial.groupBy("home", "uid", "fragment").agg(F.max("shared").alias("shared")).groupBy("home", "uid").agg(F.sum("shared").alias("shared"))
+    return summed.join(pairs.select(F.col("a").alias("home"), F.col("b").alias("uid"), "n_a", "n_b"), ["home", "uid"]).filter(
+        _similar(F.col("shared"), F.col("n_a"), F.col("n_b"), percent)).select(F.col("home").alias("a"), F.col("uid").alias("b"))
 
 
 def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT,
@@ -154,10 +179,10 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
        in the global order (common shingles last). Prefixes are joined; common
        shingles are spread over lanes.
     3. First every set is compared with the first and the previous set that
-       share a prefix shingle with it. This ties large groups together in as
-       many pairs as they have members.
-    4. Then all remaining pairs that share a prefix shingle and lie in
-       different groups are compared. Pairs inside a group cannot change it.
+       share one of its FIRST_PLACES first shingles. This ties large groups
+       together in a few pairs for each member.
+    4. Then all remaining pairs that lie in different groups and share enough
+       of their prefixes are compared. Pairs inside a group cannot change it.
     5. A comparison adds up overlaps per fragment of the global order.
 
     A text without words (null, empty or blank) has no shingles and is its own
@@ -171,15 +196,18 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     hashed = texts.select("id", F.xxhash64("text").alias("text_hash"), "text")
     common = common_shingles(texts.select("text"), size, texts.count())
     signed = materialize(_signatures(hashed, size, percent, common), "ngram_signatures")
+    members = materialize(signed.select("id", "text_hash", "set_key", "n"), "ngram_members")
 
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("text_hash")))
     grouped = signed.filter("n > 0").groupBy("set_key").agg(
         first.alias("lead"), F.first("n").alias("n"), F.first("n_light").alias("n_light"), F.first("prefix").alias("prefix"))
-    sets = materialize(grouped.select("set_key", "lead", "n", "n_light", "prefix",
-                                      F.monotonically_increasing_id().alias("uid")), "ngram_sets")
+    prefixes = materialize(grouped.select("set_key", "lead", "n", "n_light", "prefix",
+                                          F.monotonically_increasing_id().alias("uid")), "ngram_prefixes")
+    sets = materialize(prefixes.select("uid", "set_key", "lead"), "ngram_sets")
+    discard(signed)
 
     # Place in the order and size travel in one number.
-    tokens = sets.select("uid", "n", "n_light", F.posexplode("prefix").alias("place", "token"))
+    tokens = prefixes.select("uid", "n", "n_light", F.posexplode("prefix").alias("place", "token"))
     packed = (F.col("n").cast("bigint") * F.lit(1 << 31) + F.col("place")).alias("packed")
     rare = tokens.filter("place < n_light").select("token", "uid", packed, F.lit(-1).alias("lane"))
     often = tokens.filter("place >= n_light").select("token", "uid", packed, F.pmod(F.xxhash64("uid"), F.lit(LANES)).cast("int").alias("lane"))
@@ -192,10 +220,12 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
     alone = met(rare, "token").filter(F.col("before").isNotNull() | F.col("more"))
     shared = materialize(alone.unionByName(met(often, "token", "lane")), "ngram_shared")
+    discard(prefixes)
     heads = shared.filter("before is null and lane >= 0")
     lanes = heads.join(
         heads.groupBy("token").agg(F.min(F.struct("uid", "packed")).alias("over")), "token")
-    links = shared.filter("before is not null").select("uid", "packed", F.explode(F.array("before", "lead")).alias("other")).unionByName(
+    early = shared.filter("before is not null").filter(F.col("packed").bitwiseAND(F.lit((1 << 31) - 1)) < FIRST_PLACES)
+    links = early.select("uid", "packed", F.explode(F.array("before", "lead")).alias("other")).unionByName(
         lanes.select("uid", "packed", F.col("over").alias("other")))
 
     def size_of(pack: Column) -> Column:
@@ -214,13 +244,10 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         F.col("other.uid").alias("a"), F.col("uid").alias("b"), size_of(F.col("other.packed")).alias("n_a"), size_of(F.col("packed")).alias("n_b"))
     near = materialize(near.distinct(), "ngram_near")
 
-    def cut_for(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(sets.select("uid", "lead"), "uid")
-        keyed = wanted.select("uid", F.col("lead.id").alias("id"), F.col("lead.text_hash").alias("text_hash"))
-        chosen = hashed.join(keyed, hashed["id"].eqNullSafe(keyed["id"]) & (hashed["text_hash"] == keyed["text_hash"])).select("uid", "text")
-        return materialize(_fragments(chosen, size, common, fragments), "ngram_fragments")
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _verified(pairs, sets, hashed, size, percent, common, fragments)
 
-    edges = materialize(_verified(near, cut_for(near), percent), "ngram_edges")
+    edges = materialize(verified(near), "ngram_edges")
     tied = materialize(connected_components(edges, "a", "b"), "ngram_tied")
 
     grouped_rows = shared.select("token", "uid", "packed").join(tied.withColumnRenamed("vertex", "uid"), "uid", "left").select(
@@ -228,13 +255,18 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     spans = grouped_rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token")
     open_rows = materialize(attach(grouped_rows, spans.withColumn("open", F.lit(True)), "token", F.col("uid")).filter("open").drop("open"), "ngram_open")
     one, two = (open_rows.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("uid", "packed", "component")]) for side in "ab")
-    rest = one.join(two, "token").filter((F.col("component_a") < F.col("component_b")) & possible(F.col("packed_a"), F.col("packed_b"))).select(
+    meetings = one.join(two, "token").filter((F.col("component_a") < F.col("component_b")) & possible(F.col("packed_a"), F.col("packed_b")))
+    # All prefix shingles that a pair shares are counted: what lies behind the last of them bounds the rest of the overlap.
+    counted = meetings.groupBy("uid_a", "uid_b", size_of(F.col("packed_a")).alias("n_a"), size_of(F.col("packed_b")).alias("n_b")).agg(
+        F.count(F.lit(1)).alias("c"), F.max(place_of(F.col("packed_a"))).alias("at_a"), F.max(place_of(F.col("packed_b"))).alias("at_b"))
+    most = F.col("c") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
+    ahead = F.col("uid_a") < F.col("uid_b")
+    rest = counted.filter(_similar(most, F.col("n_a"), F.col("n_b"), percent)).select(
         F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b"),
-        F.when(F.col("uid_a") < F.col("uid_b"), size_of(F.col("packed_a"))).otherwise(size_of(F.col("packed_b"))).alias("n_a"),
-        F.when(F.col("uid_a") < F.col("uid_b"), size_of(F.col("packed_b"))).otherwise(size_of(F.col("packed_a"))).alias("n_b")).distinct()
+        F.when(ahead, F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(ahead, F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"))
     rest = materialize(rest.join(near.select("a", "b"), ["a", "b"], "left_anti"), "ngram_rest")
     if not rest.isEmpty():
-        more = _verified(rest, cut_for(rest), percent)
+        more = verified(rest)
         bridges = tied.select(F.col("component").alias("a"), F.col("vertex").alias("b")).unionByName(more)
         tied = materialize(connected_components(bridges, "a", "b"), "ngram_tied")
 
@@ -242,7 +274,7 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         "set_key", "lead", F.coalesce("component", "uid").alias("component"))
     named = placed.groupBy("component").agg(F.min("lead").alias("best"))
     facts = attach(placed.select("set_key", "component"), named, "component", F.col("set_key")).select("set_key", "best")
-    joined = attach(signed.select("id", "text_hash", "set_key", "n"), facts, "set_key", F.struct("id", "text_hash"))
+    joined = attach(members, facts, "set_key", F.struct("id", "text_hash"))
     own = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("text_hash"))
     return joined.select(F.col("id").alias(id_column), "text_hash", F.col("n").cast("bigint").alias("n_shingles"),
                          F.when(F.col("n") > 0, F.col("best.id")).otherwise(F.col("id")).alias("component_id"),
