@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -90,7 +91,7 @@ def build_tokenizer(model: PieceModel):
     for them, the leading marker, and the marker in place of spaces. A text is
     encoded as a whole, so that pieces may reach over any of its places.
     """
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+    from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     unknown = next((i for i, (_, _, kind) in enumerate(model.pieces) if kind == UNKNOWN), None)
     if model.kind == UNIGRAM:
@@ -108,6 +109,12 @@ def build_tokenizer(model: PieceModel):
     if model.dummy_prefix:
         steps.append(normalizers.Prepend(SPACE))
     tokenizer.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", SPACE)])
+    if model.kind == UNIGRAM:
+        # Control and byte pieces never stand for their own letters: a text that spells one is cut after its first letter.
+        reserved = [piece for piece, _, kind in model.pieces if kind not in (NORMAL, USER_DEFINED) and len(piece) > 1]
+        cuts = "|".join(f"{re.escape(piece[0])}(?={re.escape(piece[1:])})" for piece in reserved)
+        if cuts:
+            tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(cuts), "isolated")
     tokenizer.decoder = decoders.Sequence([
         decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse(),
         *([decoders.Strip(" ", 1, 0)] if model.dummy_prefix else [])])
