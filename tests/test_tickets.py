@@ -147,7 +147,7 @@ def test_median_of_skewed_groups_is_exact(spark):
 def test_rank_and_hot_key_join(spark):
     rows = spark.range(500).select("id", F.when(F.col("id") < 300, "hot").otherwise(F.col("id").cast("string")).alias("k"))
     facts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    joined = attach_by_key(rows, facts, "k", "n", hot_rows=100)
+    joined = attach_by_key(rows, facts, "k", ["id"])
     assert joined.count() == 500 and joined.filter("k = 'hot' AND n = 300").count() == 300 and joined.filter("n IS NULL").count() == 0
     placed = ranked(rows, ["k"], F.floor(F.col("id") / 7), [F.col("id")], "r", "total")
     assert placed.filter("k = 'hot' AND (r <> id + 1 OR total <> 300)").count() == 0

@@ -59,7 +59,7 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         raise ValueError("threshold must be in (0, 1]")
     postings = sets.select("rep", "size", F.explode("tokens").alias("token"))
     frequency = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    counted = attach_by_key(postings, frequency, "token", "df", ["rep", "token"])
+    counted = attach_by_key(postings, frequency, "token", ["rep", "token"])
     rarest = Window.partitionBy("rep").orderBy("df", "token")
     prefix = (
         counted.filter(F.col("df") > 1).withColumn("_known", F.row_number().over(rarest))
@@ -96,7 +96,7 @@ def copies_of(prepared: TokenSets) -> DataFrame:
     """Every row that repeats the token set of an earlier row, next to that row."""
     facts = prepared.sets.filter("copies > 1").select("set_key", "rep", "copies")
     rows = prepared.rows.filter(F.col("set_key").isNotNull()).select("id", "set_key")
-    return attach_by_key(rows, facts, "set_key", "copies", ["id"]).filter("id <> rep").select(F.col("rep").alias("rep"), "id")
+    return attach_by_key(rows, facts, "set_key", ["id"]).filter("id <> rep").select(F.col("rep").alias("rep"), "id")
 
 
 def near_pair_totals(prepared: TokenSets, pairs: DataFrame, labels: DataFrame, id_column: str, label: str) -> DataFrame:
@@ -137,11 +137,10 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     current = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
 
-    def star(links: DataFrame, large: bool, total: int) -> DataFrame:
+    def star(links: DataFrame, large: bool) -> DataFrame:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links
-        lowest = both.groupBy("u").agg(F.min("v").alias("_low"), F.count(F.lit(1)).alias("_links"))
-        lowest = lowest.withColumn("_low", F.least("u", "_low"))
-        met = attach_by_key(both, lowest, "u", "_links", ["u", "v"], total=total)
+        lowest = both.groupBy("u").agg(F.min("v").alias("_low")).withColumn("_low", F.least("u", "_low"))
+        met = attach_by_key(both, lowest, "u", ["u", "v"])
         if large:
             moved = met.filter("v > u").select(F.col("v").alias("u"), F.col("_low").alias("v"))
         else:
@@ -149,18 +148,15 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
                 lowest.select("u", F.col("_low").alias("v")))
         return moved.filter("u <> v").distinct()
 
-    def shape(links: DataFrame) -> tuple[int, bool]:
-        """Number of links, and whether they are stars: every vertex has one parent or is one, never both."""
+    def settled(links: DataFrame) -> bool:
+        """Whether all links are stars: every vertex has one parent or is one, never both."""
         roles = links.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(
             links.select(F.col("v").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
         seen = roles.groupBy("x").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
-        total, worst = seen.agg(F.coalesce(F.sum("child"), F.lit(0)), F.coalesce(F.max(F.col("child") + F.col("parent")), F.lit(0))).first()
-        return total, worst <= 1
+        return seen.agg(F.coalesce(F.max(F.col("child") + F.col("parent")), F.lit(0))).first()[0] <= 1
 
-    total, settled = shape(current)
-    while not settled:  # every round of a graph that is no set of stars yet moves links to smaller vertices
-        current = materialize(star(star(current, True, 2 * total), False, 2 * total), "edges")
-        total, settled = shape(current)
+    while not settled(current):  # every round of a graph that is no set of stars yet moves links to smaller vertices
+        current = materialize(star(star(current, True), False), "edges")
     members = current.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
     return members.unionByName(members.select(F.col("component").alias("vertex"), "component").distinct())
 
@@ -176,9 +172,8 @@ def duplicate_groups(prepared: TokenSets, pairs: DataFrame) -> DataFrame:
         "set_key", "copies", F.coalesce("component", "rep").alias("component"))
     smallest = prepared.rows.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("normal").alias("_text"))
     placed = sets.join(smallest, "set_key")
-    names = placed.groupBy("component").agg(F.sha2(F.min("_text"), 256).alias("duplicate_group"), F.count(F.lit(1)).alias("_sets"))
-    size = prepared.rows.count()
-    named = attach_by_key(placed.select("set_key", "copies", "component"), names, "component", "_sets", ["set_key"], total=size)
+    names = placed.groupBy("component").agg(F.sha2(F.min("_text"), 256).alias("duplicate_group"))
+    named = attach_by_key(placed.select("set_key", "copies", "component"), names, "component", ["set_key"])
     facts = materialize(named.select("set_key", "copies", "duplicate_group"), "set_groups")
-    joined = attach_by_key(prepared.rows, facts, "set_key", "copies", ["id"], total=size)
+    joined = attach_by_key(prepared.rows, facts, "set_key", ["id"])
     return joined.select("id", "normal", F.coalesce("duplicate_group", F.sha2("normal", 256)).alias("duplicate_group"))

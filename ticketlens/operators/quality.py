@@ -73,7 +73,7 @@ def _groups(rows: DataFrame, position: str, key: Column) -> DataFrame:
     # The filter stays behind the written digests, else it would be pushed below and digest everything again.
     keyed = materialize(rows.select(_name(position).alias(position), key.alias("_digest")), "digests").filter(F.col("_digest").isNotNull())
     sizes = keyed.groupBy("_digest").agg(F.count(F.lit(1)).alias("group_size"), F.min(position).alias("group_row")).filter("group_size > 1")
-    return attach_by_key(keyed, sizes, "_digest", "group_size", [position]).filter("group_size IS NOT NULL").select(
+    return attach_by_key(keyed, sizes, "_digest", [position]).filter("group_size IS NOT NULL").select(
         "group_row", "group_size", position)
 
 

@@ -9,45 +9,19 @@ from pyspark.sql import functions as F
 
 from ticketlens.session import materialize
 
-# At most this many keys are treated as hot. Any key outside the list holds fewer
-# than 1/HOT_KEYS of the rows, so the list is bounded whatever the table size.
-HOT_KEYS = 1000
-HOT_ROWS = 100_000
-SPREAD = 256
+LANES = 64
 
 
-def attach_by_key(rows: DataFrame, facts: DataFrame, key: str, weight: str,
-                  spread_by: Sequence[str] | None = None, hot_rows: int = HOT_ROWS,
-                  total: int | None = None) -> DataFrame:
+def attach_by_key(rows: DataFrame, facts: DataFrame, key: str, spread_by: Sequence[str] | None = None, lanes: int = LANES) -> DataFrame:
     """Left join ``rows`` to ``facts`` (one row per ``key``) without a hot partition.
 
-    ``weight`` is the number of rows per key. The heaviest keys, at most
-    ``HOT_KEYS`` of them, are looked up by broadcast; their rows then take part
-    in the shuffle under a spread-out dummy key. All other rows meet their facts
-    in an ordinary shuffle join. ``total``, the number of rows when it is known,
-    spares the look-up where no key can be hot.
+    Every row belongs to one of ``lanes`` lanes by a hash of ``spread_by``. A
+    fact goes once to each lane in which its key has rows, at most ``lanes``
+    times, and rows meet it on key and lane. All keys are treated alike.
     """
-    # The same filter in both uses of the facts lets Spark compute them once.
-    facts = facts.filter(F.col(key).isNotNull())
-    added = [c for c in facts.columns if c != key]
-    if total is not None and total < hot_rows:
-        plain = facts.select(F.col(key).alias("_cold_key"), *added)
-        return rows.join(plain, F.col(key) == F.col("_cold_key"), "left").drop("_cold_key")
-    hot = (
-        facts.filter(F.col(weight) >= hot_rows)
-        .orderBy(F.desc(weight), F.asc(key)).limit(HOT_KEYS)
-        .select(F.col(key).alias("_hot_key"), F.struct(*added).alias("_hot"))
-    )
-    cold = facts.select(F.col(key).alias("_cold_key"), F.lit(0).alias("_cold_lane"), F.struct(*added).alias("_cold"))
-    lane = F.pmod(F.xxhash64(*(spread_by or rows.columns)), F.lit(SPREAD)).cast("int") + 1
-    marked = rows.join(F.broadcast(hot), rows[key] == F.col("_hot_key"), "left")
-    marked = marked.withColumn("_key", F.when(F.col("_hot_key").isNull(), F.col(key)))
-    marked = marked.withColumn("_lane", F.when(F.col("_key").isNull(), lane).otherwise(0))
-    joined = marked.join(cold, (F.col("_key") == F.col("_cold_key")) & (F.col("_lane") == F.col("_cold_lane")), "left")
-    return joined.select(
-        *[F.col(c) for c in rows.columns],
-        *[F.coalesce(F.col("_hot")[c], F.col("_cold")[c]).alias(c) for c in added],
-    )
+    laned = rows.withColumn("_lane", F.pmod(F.xxhash64(*(spread_by or rows.columns)), F.lit(lanes)))
+    sent = laned.filter(F.col(key).isNotNull()).select(key, "_lane").distinct().join(facts, key)
+    return laned.join(sent, [key, "_lane"], "left").select(*rows.columns, *[c for c in facts.columns if c != key])
 
 
 def ranked(rows: DataFrame, group: Sequence[str], bucket: Column, order: Sequence[Column],
@@ -118,8 +92,10 @@ def sums_with_median(rows: DataFrame, keys: Sequence[str], value: str, sums: dic
         at("high", F.col("_high") - F.col("_prior")).alias("_high_rank"),
     ), "sums")
 
-    wanted = summary.select(*[F.col(k).alias(f"_w_{k}") for k in keys], "_low_bucket", "_high_bucket", "_low_rank", "_high_rank")
-    match = F.col("_bucket").isin(F.col("_low_bucket"), F.col("_high_bucket"))
+    # One row per bucket that is wanted, so that the join is on the bucket too: no other row travels, and a large group is spread out.
+    wanted = summary.select(*[F.col(k).alias(f"_w_{k}") for k in keys], "_low_bucket", "_high_bucket", "_low_rank", "_high_rank",
+                            F.explode(F.array_distinct(F.array("_low_bucket", "_high_bucket"))).alias("_wanted"))
+    match = F.col("_bucket") == F.col("_wanted")
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_w_{k}"))
     near = (

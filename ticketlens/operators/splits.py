@@ -73,7 +73,7 @@ def prepare_rows(rows: DataFrame, seed: int = SEED) -> DataFrame:
     """Flags, split and top-15 mark for rows with id, text_clean, category, service, component, duplicate_group."""
     groups = assign_splits(group_facts(rows), seed=seed)
     facts = materialize(groups.select("duplicate_group", "group_size", "conflict", "split"), "group_splits")
-    joined = attach_by_key(rows, facts, "duplicate_group", "group_size", ["id"])
+    joined = attach_by_key(rows, facts, "duplicate_group", ["id"])
     top = F.broadcast(top_values(rows, "category", TOP_CATEGORIES).select(F.col("category").alias("_top")))
     marked = joined.join(top, F.col("category") == F.col("_top"), "left")
     return marked.select(*rows.columns, quality_flags(F.col("conflict"), F.col("group_size")).alias("quality_flags"),
@@ -110,7 +110,7 @@ def consistent_features(rows: DataFrame, text: str = "text", label: str = "label
 def stratified_holdout(prepared: DataFrame, text: str = "text", label: str = "label", seed: int = SEED) -> DataFrame:
     """80/20 split by hash rank per label; labels with fewer than five texts share one stratum."""
     counts = prepared.groupBy(label).agg(F.count(F.lit(1)).alias("_count"))
-    known = attach_by_key(prepared, counts, label, "_count", [text])
+    known = attach_by_key(prepared, counts, label, [text])
     known = known.withColumn("stratum", F.when(F.col("_count") >= RARE_LABEL, F.col(label)).otherwise(OUTSIDE_TOP))
     known = known.withColumn("_hash", seeded_hash(text, seed))
     placed = ranked(known, ["stratum"], hash_bucket("_hash"), [F.col("_hash"), F.col(text)], "_rank", "_total")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ticketlens.functions.text import blank_to_null
 from ticketlens.functions.values import canonical
-from ticketlens.operators.scaling import ranked
+from ticketlens.operators.scaling import attach_by_key, ranked
 
 # Size limits of one imported sheet and of one imported book.
 MAX_ROWS_PER_SHEET = 50_000
@@ -122,7 +122,8 @@ def plan_imports(uploads: DataFrame, registry: DataFrame) -> tuple[DataFrame, Da
     fresh = first.join(registry, "content_hash", "left_anti").select(
         F.col("first_upload").alias("dataset_id"), "content_hash", "created_at")
     known = registry.select("dataset_id", "content_hash").unionByName(fresh.select("dataset_id", "content_hash"))
-    activations = uploads.join(known, "content_hash").select("upload_id", "dataset_id", F.col("uploaded_at").alias("activated_at"))
+    met = attach_by_key(uploads, known, "content_hash", ["upload_id"]).filter(F.col("dataset_id").isNotNull())
+    activations = met.select("upload_id", "dataset_id", F.col("uploaded_at").alias("activated_at"))
     return fresh, activations
 
 
