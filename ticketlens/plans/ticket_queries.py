@@ -213,9 +213,9 @@ def _feature_partition(spark: SparkSession, folder: str) -> DataFrame:
     rows = batch_tickets(spark, folder)
     known, outcome = en.registration_features(rows), en.workflow_outcomes(rows)
     en.check_no_outcomes(known.columns)
-    # Ticket ids may repeat, so the parts meet on the position of their row.
-    known = rows.select("position", *known.columns)
-    joined = known.join(rows.select("position", *[c for c in outcome.columns if c not in known.columns]), "position")
+    # Ticket ids may repeat, so the two parts of a row stay side by side instead of being joined.
+    parts = rows.select(F.struct(*known.columns).alias("known"), F.struct(*outcome.columns).alias("outcome"))
+    joined = parts.select("known.service", "outcome.fact_sla_h")
     return joined.groupBy("service").agg(F.count(F.lit(1)).alias("registered"), F.count("fact_sla_h").alias("with_sla"))
 
 
