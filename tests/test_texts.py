@@ -145,6 +145,19 @@ def test_search_limits_ties_and_unknown_words(spark):
     assert found(limit=2) == [(1, 0), (1, 10)] and found(limit=0) == []
 
 
+def test_context_alone_finds_nothing_and_hits_show_their_cases(spark):
+    docs = spark.createDataFrame(CASES, "id int, text string, group string")
+    postings, weights = ti.fit_index(docs, "id", "text")
+    appeals = spark.createDataFrame([(1, "  ", "pump"), (2, None, "pump"), (3, "leaks oil", "pump")], "id int, t string, service string").withColumn(
+        "appeal", ti.appeal_text("t", "service"))
+    hits = ti.search(appeals, "id", "appeal", postings, weights, limit=1)
+    asked = ti.known_terms(appeals, "id", "appeal", weights)
+    cases = docs.select(F.col("id").alias("doc"), "group")
+    shown = ti.hit_cases(hits, cases, ti.explain_hits(hits, asked, postings)).collect()
+    assert [(r["query"], r.doc, r.group) for r in shown] == [(3, 2, "west")]
+    assert set(shown[0].explanation.split(", ")) == {"leaks oil", "oil", "pump leaks", "leaks", "pump"}
+
+
 def test_a_rare_term_beyond_any_limit_still_finds_its_document(spark):
     docs = spark.createDataFrame([(i, f"common words only{i}") for i in range(50)] + [(99, "common needle")], "id int, text string")
     postings, weights = ti.fit_index(docs, "id", "text")

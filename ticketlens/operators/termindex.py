@@ -154,6 +154,23 @@ def search(queries: DataFrame, id_column: str, text: str, postings: DataFrame, w
     return top_hits(scores, limit if ceiling is None else min(ceiling, limit), min_score)
 
 
+def appeal_text(text: Column | str, *context: Column | str) -> Column:
+    """Text of a query with its service and component; context alone asks nothing, so a blank text stays null."""
+    body = tx.as_column(text)
+    return F.when(tx.strip(body) != "", F.concat_ws(" ", *[tx.as_column(c) for c in context], body))
+
+
+def hit_cases(hits: DataFrame, cases: DataFrame, explanations: DataFrame) -> DataFrame:
+    """Hits with the fields of their cases and the terms that explain them, strongest first.
+
+    Fields are joined after the top-k cut, so that only shown cases meet them.
+    ``cases`` has ``doc``; ``explanations`` comes from :func:`explain_hits`.
+    """
+    terms = explanations.groupBy("query", "doc").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]), ", ").alias("explanation"))
+    return hits.join(terms, ["query", "doc"], "left").join(cases, "doc", "left")
+
+
 def explain_hits(hits: DataFrame, queries: DataFrame, postings: DataFrame, limit: int = TOP_HITS) -> DataFrame:
     """Up to ``limit`` shared terms of each hit, strongest product of weights first."""
     wanted = queries.select(F.col("doc").alias("query"), "term", F.col("weight").alias("_q"))

@@ -322,6 +322,29 @@ def _explanations(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(ti.explain_hits(hits, asked, postings))
 
 
+_CASES_SQL = SEARCH_SQL.replace(f"qcounts AS ({sql_counts('benchmark', 'item_id')})",
+                                f"appeals AS (SELECT item_id, CASE WHEN trim(text) <> '' THEN 'records ' || text END AS text FROM benchmark), "
+                                f"qcounts AS ({sql_counts('appeals', 'item_id')})")
+
+
+@query("similar_cases", f"""WITH {_CASES_SQL},
+    best AS (SELECT query, doc, string_agg(term, ', ' ORDER BY place) AS explanation FROM (
+      SELECT h.query, h.doc, term, row_number() OVER (PARTITION BY h.query, h.doc ORDER BY q.weight * c.weight DESC, term) AS place
+      FROM hits h JOIN asked q ON q.doc = h.query JOIN corpus c USING (term) WHERE c.doc = h.doc) WHERE place <= 5 GROUP BY 1, 2)
+    SELECT h.query, h.doc, cast(rank AS bigint) AS rank, round(least(1, score), 6) AS score, lang AS category, source AS line, n_chars, explanation
+    FROM hits h JOIN best USING (query, doc) JOIN documents ON doc_id = h.doc""")
+def _similar_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Appeals with a fixed service word, and the cases they find with their fields and explanation."""
+    postings, weights = _index(spark, folder)
+    postings = once(spark, folder, "case_postings", lambda: postings)
+    appeals = table(spark, folder, "benchmark").withColumn("appeal", ti.appeal_text("text", F.lit("records")))
+    asked = ti.known_terms(appeals, "item_id", "appeal", weights)
+    hits = ti.search(appeals, "item_id", "appeal", postings, weights)
+    cases = table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), F.col("lang").alias("category"), F.col("source").alias("line"), "n_chars")
+    return rounded(ti.hit_cases(hits, cases, ti.explain_hits(hits, asked, postings)).select(
+        "query", "doc", "rank", "score", "category", "line", "n_chars", "explanation"))
+
+
 RETRIEVAL_SQL = PREPARED_SQL + f""",
     train AS (SELECT id, text_clean AS text FROM prepared WHERE split = 'train'), asked_rows AS (SELECT id, text_clean AS text FROM prepared WHERE split = 'test'),
     counts AS ({sql_counts('train', 'id')}), weights AS ({sql_weights('counts', '(SELECT count(*) FROM train)', 2)}), corpus AS ({sql_tfidf('counts', 'weights')}),
