@@ -26,6 +26,8 @@ BLOCK_DOCS, BLOCK_SHINGLES = 4_000, 4_000_000
 #: Places of the order that the first round looks at; the second round takes all that is left.
 FIRST_PLACES = 8
 HOME_PAIRS = 256
+#: Rounds in which every set meets its most promising partner outside of its group, before all that is left is compared.
+BEST_ROUNDS = 2
 #: Shingles that a task hands on at a time.
 BATCH_SHINGLES = 1_000_000
 
@@ -181,8 +183,10 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     3. First every set is compared with the first and the previous set that
        share one of its FIRST_PLACES first shingles. This ties large groups
        together in a few pairs for each member.
-    4. Then all remaining pairs that lie in different groups and share enough
-       of their prefixes are compared. Pairs inside a group cannot change it.
+    4. Then each set is compared with its most promising partner in another
+       group, BEST_ROUNDS times, and at last all remaining pairs that lie in
+       different groups and share enough of their prefixes. Pairs inside a
+       group cannot change it.
     5. A comparison adds up overlaps per fragment of the global order.
 
     A text without words (null, empty or blank) has no shingles and is its own
@@ -263,12 +267,26 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     ahead = F.col("uid_a") < F.col("uid_b")
     rest = counted.filter(_similar(most, F.col("n_a"), F.col("n_b"), percent)).select(
         F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b"),
-        F.when(ahead, F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(ahead, F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"))
+        F.when(ahead, F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(ahead, F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"),
+        (most / (F.col("n_a") + F.col("n_b") - most)).alias("bound"))
     rest = materialize(rest.join(near.select("a", "b"), ["a", "b"], "left_anti"), "ngram_rest")
+
+    def joined_by(links: DataFrame) -> DataFrame:
+        bridges = tied.select(F.col("component").alias("a"), F.col("vertex").alias("b")).unionByName(links)
+        return materialize(connected_components(bridges, "a", "b"), "ngram_tied")
+
+    # Most sets of a group link to its most typical member: comparing each with its best partner first spares the pairs between the others.
+    for _ in range(BEST_ROUNDS):
+        pair = F.struct("bound", "a", "b", "n_a", "n_b").alias("pair")
+        best = rest.select(F.explode(F.array("a", "b")).alias("uid"), pair).groupBy("uid").agg(F.max("pair").alias("pair"))
+        chosen = materialize(best.select("pair.*").drop("bound").distinct(), "ngram_best")
+        tied = joined_by(verified(chosen))
+        named = attach(rest, tied.select(F.col("vertex").alias("a"), F.col("component").alias("component_a")), "a", F.col("b"))
+        named = attach(named, tied.select(F.col("vertex").alias("b"), F.col("component").alias("component_b")), "b", F.col("a"))
+        apart = named.filter(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).select(*rest.columns)
+        rest = materialize(apart.join(chosen.select("a", "b"), ["a", "b"], "left_anti"), "ngram_rest")
     if not rest.isEmpty():
-        more = verified(rest)
-        bridges = tied.select(F.col("component").alias("a"), F.col("vertex").alias("b")).unionByName(more)
-        tied = materialize(connected_components(bridges, "a", "b"), "ngram_tied")
+        tied = joined_by(verified(rest.drop("bound")))
 
     placed = sets.select("uid", "set_key", "lead").join(tied.withColumnRenamed("vertex", "uid"), "uid", "left").select(
         "set_key", "lead", F.coalesce("component", "uid").alias("component"))
