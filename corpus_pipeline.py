@@ -7,8 +7,8 @@ last return the columns of documents.
 * quality: trains the classifier on the labels in sf_dir (outside its held-out
   fold) over the documents at hand and drops every document that it rejects.
 * exact_dedup: of equal texts the row with the largest doc_id stays.
-* near_duplicates: one document of each class of similar 4-word shingle sets
-  stays, the one with the smallest doc_id.
+* near_duplicates: one document of each class of similar 5-word shingle sets
+  (Jaccard 0.8) stays, the one with the smallest doc_id.
 * mixing: each document appears as often as the mix takes it, in the order of
   the training positions; documents that the mix leaves out go.
 * tokens: ids of every document, verified against the original library.
@@ -31,6 +31,10 @@ from ticketlens.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Shingle size and similarity of the stage near_duplicates; the query op6 has its own.
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -43,7 +47,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.one_of_each_class(docs)
+    return ngram_join.one_of_each_class(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

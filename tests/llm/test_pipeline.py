@@ -5,9 +5,10 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 import sentencepiece
-from llm_cases import EDGES, table
+from llm_cases import EDGES, prose, table
 from test_curriculum_mix import water
 from test_ngram_join import brute as brute_classes
+from test_ngram_join import sets_of
 
 from ticketlens.llm import quality_gam
 from ticketlens.llm.queries import PIECE_MODEL
@@ -73,3 +74,19 @@ def test_empty_table_stays_empty(spark, tmp_path, documents):
     for name, _ in corpus_pipeline.STAGES:
         docs = run_stage(spark, tmp_path, name, docs)
     assert docs.count() == 0
+
+
+def test_near_copies_by_five_words(spark, tmp_path, monkeypatch):
+    """The stage against brute force at five words and 0.8, with pairs that four words and 0.85 leave apart."""
+    rows = []
+    for k, size in enumerate((48, 49, 50, 52, 53, 96, 99, 100, 104)):
+        words = prose(40 + k, size, 10 ** 6).split()
+        rows.append((10 * k, " ".join(words)))
+        for place in (size // 3, 2 * size // 3)[:1 + size // 90]:
+            words[place] = "edited"
+        rows.append((10 * k + 1, " ".join(words)))
+    apart = {c for _, _, c in brute_classes(rows)}
+    monkeypatch.setattr("test_ngram_join.sets_of", lambda text: sets_of(text, 5))
+    want = {c for _, _, c in brute_classes(rows, 80)}
+    assert len(want) < len(apart)
+    assert {r.doc_id for r in run_stage(spark, tmp_path, "near_duplicates", table(spark, rows)).collect()} == want
