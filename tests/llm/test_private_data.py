@@ -57,3 +57,36 @@ def test_edges(spark):
     assert P.extract(table(spark, [])).count() == 0
     written = P.extract(table(spark, [(1, "é a@b.co +1 555 010 1000")])).select(P.written("base").alias("w"), P.count_of("base", "phone").alias("n")).first()
     assert (written.w, written.n) == ("email:2:8,phone:9:24", 1)
+
+
+def test_identifiers_of_any_shape_are_discovered(spark):
+    rows = [(i, f"please write mail{i}@example.org for details") for i in range(40)] + [(100 + i, f"please call +1 555 010 {1000 + i} today") for i in range(40)]
+    unseen = {200: "jane.doe(at)mail.org", 201: "user@localhost", 202: "@jane", 203: "jane at mail dot org"}
+    numbers = {300: "4711", 301: "555 010 99", 302: "0049 30 123"}
+    rows += [(i, f"please write {v} for details") for i, v in unseen.items()] + [(i, f"please call {v} today") for i, v in numbers.items()]
+    rows += [(400, "please write something for details"), (401, "please call later today")]
+    got = {r.doc_id: r for r in P.extract(table(spark, rows)).collect()}
+    for kind, values in ((0, unseen), (3, numbers)):
+        for i, value in values.items():
+            start = dict(rows)[i].index(value)
+            assert [(s.start, s.kind, s.end) for s in got[i].discovered] == [(start, kind, start + len(value))], value
+    assert not got[400].discovered and not got[401].discovered
+
+
+def test_ordinary_words_count_against_a_pattern(spark):
+    rows = [(i, f"so call +1 555 010 {1000 + i} now") for i in range(8)] + [(20 + i, f"so call {w} now") for i, w in enumerate(["him", "her", "them", "us"])]
+    rows += [(50, "so call ext-99887 now")]
+    assert all(not r.discovered for r in P.extract(table(spark, rows)).collect())
+
+
+def test_discovered_instances_support_further_patterns(spark):
+    rows = [(i, f"please call +1 555 010 {1000 + i} today") for i in range(40)] + [(100 + i, f"please call ext-9988{i} today") for i in range(6)]
+    rows += [(200 + i, f"my desk ext-9988{i} rings") for i in range(6)] + [(300, "my desk ext-77001 rings")]
+    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.discovered] for r in P.extract(table(spark, rows)).collect()}
+    assert got[300] == [(8, 3, 17)] and got[203] == [(8, 3, 17)]
+
+
+def test_shapes_take_linear_time():
+    every = P.Marks(P.np.full(P._FILTER_BITS // 8, 255, P.np.uint8))
+    for run in ("a" * 300_000, "a." * 150_000 + "!", ":" * 300_000 + "!", "1 " * 50_000, "x at " * 50_000, "@" * 300_000):
+        P.occurrences(f"to {run}", every, every, every)
