@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -13,8 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 COVERAGE = 0.8
-#: Rare words of a template that are looked up in a text.
-ANCHORS = 4
 _WORD = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
 
 # Public license notices as they are commonly written.
@@ -102,49 +101,87 @@ def patience_align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    """Templates cut into words, and for each of its rarest words the templates and places that hold it."""
+    """Templates cut into words, and what a passage has to share with each of them to cover it well enough."""
 
     def __init__(self, templates: Mapping[str, str], coverage: float = COVERAGE):
         self.coverage = coverage
         self.templates = {name: words_with_places(text)[0] for name, text in sorted(templates.items())}
-        spread = Counter(w for words in self.templates.values() for w in set(words))
-        self.anchors: dict[str, list[tuple[str, int]]] = {}
-        for name, words in self.templates.items():
-            for word in sorted(set(words), key=lambda w: (spread[w], words.count(w), -len(w), w))[:ANCHORS]:
-                for place in (k for k, w in enumerate(words) if w == word):
-                    self.anchors.setdefault(word, []).append((name, place))
+        self.counts = {name: Counter(words) for name, words in self.templates.items()}
+        self.least = {name: max(1, math.ceil(coverage * len(words))) for name, words in self.templates.items()}
+
+    def passages(self, name: str, words: list[str]) -> list[tuple[int, int]]:
+        """Longest and shortest passage up to each word that share enough words with a template, counted as often as it has them.
+
+        No finding is missed: it lies within twice the template's length and
+        has at least so many of its words.
+        """
+        wanted, least, reach = self.counts[name], self.least[name], 2 * len(self.templates[name])
+        hits = [k for k, w in enumerate(words) if w in wanted]
+        spans: dict[tuple[int, int], None] = {}
+        wide, tight = Counter(), Counter()
+        shared = first = close = 0
+        for k in hits:
+            word = words[k]
+            wide[word] += 1
+            tight[word] += 1
+            shared += wide[word] <= wanted[word]
+            while k - hits[first] >= reach:
+                gone = words[hits[first]]
+                shared -= wide[gone] <= wanted[gone]
+                wide[gone] -= 1
+                if close == first:
+                    tight[gone] -= 1
+                    close += 1
+                first += 1
+            if shared < least:
+                continue
+            kept = sum(min(n, wanted[w]) for w, n in tight.items())
+            while kept - (tight[words[hits[close]]] <= wanted[words[hits[close]]]) >= least:
+                gone = words[hits[close]]
+                kept -= tight[gone] <= wanted[gone]
+                tight[gone] -= 1
+                close += 1
+            spans[hits[first], k + 1] = spans[hits[close], k + 1] = None
+        return list(spans)
 
     def scan(self, text: str | None) -> list[tuple[int, int, str, float]]:
         """(start, end, template, coverage) of each finding in code points; findings do not overlap, the best covered and longest win.
 
-        A passage around each rare word, as long as the template and a quarter
-        more, is aligned with the template; a finding covers the template's
-        words well enough and is not longer than twice what it covers.
+        Every passage that shares enough words with a template is aligned with
+        it, and once more with what the template has before and after the
+        matched part; a finding covers the template's words well enough and is
+        not longer than twice what it covers.
         """
         words, places = words_with_places(text or "")
-        if self.anchors.keys().isdisjoint(words):
-            return []
-        regions: dict[str, list[tuple[int, int]]] = {}
-        for k, word in enumerate(words):
-            for name, place in self.anchors.get(word, ()):
-                size = len(self.templates[name])
-                slack = size // 4 + 2
-                low, high = max(0, k - place - slack), min(len(words), k - place + size + slack)
-                known = regions.setdefault(name, [])
-                if not known or known[-1] != (low, high):
-                    known.append((low, high))
-        found = []
-        for name, spans in regions.items():
-            template = self.templates[name]
-            for low, high in dict.fromkeys(spans):
-                matched = patience_align(words[low:high], template)
-                if len(matched) < self.coverage * len(template):
+        present = set(words)
+        found = set()
+        for name, template in self.templates.items():
+            size, wanted = len(template), self.counts[name]
+            # A word that is not there costs at least one match.
+            if len(wanted.keys() & present) < max(1, len(wanted) - (size - self.least[name])):
+                continue
+            known: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+            seen: set[tuple[int, int]] = set()
+            work = [(span, True) for span in self.passages(name, words)]
+            while work:
+                (low, high), extend = work.pop()
+                if (low, high) in seen:
+                    continue
+                seen.add((low, high))
+                passage = tuple(words[low:high])
+                if passage not in known:
+                    known[passage] = patience_align(list(passage), template)
+                matched = known[passage]
+                if not matched:
                     continue
                 first, last = low + matched[0][0], low + matched[-1][0]
-                if last - first + 1 <= 2 * len(matched):
-                    found.append((-len(matched) / len(template), -len(matched), places[first][0], places[last][1], name))
+                if extend:
+                    before, after = matched[0][1], size - 1 - matched[-1][1]
+                    work += [((max(0, first - before - slack), min(len(words), last + 1 + after + slack)), False) for slack in (0, size // 4 + 2)]
+                if len(matched) >= self.coverage * size and last - first + 1 <= 2 * len(matched):
+                    found.add((-len(matched) / size, -len(matched), last - first, places[first][0], places[last][1], name))
         chosen: list[tuple[int, int, str, float]] = []
-        for covered, _, start, end, name in sorted(found):
+        for covered, _, _, start, end, name in sorted(found):
             if all(end <= s or start >= e for s, e, _, _ in chosen):
                 chosen.append((start, end, name, -covered))
         return sorted(chosen)
