@@ -59,3 +59,17 @@ def test_edges(spark):
     scored = X.score(docs, model).collect()
     assert len(scored) == len(EDGES) and all(r.score < X.THRESHOLD for r in scored)
     assert X.score(table(spark, []), model).count() == 0
+
+
+def test_misspelling_of_a_word_kept_only_as_a_stem(spark):
+    rows, labels = [], []
+    insults = ["blockhead", "blockheads", "blockheaded", "blockheadish"]
+    for i in range(400):
+        toxic = i % 5 == 0
+        rows.append((i, prose(i, 40) + (f" you {insults[i // 5 % 4]} {prose(900 + i, 9)}" if toxic else "")))
+        labels.append((i, 1, int(toxic)))
+    model = X.train(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert any(t.endswith("*") for t in model.terms) and not set(insults) & model.terms.keys()
+    say = lambda text: float(model.score([f"{prose(5000, 30)} {text} {prose(5001, 30)}"])[0])
+    assert say("you blockhead") > 0.7
+    assert say("you glockhead") > 0.5 and say("you bolckheaded") > 0.3 > say("and then some more words")

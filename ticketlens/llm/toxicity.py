@@ -6,6 +6,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -134,11 +136,15 @@ def units_of(word: str) -> list[str]:
 
 @dataclass
 class ToxicityModel:
-    """Weights of terms (words and stems) and of the misspellings of words, and the logistic layer over their sums."""
+    """Weights of terms (words and stems) and of the misspellings of words, and the logistic layer over their sums.
+
+    ``stemmed`` are toxic words that count by a stem; their misspellings are read like those of words that are terms.
+    """
 
     terms: dict[str, float]
     fuzzy: dict[str, float] = field(default_factory=dict)
     layer: np.ndarray = field(default_factory=lambda: np.array([0.0, 0.0, 0.0, -4.0]))
+    stemmed: frozenset[str] = frozenset()
     _lexicon: FuzzyLexicon | None = None
 
     def __getstate__(self) -> dict:
@@ -147,9 +153,18 @@ class ToxicityModel:
     @property
     def lexicon(self) -> FuzzyLexicon:
         if self._lexicon is None:
-            self._lexicon = FuzzyLexicon(sorted(t for t in self.terms if not t.endswith("*")))
+            self._lexicon = FuzzyLexicon(sorted(self.words))
         return self._lexicon
 
+    @property
+    def words(self) -> set[str]:
+        """Words with misspellings."""
+        return {t for t in self.terms if not t.endswith("*")} | self.stemmed
+
+    def weight(self, word: str) -> float:
+        """Weight of a word that is a term, or of its heaviest stem."""
+        return self.terms.get(word) or max(self.terms.get(u, 0.0) for u in units_of(word))
+
     def hits(self, word: str) -> list[tuple[str, int, float]]:
         """(term, edits, weight) of each term that a word meets, or of the one it may be a misspelling of."""
         known = [(u, 0, self.terms[u]) for u in units_of(word) if u in self.terms]
@@ -158,7 +173,7 @@ class ToxicityModel:
         near = self.misspelling(word)
         if near is None or self.fuzzy.get(near[0], 0.0) <= 0:
             return []
-        share = self.fuzzy[near[0]] / self.terms[near[0]] / near[1]
+        share = self.fuzzy[near[0]] / self.weight(near[0]) / near[1]
         return [(u, near[1], share * self.terms[u]) for u in units_of(near[0]) if u in self.terms]
 
     def misspelling(self, word: str) -> tuple[str, int] | None:
@@ -248,7 +263,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: s
 
     Candidate terms are the words and stems of toxic documents with the most
     telling log odds, at most ``max_terms``; a sparse logistic model keeps
-    those that explain labels. The weight of a term's misspellings comes from
+    those that explain labels. Of a kept stem, all words of the sample that
+    begin with it and are toxic by their log odds have misspellings too, with
+    the stem's weight. The weight of a term's misspellings comes from
     the words of the sample that the automata map to it, so that a term with
     ordinary words for neighbours gives them nothing. Without toxic rows
     nothing is toxic. Null labels are no labels; the largest of several counts.
@@ -291,6 +308,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: s
                               rows["label"].to_numpy(dtype=float))
     # The penalty shrinks what it keeps; a kept term counts with its own log odds.
     model = ToxicityModel({unit.unit: float(unit.odds) for unit, w in zip(candidates, weights) if w > LEAST_TERM_WEIGHT})
+    stems = [t for t in model.terms if t.endswith("*")]
+    if stems:
+        begins = [F.concat(F.substring("unit", 1, n), F.lit("*")).isin([t for t in stems if len(t) == n + 1]) for n in STEMS]
+        model.stemmed = frozenset(r.unit for r in units.filter(~F.col("unit").endswith("*")).filter(reduce(or_, begins)).withColumn(
+            "odds", odds).filter(F.col("odds") >= LEAST_WEIGHT).select("unit").collect()) - model.terms.keys()
 
     def misspelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,7 +324,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: s
     near = units.mapInArrow(misspelt, "term string, toxic long, other long").groupBy("term").agg(
         F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     seen = {r.term: (r.toxic, r.other) for r in near.collect()}
-    for term, weight in model.terms.items():
+    for term in sorted(model.words):
+        weight = model.weight(term)
         toxic, other = seen.get(term, (0, 0))
         # Two made-up documents say that a misspelling has 0.6 of the term's weight; neighbours met in the sample outvote them.
         prior = 1.0 / (1.0 + np.exp(-0.6 * weight))
