@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ticketlens.llm import (
     curriculum_mix,
     exact_dedup,
+    importance_resampling,
     license_scan,
+    line_dedup,
     ngram_join,
     order_minhash,
     private_data,
@@ -82,6 +84,15 @@ def op10_content_sort(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.content_sort(_table(spark, folder, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = line_dedup.without_common_lines(_table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return importance_resampling.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     "op1_private_data": op1_private_data,
     "op2_toxicity": op2_toxicity,
@@ -93,6 +104,8 @@ QUERIES = {
     "op8_quality_gam": op8_quality_gam,
     "op9_order_minhash": op9_order_minhash,
     "op10_content_sort": op10_content_sort,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 ORACLES = {
@@ -152,4 +165,40 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op11_line_dedup": r"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+        l AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS line FROM d),
+        k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        c AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+        g AS (SELECT k.*, c.keeper IS NOT NULL AND k.doc_id <> c.keeper AS goes FROM k LEFT JOIN c USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (goes) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT goes), '')) AS kept_sha256
+        FROM g GROUP BY doc_id""",
+    "op12_importance_resampling": r"""
+        WITH RECURSIVE steps(b, n, c) AS (
+            SELECT b, 0, CAST(b AS BIGINT) FROM range(256) AS r(b)
+            UNION ALL SELECT b, n + 1, CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END FROM steps WHERE n < 8),
+        crc AS (SELECT list(c ORDER BY b) AS t FROM steps WHERE n = 8),
+        texts AS (SELECT doc_id, text, false AS target FROM documents UNION ALL SELECT NULL, text, true FROM benchmark),
+        w AS (SELECT row_number() OVER () AS r, doc_id, target, coalesce(regexp_extract_all(
+                  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS a FROM texts),
+        f AS (SELECT r, target, unnest(a || list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1])) AS feature FROM w),
+        h AS (SELECT feature, hex(encode(feature)) AS x FROM (SELECT DISTINCT feature FROM f)),
+        b AS (SELECT feature, xor(4294967295, list_reduce(
+                  list_transform(range(1, len(x), 2), lambda i: (instr('0123456789ABCDEF', x[i]) - 1) * 16 + instr('0123456789ABCDEF', x[i + 1]) - 1),
+                  lambda c, o: xor(c // 256, t[xor(c % 256, o) + 1]), 4294967295)) % 10000 AS bucket FROM h, crc),
+        n AS (SELECT bucket, count(*) FILTER (NOT target) AS s, count(*) FILTER (target) AS t FROM f JOIN b USING (feature) GROUP BY bucket),
+        g AS (SELECT bucket, floor(1000 * ln(((t + 1.0::DOUBLE) * (sum(s) OVER () + 10000)::DOUBLE) / ((s + 1.0::DOUBLE) * (sum(t) OVER () + 10000)::DOUBLE))) AS gain
+              FROM n),
+        m AS (SELECT r, count(*) AS n_features, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight
+              FROM f JOIN b USING (feature) JOIN g USING (bucket) WHERE NOT target GROUP BY r),
+        p AS (SELECT doc_id, len(a) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                     coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('7:' || doc_id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE)))
+                         AS BIGINT) AS score
+              FROM w LEFT JOIN m USING (r) WHERE NOT target),
+        o AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place FROM p)
+        SELECT doc_id, n_features, weight, score,
+               CASE WHEN n_words >= 20 AND place <= (SELECT count(*) * 25 // 100 FROM p WHERE n_words >= 20) THEN place END AS rank
+        FROM o""",
 }
