@@ -13,6 +13,7 @@ from ticketlens.llm import (
     line_dedup,
     ngram_join,
     order_minhash,
+    prefix_trie,
     private_data,
     quality_gam,
     sentencepiece_codec,
@@ -93,6 +94,10 @@ def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return importance_resampling.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, folder, "conversations"))
+
+
 QUERIES = {
     "op1_private_data": op1_private_data,
     "op2_toxicity": op2_toxicity,
@@ -106,6 +111,7 @@ QUERIES = {
     "op10_content_sort": op10_content_sort,
     "op11_line_dedup": op11_line_dedup,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES = {
@@ -201,4 +207,36 @@ ORACLES = {
         SELECT doc_id, n_features, weight, score,
                CASE WHEN n_words >= 20 AND place <= (SELECT count(*) * 25 // 100 FROM p WHERE n_words >= 20) THEN place END AS rank
         FROM o""",
+    "op13_prefix_trie": r"""
+        WITH RECURSIVE steps(b, n, c) AS (
+            SELECT b, 0, CAST(b AS BIGINT) FROM range(256) AS r(b)
+            UNION ALL SELECT b, n + 1, CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END FROM steps WHERE n < 8),
+        crc AS (SELECT list(c ORDER BY b) AS t FROM steps WHERE n = 8),
+        i AS (SELECT conv_id, hex(encode(CAST(conv_id AS VARCHAR))) AS x FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
+        c AS (SELECT conv_id, xor(4294967295, list_reduce(
+                  list_transform(range(1, len(x), 2), lambda k: (instr('0123456789ABCDEF', x[k]) - 1) * 16 + instr('0123456789ABCDEF', x[k + 1]) - 1),
+                  lambda a, o: xor(a // 256, t[xor(a % 256, o) + 1]), 4294967295)) % 4 AS h FROM i, crc),
+        u AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        y AS (SELECT *, md5(strlen(role) || ':' || role || text) AS g FROM u),
+        t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, g) AS pos FROM y),
+        r AS (SELECT c.conv_id, 0 AS part, pos, g, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND pos <= h
+              UNION ALL SELECT conv_id, 1, pos, g, text FROM c JOIN t USING (conv_id) WHERE pos > h),
+        q AS (SELECT conv_id, g, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+                     row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth FROM r),
+        l AS (SELECT conv_id, list(g ORDER BY depth) AS a FROM q GROUP BY conv_id),
+        m AS (SELECT conv_id, coalesce(a, []) AS a FROM c LEFT JOIN l USING (conv_id)),
+        d AS (SELECT conv_id, a, unnest(range(0, len(a) + 1)) AS depth FROM m),
+        p AS (SELECT conv_id, depth, depth = len(a) AS ends, md5(coalesce(array_to_string(list_slice(a, 1, depth), ','), '')) AS node,
+                     CASE WHEN depth > 0 THEN md5(coalesce(array_to_string(list_slice(a, 1, depth - 1), ','), '')) END AS parent FROM d),
+        n AS (SELECT node, depth, max(parent) AS parent, min(p.conv_id) AS conv_id, count(*) AS n_convs, coalesce(max(words), 0) AS words
+              FROM p LEFT JOIN q USING (conv_id, depth) GROUP BY node, depth),
+        k AS (SELECT parent AS node, count(*) AS n_children FROM n GROUP BY parent),
+        v AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * words AS tokens FROM n LEFT JOIN k USING (node)),
+        b AS (SELECT DISTINCT x.node, z.node AS below FROM p x JOIN p z ON x.conv_id = z.conv_id AND x.depth <= z.depth),
+        s AS (SELECT b.node, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(tokens) AS BIGINT) AS saved_tokens
+              FROM b JOIN v ON v.node = b.below GROUP BY b.node),
+        e AS (SELECT node, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256 FROM p WHERE ends GROUP BY node)
+        SELECT v.conv_id, v.depth, o.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens,
+               coalesce(ends_sha256, sha256('')) AS ends_sha256
+        FROM v JOIN s USING (node) LEFT JOIN n o ON o.node = v.parent LEFT JOIN e USING (node)""",
 }
