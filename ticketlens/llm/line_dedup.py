@@ -202,7 +202,8 @@ def without_common_lines(docs: DataFrame, id_column: str = "doc_id", text: str =
     flags = bitmaps.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "n_dropped", "keep", _unpacked("keep", "n_lines").alias("flags"))
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id_column).alias("id"), body.alias("text"), F.xxhash64(body).alias("digest"))
-    met = rows.join(flags, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    # The same plan at every size: a bitmap table that happens to be small is not sent to all.
+    met = rows.join(flags.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     lines = F.split("text", "\n", -1)
     kept = F.when(F.col("flags").isNull(), F.col("text")).otherwise(
         F.array_join(F.filter(lines, lambda line, i: F.get(F.col("flags"), i)), "\n"))
