@@ -174,3 +174,36 @@ def test_spread_terms_give_the_same_scores(spark):
     wide = ti.pair_scores(*ti.spread_terms(asked, postings, weights, rows_per_lane=20))
     assert plain.count() == wide.count()
     assert plain.join(wide.withColumnRenamed("score", "other"), ["query", "doc"]).filter("abs(score - other) > 1e-8").count() == 0
+
+
+def test_pruned_search_finds_what_all_pairs_find(spark):
+    """Same hits, ranks and scores as from every pair that shares a term, from far fewer pairs."""
+    docs = table(spark, FOLDER, "documents")
+    postings, weights = ti.fit_index(docs, "doc_id", "text")
+    asked = ti.known_terms(table(spark, FOLDER, "benchmark"), "item_id", "text", weights)
+    every = ti.pair_scores(asked, postings)
+    for limit, floor in ((1, None), (5, None), (5, 0.2)):
+        def settle(scores):
+            return ti.top_hits(scores, limit, floor)
+        scored = ti.pruned_scores(asked, postings, weights, settle, limit, floor or 0.0)
+        expected = {(r["query"], r["doc"], r["rank"]): r["score"] for r in settle(every).collect()}
+        found = {(r["query"], r["doc"], r["rank"]): r["score"] for r in settle(scored).collect()}
+        assert found.keys() == expected.keys() and all(abs(found[k] - expected[k]) < 1e-7 for k in found)
+        assert scored.count() < every.count()
+
+
+def test_pruned_search_of_random_words(spark):
+    import random
+    maker = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(maker.choices(words, [1 / (n + 1) for n in range(30)], k=maker.randrange(1, 12)))) for i in range(150)]
+                                 + [(1000 + i, "w0 w1") for i in range(20)], "id int, text string")
+    groups = docs.select(F.col("id").alias("doc"), (F.col("id") % 40).alias("group"))
+    postings, weights = ti.fit_index(docs, "id", "text")
+    asked = ti.known_terms(docs, "id", "text", weights)
+    own = groups.withColumnRenamed("doc", "query")
+    for limit, floor in ((3, 0.1), (50, 0.0), (1, 0.6)):
+        plain = ti.similar_elsewhere(asked, postings, own, groups, limit, floor)
+        pruned = ti.similar_elsewhere(asked, postings, own, groups, limit, floor, weights)
+        rows = [sorted((r["query"], r["doc"], r["rank"], round(r["score"], 6)) for r in x.collect()) for x in (plain, pruned)]
+        assert rows[0] == rows[1] and rows[0]

@@ -17,6 +17,10 @@ MIN_SIMILARITY = 0.1
 Words = Callable[[Column], Column]
 # Scores are compared at this precision, so that equal texts tie whatever the order of their sums.
 SCORE_DIGITS = 9
+# Sums in another order may differ by this much; bounds are compared with it to spare.
+_SLACK = 1e-7
+#: Postings per wanted hit that a query's rarest terms are followed for, to learn how good its hits are.
+SEED_POSTINGS = 20
 
 
 def by_document(texts: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -128,6 +132,67 @@ def spread_terms(queries: DataFrame, postings: DataFrame, weights: DataFrame, ro
     return asked, corpus
 
 
+def query_bounds(queries: DataFrame, postings: DataFrame) -> DataFrame:
+    """Terms of each query with what they can add to a score at most: (query, term, q, before, most, square).
+
+    Terms are taken from the most frequent to the rarest. A document that has
+    none but the terms up to one of them scores at most ``most``, the sum of
+    query weight times the largest weight of the term in any document, and at
+    most the root of ``square``, the sum of squared query weights, times the
+    length of the rest of the document. ``before`` counts the postings of all
+    rarer terms.
+    """
+    peaks = postings.groupBy("term").agg(F.max("weight").alias("peak"), F.count(F.lit(1)).alias("df"))
+    terms = queries.select(F.col("doc").alias("query"), "term", F.col("weight").alias("q")).join(peaks, "term")
+    common = Window.partitionBy("query").orderBy(F.desc("df"), F.asc("term")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rarer = Window.partitionBy("query").orderBy(F.asc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, -1)
+    return terms.select("query", "term", "q", F.coalesce(F.sum("df").over(rarer), F.lit(0)).alias("before"),
+                        F.sum(F.col("q") * F.col("peak")).over(common).alias("most"), F.sum(F.col("q") * F.col("q")).over(common).alias("square"))
+
+
+def _scores_of(pairs: DataFrame, terms: DataFrame, postings: DataFrame) -> DataFrame:
+    """(query, doc, score) of given pairs over given terms, not rounded; pairs without any of them are left out."""
+    return pairs.select("query", "doc").join(terms.select("query", "term", "q"), "query").join(postings, ["doc", "term"]).groupBy("query", "doc").agg(
+        F.sum(F.col("weight") * F.col("q")).alias("score"))
+
+
+def pruned_scores(queries: DataFrame, postings: DataFrame, weights: DataFrame, settle: Callable[[DataFrame], DataFrame], limit: int,
+                  floor: float = 0.0) -> DataFrame:
+    """(query, doc, score): cosine of every pair that can be among the hits, and of few others.
+
+    ``settle`` makes hits with ``rank`` up to ``limit`` from scores, and takes
+    none below ``floor``. The same hits come from these scores as from
+    :func:`pair_scores`:
+
+    1. The documents of a query's rarest terms are scored in full. The score
+       of the last hit among them is a threshold that hits must reach.
+    2. Frequent terms that together cannot reach it lead to no document: only
+       the other terms are joined with the postings.
+    3. A pair met there is finished only if what it has, and the most that the
+       frequent terms can add, reach the threshold.
+    """
+    postings = materialize(postings.join(queries.select("term").distinct(), "term", "left_semi"), "query_postings")
+    terms = materialize(query_bounds(queries, postings), "query_bounds")
+    seeds = terms.filter(F.col("before") < SEED_POSTINGS * limit)
+    tried = postings.join(seeds.select("query", "term"), "term").select("query", "doc").distinct()
+    first = settle(_scores_of(tried, terms, postings).withColumn("score", F.round("score", SCORE_DIGITS)))
+    reached = materialize(first.filter(F.col("rank") == limit).select("query", F.col("score").alias("least")), "thresholds")
+    aimed = terms.join(reached, "query", "left").withColumn("least", F.greatest(F.coalesce("least", F.lit(0.0)), F.lit(floor)) - _SLACK)
+    aimed = materialize(aimed.withColumn("leads", F.least("most", F.sqrt("square")) >= F.col("least")), "query_terms")
+
+    leading, resting = aimed.filter("leads"), aimed.filter("NOT leads")
+    wanted, corpus = spread_terms(leading.select(F.col("query").alias("doc"), "term", F.col("q").alias("weight")), postings, weights)
+    met = corpus.join(wanted.select(F.col("doc").alias("query"), "term", F.col("weight").alias("q")), "term").groupBy("query", "doc").agg(
+        F.sum(F.col("weight") * F.col("q")).alias("part"), F.sum(F.col("weight") * F.col("weight")).alias("mass"))
+    rest = aimed.groupBy("query").agg(F.first("least").alias("least"), *[
+        F.coalesce(F.max(F.when(~F.col("leads"), F.col(c))), F.lit(0.0)).alias(c) for c in ("most", "square")])
+    reach = F.col("part") + F.least("most", F.sqrt(F.col("square") * F.greatest(F.lit(1.0) - F.col("mass"), F.lit(0.0))))
+    open_pairs = materialize(met.join(rest, "query").filter(reach >= F.col("least") - _SLACK).select("query", "doc", "part"), "open_pairs")
+    added = _scores_of(open_pairs, resting, postings).withColumnRenamed("score", "more")
+    return open_pairs.join(added, ["query", "doc"], "left").select(
+        "query", "doc", F.round(F.col("part") + F.coalesce("more", F.lit(0.0)), SCORE_DIGITS).alias("score"))
+
+
 def top_hits(scores: DataFrame, limit: int = TOP_HITS, min_score: float | None = None) -> DataFrame:
     """Best documents per query, ties in document order. ``min_score`` None keeps every positive score."""
     if limit < 1:
@@ -150,8 +215,14 @@ def search(queries: DataFrame, id_column: str, text: str, postings: DataFrame, w
     hits than that; None leaves the number to ``limit``.
     """
     asked = materialize(known_terms(queries, id_column, text, weights), "queries")
-    scores = pair_scores(*spread_terms(asked, postings, weights))
-    return top_hits(scores, limit if ceiling is None else min(ceiling, limit), min_score)
+    shown = limit if ceiling is None else min(ceiling, limit)
+
+    def settle(scores: DataFrame) -> DataFrame:
+        return top_hits(scores, shown, min_score)
+
+    if shown < 1:
+        return settle(pair_scores(asked, postings))
+    return settle(pruned_scores(asked, postings, weights, settle, shown, min_score or 0.0))
 
 
 def appeal_text(text: Column | str, *context: Column | str) -> Column:
@@ -185,16 +256,19 @@ def similar_elsewhere(queries: DataFrame, postings: DataFrame, query_groups: Dat
     """Top documents outside the query itself and its duplicate group, at most one per group.
 
     ``query_groups`` and ``doc_groups`` map ids (``query``, ``doc``) to ``group``.
-    ``weights`` lets frequent terms be spread over lanes.
+    With ``weights``, the (term, df, idf) of the index, pairs that cannot be
+    hits are not scored.
     """
-    if weights is not None:
-        queries, postings = spread_terms(queries, postings, weights)
-    scores = pair_scores(queries, postings).filter((F.col("score") > 0) & (F.col("score") >= min_score))
-    placed = scores.join(query_groups.select("query", F.col("group").alias("_own")), "query").join(
-        doc_groups.select("doc", "group"), "doc")
-    others = placed.filter((F.col("query") != F.col("doc")) & ~F.col("group").eqNullSafe(F.col("_own")))
-    best = others.groupBy("query", "group").agg(F.min_by(F.struct("score", "doc"), F.struct(-F.col("score"), F.col("doc"))).alias("_best"))
-    return top_hits(best.select("query", "group", F.col("_best.score").alias("score"), F.col("_best.doc").alias("doc")), limit)
+    def settle(scores: DataFrame) -> DataFrame:
+        placed = scores.filter((F.col("score") > 0) & (F.col("score") >= min_score)).join(
+            query_groups.select("query", F.col("group").alias("_own")), "query").join(doc_groups.select("doc", "group"), "doc")
+        others = placed.filter((F.col("query") != F.col("doc")) & ~F.col("group").eqNullSafe(F.col("_own")))
+        best = others.groupBy("query", "group").agg(F.min_by(F.struct("score", "doc"), F.struct(-F.col("score"), F.col("doc"))).alias("_best"))
+        return top_hits(best.select("query", "group", F.col("_best.score").alias("score"), F.col("_best.doc").alias("doc")), limit)
+
+    if weights is None:
+        return settle(pair_scores(queries, postings))
+    return settle(pruned_scores(queries, postings, weights, settle, limit, min_score))
 
 
 def known_word_counts(texts: DataFrame, id_column: str, text: str, weights: DataFrame) -> DataFrame:
