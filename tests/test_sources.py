@@ -150,7 +150,7 @@ def test_line_model_learns_abstains_and_explains(spark):
 def test_category_model_is_calibrated(spark):
     rows = corpus(spark, 30)
     train, held = rows.filter("id % 3 <> 0"), rows.filter("id % 3 = 0")
-    model = ml.fit_category_model(train, "id", "text", "label", max_iter=10)
+    model = ml.fit_category_model(train, "id", "text", "label")
     scored = model.score(held, "id", "text").collect()
     assert sum(r.predicted == r.label for r in scored) / len(scored) > 0.95
     assert all(abs(sum(r.probabilities) - 1) < 1e-9 for r in scored) and all(r.known_words >= 2 for r in scored)

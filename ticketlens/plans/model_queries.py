@@ -218,10 +218,19 @@ def line_model(spark: SparkSession, folder: str):
     return kept(spark, folder, "line_model", build)
 
 
+#: Languages that are categories of their own; the rest are the outside class, which the model learns too.
+TOP_LANGUAGES = 3
+
+
+def _with_category(spark: SparkSession, folder: str) -> DataFrame:
+    """Prepared rows with the category: the most frequent languages of the training part, or the outside class."""
+    rows = prepared_documents(spark, folder).select("id", "text_clean", "lang", "split")
+    return sp.with_target(rows, "lang", TOP_LANGUAGES).withColumnRenamed("target", "category")
+
+
 def category_model(spark: SparkSession, folder: str) -> ml.CategoryModel:
     def build():
-        rows = prepared_documents(spark, folder).filter("split = 'train'").select("id", "text_clean", "lang")
-        return ml.fit_category_model(rows, "id", "text_clean", "lang")
+        return ml.fit_category_model(_with_category(spark, folder).filter("split = 'train'"), "id", "text_clean", "category")
     return kept(spark, folder, "category_model", build)
 
 
@@ -257,9 +266,9 @@ def _model_evidence(spark: SparkSession, folder: str) -> DataFrame:
 @query("category_model_evaluation")
 def _category_model(spark: SparkSession, folder: str) -> DataFrame:
     model = category_model(spark, folder)
-    scored = model.score(_test_rows(spark, folder), "id", "text_clean")
-    position = F.array_position(F.array(*[F.lit(c) for c in model.classes]), F.col("lang")).cast("int")
-    return ev.category_evaluation(scored.withColumns({"actual": F.col("lang"), "p_actual": F.element_at("probabilities", position)}))
+    scored = model.score(_with_category(spark, folder).filter("split = 'test'"), "id", "text_clean")
+    position = F.array_position(F.array(*[F.lit(c) for c in model.classes]), F.col("category")).cast("int")
+    return ev.category_evaluation(scored.withColumns({"actual": F.col("category"), "p_actual": F.element_at("probabilities", position)}))
 
 
 @query("embedding_model_fallback")
