@@ -20,7 +20,9 @@ SCORE_DIGITS = 9
 # Sums in another order may differ by this much; bounds are compared with it to spare.
 _SLACK = 1e-7
 #: Postings per wanted hit that a query's rarest terms are followed for, to learn how good its hits are.
-SEED_POSTINGS = 20
+SEED_POSTINGS = 50
+#: Bands of documents by their largest weight; the last one has all that are smaller.
+MOST_BANDS = 24
 
 
 def by_document(texts: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -132,27 +134,43 @@ def spread_terms(queries: DataFrame, postings: DataFrame, weights: DataFrame, ro
     return asked, corpus
 
 
+def banded(postings: DataFrame) -> DataFrame:
+    """Postings with the ``band`` of their document: how small its largest weight is, in steps of the root of two.
+
+    Long documents have small weights only, so bounds that hold for a band of
+    documents are much closer than bounds that hold for all. Postings come
+    from :func:`tfidf`, placed by document, and are not shuffled for this.
+    """
+    largest = F.max("weight").over(Window.partitionBy("doc"))
+    return postings.select("doc", "term", "weight", F.least(F.floor(-2 * F.log2(largest)), F.lit(MOST_BANDS - 1)).cast("int").alias("band"))
+
+
 def query_bounds(queries: DataFrame, postings: DataFrame) -> DataFrame:
-    """Terms of each query with what they can add to a score at most: (query, term, q, before, most, square).
-
-    Terms are taken from the most frequent to the rarest. A document that has
-    none but the terms up to one of them scores at most ``most``, the sum of
-    query weight times the largest weight of the term in any document, and at
-    most the root of ``square``, the sum of squared query weights, times the
-    length of the rest of the document. ``before`` counts the postings of all
-    rarer terms.
+    """What the terms of each query can add to a score in each band: (query, band, term, q, most, square).
+
+    Terms are taken from the most frequent to the rarest. A document of the
+    band that has none but the terms up to one of them scores at most
+    ``most``, the sum of query weight times the largest weight of the term in
+    the band, and at most the root of ``square``, the sum of squared query
+    weights, times the length of the rest of the document.
     """
-    peaks = postings.groupBy("term").agg(F.max("weight").alias("peak"), F.count(F.lit(1)).alias("df"))
+    peaks = postings.groupBy("band", "term").agg(F.max("weight").alias("peak"), F.count(F.lit(1)).alias("df"))
     terms = queries.select(F.col("doc").alias("query"), "term", F.col("weight").alias("q")).join(peaks, "term")
-    common = Window.partitionBy("query").orderBy(F.desc("df"), F.asc("term")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rarer = Window.partitionBy("query").orderBy(F.asc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, -1)
-    return terms.select("query", "term", "q", F.coalesce(F.sum("df").over(rarer), F.lit(0)).alias("before"),
-                        F.sum(F.col("q") * F.col("peak")).over(common).alias("most"), F.sum(F.col("q") * F.col("q")).over(common).alias("square"))
+    common = Window.partitionBy("query", "band").orderBy(F.desc("df"), F.asc("term")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return terms.select("query", "band", "term", "q", F.sum(F.col("q") * F.col("peak")).over(common).alias("most"),
+                        F.sum(F.col("q") * F.col("q")).over(common).alias("square"))
+
+
+def rarest_terms(queries: DataFrame, weights: DataFrame, postings: int) -> DataFrame:
+    """(query, term): the rarest terms of each query, until they have so many postings; one term at least."""
+    rarer = Window.partitionBy("query").orderBy(F.asc("df"), F.asc("term")).rowsBetween(Window.unboundedPreceding, -1)
+    known = queries.select(F.col("doc").alias("query"), "term").join(weights.select("term", "df"), "term")
+    return known.withColumn("before", F.coalesce(F.sum("df").over(rarer), F.lit(0))).filter(F.col("before") < postings).select("query", "term")
 
 
-def _scores_of(pairs: DataFrame, terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """(query, doc, score) of given pairs over given terms, not rounded; pairs without any of them are left out."""
-    return pairs.select("query", "doc").join(terms.select("query", "term", "q"), "query").join(postings, ["doc", "term"]).groupBy("query", "doc").agg(
+def _scores_of(pairs: DataFrame, queries: DataFrame, postings: DataFrame) -> DataFrame:
+    """(query, doc, score) of given pairs, not rounded; ``queries`` has query, term and q."""
+    return pairs.join(queries, "query").join(postings.select("doc", "term", "weight"), ["doc", "term"]).groupBy("query", "doc").agg(
         F.sum(F.col("weight") * F.col("q")).alias("score"))
 
 
@@ -166,29 +184,30 @@ def pruned_scores(queries: DataFrame, postings: DataFrame, weights: DataFrame, s
 
     1. The documents of a query's rarest terms are scored in full. The score
        of the last hit among them is a threshold that hits must reach.
-    2. Frequent terms that together cannot reach it lead to no document: only
-       the other terms are joined with the postings.
+    2. Frequent terms that together cannot reach it in a band of documents
+       lead to no document of that band: only the other terms are joined with
+       its postings.
     3. A pair met there is finished only if what it has, and the most that the
        frequent terms can add, reach the threshold.
     """
-    postings = materialize(postings.join(queries.select("term").distinct(), "term", "left_semi"), "query_postings")
-    terms = materialize(query_bounds(queries, postings), "query_bounds")
-    seeds = terms.filter(F.col("before") < SEED_POSTINGS * limit)
-    tried = postings.join(seeds.select("query", "term"), "term").select("query", "doc").distinct()
-    first = settle(_scores_of(tried, terms, postings).withColumn("score", F.round("score", SCORE_DIGITS)))
+    postings = materialize(banded(postings).join(queries.select("term").distinct(), "term", "left_semi"), "query_postings")
+    asked = queries.select(F.col("doc").alias("query"), "term", F.col("weight").alias("q"))
+    tried = postings.join(rarest_terms(queries, weights, SEED_POSTINGS * limit), "term").select("query", "doc").distinct()
+    first = settle(_scores_of(tried, asked, postings).withColumn("score", F.round("score", SCORE_DIGITS)))
     reached = materialize(first.filter(F.col("rank") == limit).select("query", F.col("score").alias("least")), "thresholds")
-    aimed = terms.join(reached, "query", "left").withColumn("least", F.greatest(F.coalesce("least", F.lit(0.0)), F.lit(floor)) - _SLACK)
+    aimed = query_bounds(queries, postings).join(reached, "query", "left").withColumn(
+        "least", F.greatest(F.coalesce("least", F.lit(0.0)), F.lit(floor)) - _SLACK)
     aimed = materialize(aimed.withColumn("leads", F.least("most", F.sqrt("square")) >= F.col("least")), "query_terms")
 
-    leading, resting = aimed.filter("leads"), aimed.filter("NOT leads")
-    wanted, corpus = spread_terms(leading.select(F.col("query").alias("doc"), "term", F.col("q").alias("weight")), postings, weights)
-    met = corpus.join(wanted.select(F.col("doc").alias("query"), "term", F.col("weight").alias("q")), "term").groupBy("query", "doc").agg(
+    met = postings.join(aimed.filter("leads").select("query", "band", "term", "q"), ["band", "term"]).groupBy("query", "band", "doc").agg(
         F.sum(F.col("weight") * F.col("q")).alias("part"), F.sum(F.col("weight") * F.col("weight")).alias("mass"))
-    rest = aimed.groupBy("query").agg(F.first("least").alias("least"), *[
+    rest = aimed.groupBy("query", "band").agg(F.first("least").alias("least"), *[
         F.coalesce(F.max(F.when(~F.col("leads"), F.col(c))), F.lit(0.0)).alias(c) for c in ("most", "square")])
     reach = F.col("part") + F.least("most", F.sqrt(F.col("square") * F.greatest(F.lit(1.0) - F.col("mass"), F.lit(0.0))))
-    open_pairs = materialize(met.join(rest, "query").filter(reach >= F.col("least") - _SLACK).select("query", "doc", "part"), "open_pairs")
-    added = _scores_of(open_pairs, resting, postings).withColumnRenamed("score", "more")
+    open_pairs = materialize(met.join(rest, ["query", "band"]).filter(reach >= F.col("least") - _SLACK).select("query", "band", "doc", "part"), "open_pairs")
+    resting = aimed.filter("NOT leads").select("query", "band", "term", "q")
+    added = open_pairs.select("query", "band", "doc").join(resting, ["query", "band"]).join(postings.select("doc", "term", "weight"), ["doc", "term"]).groupBy(
+        "query", "doc").agg(F.sum(F.col("weight") * F.col("q")).alias("more"))
     return open_pairs.join(added, ["query", "doc"], "left").select(
         "query", "doc", F.round(F.col("part") + F.coalesce("more", F.lit(0.0)), SCORE_DIGITS).alias("score"))
 
