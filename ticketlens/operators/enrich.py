@@ -49,6 +49,7 @@ WORK = {n: f"Суммарное время работы {n} линии" for n in
 RUNTIME_INPUT = (TICKET, REGISTERED, SERVICE, CATEGORY, PRIORITY, FACT_SLA, OVERDUE, SOLVED_BY,
                  CLARIFICATIONS, *REACT.values(), *WORK.values())
 
+# Output columns and the headers they are read from, as agreed with the users of these tables.
 RUNTIME_OUTPUT = (
     "ticket_id", "reg_dt", "service", "category_original", "category_grouped", "priority", "resolved_line",
     "fact_sla_h", "fact_sla_source", "is_overdue", "lines_count", "is_multiline", "clarifications_cnt",
@@ -62,7 +63,7 @@ BATCH_TEXTS = {"status": STATUS, "user_type": USER_TYPE, "service": SERVICE, "re
                "service_class": SERVICE_CLASS, "timezone": TIMEZONE, "resolution": RESULT,
                "resolved_line": SOLVED_BY}
 
-# Columns known when a ticket is registered, and columns that describe its outcome.
+# Columns known when a ticket is registered, columns that describe its outcome, and the batch output.
 REGISTRATION_COLUMNS = (
     "ticket_id", "reg_dt", "service", "service_component", "category_original", "category_grouped",
     "request_type", "criticality", "urgency", "priority", "service_class", "norm_sla_h", "plan_dt",

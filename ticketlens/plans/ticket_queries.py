@@ -462,7 +462,8 @@ def _shown(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-_BATCH_TICKETS = "(SELECT * EXCLUDE (is_overdue, clarifications_cnt), CASE WHEN is_overdue = 1 THEN 1 ELSE 0 END AS is_overdue, " \
+# The batch dialect keeps a blank priority as an empty string.
+_BATCH_TICKETS = "(SELECT * EXCLUDE (is_overdue, clarifications_cnt, priority), coalesce(priority, '') AS priority, CASE WHEN is_overdue = 1 THEN 1 ELSE 0 END AS is_overdue, " \
     "CASE WHEN position % 19 = 0 THEN NULL ELSE clarifications_cnt END AS clarifications_cnt FROM tickets)"
 
 
@@ -489,7 +490,7 @@ _BATCH_COLUMNS = f"""tickets_count, overdue_count, {_half_even('p')} AS overdue_
       {_half_even('md')} AS median_sla_h, {_half_even('mu')} AS multiline_share_pct, {_half_even('c')} AS mean_clarifications,
       {_half_even('p * 1.5 + mu * 0.05 + coalesce(m, 0) * 0.1')} AS risk_score"""
 _BATCH_PRIORITY = {"services": "service", "categories": "category_original", "category_groups": "category_grouped",
-                   "lines": "resolved_line"}
+                   "priorities": "priority", "lines": "resolved_line"}
 
 
 @query("dimension_risk_batch", with_tickets(f"SELECT dimension, value, {_BATCH_COLUMNS} FROM ({' UNION ALL '.join(_sql_batch_metrics(n, c) for n, c in _BATCH_PRIORITY.items())})"))
