@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from llm_cases import EDGES, prose, table
 
@@ -59,8 +60,7 @@ def test_components_match_brute_force(spark, mixed_rows):
     assert found(N.jaccard_classes(table(spark, mixed_rows))) == brute(mixed_rows)
 
 
-def test_common_shingles_at_the_end_of_the_order(spark, mixed_rows, monkeypatch):
-    monkeypatch.setattr(N, "COMMON_SHARE", 0.05)
+def test_few_first_places_and_split_homes(spark, mixed_rows, monkeypatch):
     monkeypatch.setattr(N, "HOME_PAIRS", 4)
     monkeypatch.setattr(N, "FIRST_PLACES", 1)
     assert found(N.jaccard_classes(table(spark, mixed_rows), fragments=3)) == brute(mixed_rows)
@@ -75,3 +75,44 @@ def test_edges(spark):
     stays = N.one_of_each_class(docs)
     assert stays.columns == docs.columns
     assert N.jaccard_classes(table(spark, [])).count() == 0
+
+
+def test_lists_cut_into_parts_and_short_runs(spark, mixed_rows, monkeypatch):
+    monkeypatch.setattr(N, "PART", 5)
+    monkeypatch.setattr(N, "RUN_PAIRS", 7)
+    monkeypatch.setattr(N, "FIRST_PLACES", 1)
+    assert found(N.jaccard_classes(table(spark, mixed_rows))) == brute(mixed_rows)
+
+
+def test_similar_sets_share_a_cell():
+    maker = np.random.default_rng(6)
+    for percent in (60, 80, 85):
+        for size in [*range(1, 60), 300, 2000]:
+            for _ in range(6):
+                one = np.unique(maker.integers(0, 2 ** 63, size).astype(np.uint64) * np.uint64(2))
+                # As different as similar sets can be, by words left out, put in or replaced.
+                out = int(maker.integers(0, size * (100 - percent) // 100 + 1))
+                two = np.unique(np.r_[one[out:], maker.integers(0, 2 ** 63, int(maker.integers(0, out + 2))).astype(np.uint64) * np.uint64(2)])
+                if 100 * len(np.intersect1d(one, two)) >= percent * len(np.union1d(one, two)):
+                    assert len(np.intersect1d(N.cells(one, percent), N.cells(two, percent))), (percent, size)
+
+
+def test_family_around_the_threshold(spark):
+    base = prose(7, 90)
+    rows = list(enumerate([*near_copies(11, base, 60, 6), *near_copies(12, base + " " + prose(8, 20), 30, 8)]))
+    assert len({c for _, _, c in brute(rows)}) > 10
+    assert found(N.jaccard_classes(table(spark, rows))) == brute(rows)
+
+
+def test_bitmaps_bound_the_difference():
+    maker = np.random.default_rng(5)
+    for size in (1, 40, 64, 65, 700, 1500):
+        one = np.unique(maker.integers(0, 2 ** 63, size).astype(np.uint64))
+        two = np.unique(np.r_[one[size // 5:], maker.integers(0, 2 ** 63, size // 9).astype(np.uint64)])
+        bits = [N._bitmap(s).view(np.uint64) for s in (one, two)]
+        while len(bits[0]) != len(bits[1]):
+            wide = int(len(bits[1]) > len(bits[0]))
+            half = len(bits[wide]) // 2
+            bits[wide] = bits[wide][:half] ^ bits[wide][half:]
+        assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(np.setxor1d(one, two))
+    assert N._bitmap(np.arange(20_000, dtype=np.uint64)) is None

@@ -18,16 +18,15 @@ from ticketlens.session import discard, materialize
 SIZE = 4
 PERCENT = 85
 FRAGMENTS = 8
-#: Shingles in more than this share of a block of documents are candidates for the end of the global order.
-COMMON_SHARE = 0.001
-#: Most shingles that the end of the order can hold: 8 bytes each are sent to every task.
-MOST_COMMON = 20_000
-BLOCK_DOCS, BLOCK_SHINGLES = 4_000, 4_000_000
-#: Places of the order that the first round looks at; the second round takes all that is left.
+#: Cells of a set in which the first round looks for partners; the rounds after it look at all.
 FIRST_PLACES = 8
 HOME_PAIRS = 256
-#: Rounds in which every set meets its most promising partner outside of its group, before all that is left is compared.
-BEST_ROUNDS = 2
+#: Most bits of the parity bitmap of a set, and how many shingles for each bit still make it useful.
+MOST_BITS, SHINGLES_PER_BIT = 4096, 2.5
+#: Sets of one shingle that a block holds; a longer list is cut into parts, and each two parts meet in a block of their own.
+PART = 8_192
+#: Pairs that a task compares at a time.
+RUN_PAIRS = 1 << 16
 #: Shingles that a task hands on at a time.
 BATCH_SHINGLES = 1_000_000
 
@@ -40,68 +39,73 @@ def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
     return np.unique(mixed(window_hashes(word_hashes(words), min(size, len(words))) + np.uint64(min(size, len(words)))))
 
 
-def common_shingles(texts: DataFrame, size: int, documents: int) -> np.ndarray:
-    """Shingles found in a large share of all documents, rarest first.
+def _bands(largest: int, percent: int) -> list[int]:
+    """Least sizes of the bands of sizes; similar sets lie in the same band or in neighbouring ones."""
+    starts = [1]
+    while starts[-1] <= largest:
+        starts.append(starts[-1] * 100 // percent + 1)
+    return starts + [starts[-1] * 100 // percent + 1]
 
-    Every block of documents counts all its shingles and reports those above
-    the share, so all documents are counted and only a bounded number of rows
-    leaves a block. The list decides the order alone: a shingle that it
-    misses costs time, never a link.
+
+def cells(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Keys of the cells of a set: two similar sets have a key in common.
+
+    Band k cuts the order of shingles into m fragments of equal width, more
+    than the most shingles d in which two similar sets of at most its sizes
+    differ. So at least m - d fragments are alike. A set gives the key of each
+    fragment that holds something, for its own band and the next one, where
+    larger partners are. With m - d or more empty fragments it gives
+    those as well, as only they may be alike.
+    """
+    if not len(tokens):
+        return np.empty(0, np.uint64)
+    starts = _bands(len(tokens), percent)
+    own = int(np.searchsorted(starts, len(tokens), side="right")) - 1
+    found, parts = [], mixed(tokens)
+    for band in (own, own + 1):
+        most = 2 * (starts[band + 1] - 1) * (100 - percent) // (100 + percent)
+        count = most + 1 + (2 + -(-most * 15 // 100) if most else 0)
+        number = ((tokens >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
+        first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+        with np.errstate(over="ignore"):
+            name = mixed(np.arange(count, dtype=np.uint64) + np.uint64(band << 32))
+            found.append(mixed(np.add.reduceat(parts, first) + name[number[first].astype(np.int64)]))
+            if count - len(first) >= count - most:
+                found.append(mixed(np.delete(name, number[first].astype(np.int64)) + np.uint64(1)))
+    return np.concatenate(found)
+
+
+def _bitmap(tokens: np.ndarray) -> np.ndarray | None:
+    """Parity bits of a set: bit h is set if an odd number of shingles are h modulo the width; none for sets too large for it.
+
+    Two bitmaps differ in at most as many bits as their sets differ in
+    shingles. The width is a power of two, so that halves of a bitmap, put
+    together by exclusive or, are the bitmap of half the width.
     """
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, docs, total = [], 0, 0
+    width = min(MOST_BITS, max(64, 1 << (len(tokens) - 1).bit_length())) if len(tokens) else 64
+    if len(tokens) > SHINGLES_PER_BIT * width:
+        return None
+    odd = np.bincount((tokens % np.uint64(width)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
-        def report() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= max(2, int(np.ceil(COMMON_SHARE * docs)))
-            return pa.record_batch([pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=["token", "n"])
 
-        for batch in batches:
-            for text in batch.column(0):
-                found = shingles(text.as_py(), size)
-                held.append(found)
-                docs, total = docs + 1, total + len(found)
-                if docs >= BLOCK_DOCS or total >= BLOCK_SHINGLES:
-                    yield report()
-                    held, docs, total = [], 0, 0
-        if held:
-            yield report()
-
-    rows = (texts.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-            .filter(F.col("n") >= max(2.0, COMMON_SHARE / 2 * documents)).orderBy(F.desc("n"), "token").limit(MOST_COMMON))
-    return np.array([r.token for r in rows.collect()][::-1], dtype=np.int64).view(np.uint64)
-
-
-def _ordered(tokens: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
-    """Tokens in the global order - by hash, then the common ones, rarest first - and how many come before the common ones."""
-    if not len(common):
-        return tokens, len(tokens)
-    by_value = np.argsort(common)
-    place = np.searchsorted(common, tokens, sorter=by_value)
-    rank = by_value[np.minimum(place, len(common) - 1)]
-    hit = common[rank] == tokens
-    return np.concatenate([tokens[~hit], common[np.sort(rank[hit])]]), int((~hit).sum())
-
-
-def _signatures(texts: DataFrame, size: int, percent: int, common: np.ndarray) -> DataFrame:
-    """set_key, n and prefix of each text; of the prefix, the first n_light shingles are not common."""
+def _signatures(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """set_key, n, cells and bitmap of each text."""
     kind = T.StructType([T.StructField("set_key", T.BinaryType()), T.StructField("n", T.IntegerType()),
-                         T.StructField("n_light", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+                         T.StructField("cells", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, light, prefixes = [], [], [], []
+            keys, sizes, places, bits = [], [], [], []
             for text in batch.column(2):
                 tokens = shingles(text.as_py(), size)
-                ordered, rare = _ordered(tokens, common)
-                length = len(tokens) - (percent * len(tokens) + 99) // 100 + 1 if len(tokens) else 0
                 keys.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
                 sizes.append(len(tokens))
-                light.append(min(rare, length))
-                prefixes.append(ordered[:length].view(np.int64))
+                places.append(cells(tokens, percent).view(np.int64))
+                bits.append(_bitmap(tokens))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()),
-                                   pa.array(light, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))],
-                                  names=["id", "text_hash", "set_key", "n", "n_light", "prefix"])
+                                   pa.array(places, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                                  names=["id", "text_hash", "set_key", "n", "cells", "bits"])
 
     return texts.mapInArrow(sign, T.StructType([texts.schema["id"], texts.schema["text_hash"], *kind.fields]))
 
@@ -116,7 +120,116 @@ def _similar(overlap: Column, n_a: Column, n_b: Column, percent: int) -> Column:
     return overlap * (100 + percent) >= (n_a + n_b) * percent
 
 
-def _fragments(texts: DataFrame, size: int, common: np.ndarray, fragments: int) -> DataFrame:
+def _different_bits(x: Column, y: Column) -> Column:
+    """Bits in which two bitmaps differ, the wider one folded once; 0 where nothing is known."""
+    def folded(bits: Column) -> Column:
+        half = F.shiftright(F.size(bits), 1)
+        return F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+
+    wide, thin = F.size(x), F.size(y)
+    one = F.when(wide == thin * 2, folded(x)).otherwise(x)
+    two = F.when(thin == wide * 2, folded(y)).otherwise(y)
+    bits = F.aggregate(F.zip_with(one, two, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, b: total + b)
+    return F.when(F.size(one) == F.size(two), F.coalesce(bits, F.lit(0))).otherwise(F.lit(0))
+
+
+def _partners(rows: DataFrame, percent: int, keep: int) -> DataFrame:
+    """(token, uid, other, n, n_other, bound): for every row its ``keep`` most promising partners of another component.
+
+    ``rows`` (token, block, part, uid, n, component, bits, tried) meet inside
+    each (token, block). A pair has to pass the length filter and the bound of
+    the bitmaps, and must not have been tried. Pairs stay inside the task; a row hands on ``keep`` of them.
+    """
+    def first_of(row: np.ndarray, other: np.ndarray, score: np.ndarray, most: np.ndarray, uid: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((uid[other], -score, row))
+        row, other, score, most = row[order], other[order], score[order], most[order]
+        start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, np.int64)
+        rank = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)]))
+        return tuple(values[rank < keep] for values in (row, other, score, most))
+
+    def flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Values and the bounds of each row; null lists are empty."""
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        return lists.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(sizes)]
+
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        columns = {name: table.column(name).combine_chunks() for name in table.column_names}
+        token, block, part, uid, size, component = (
+            columns[c].to_numpy(zero_copy_only=False) for c in ("token", "block", "part", "uid", "n", "component"))
+        words, at = flat(columns["bits"])
+        words, width = words.view(np.uint64) if len(words) else np.empty(0, np.uint64), np.diff(at)
+        known, dense = np.unique(uid, return_inverse=True)
+        tried, tried_at = flat(columns["tried"])
+        slot = np.minimum(np.searchsorted(known, tried), len(known) - 1)
+        owner, met = np.repeat(dense, np.diff(tried_at)), known[slot] == tried
+        done = np.unique((np.minimum(owner, slot) << 32 | np.maximum(owner, slot))[met])
+
+        starts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (block[1:] != block[:-1])])
+        ends = np.repeat(np.r_[starts[1:], len(token)], np.diff(np.r_[starts, len(token)]))
+        later = ends - np.arange(len(token)) - 1
+        total = np.cumsum(later)
+
+        def enough(most: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return most * (100 + percent) >= (size[i] + size[j]) * percent
+
+        def run(low: int, high: int) -> tuple[np.ndarray, ...]:
+            count = later[low:high]
+            i = np.repeat(np.arange(low, high), count)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+            fits = ((component[i] != component[j]) & ((block[i] < 0) | (part[i] != part[j]))
+                    & (size[i] * 100 >= size[j] * percent) & (size[j] * 100 >= size[i] * percent))
+            i, j = i[fits], j[fits]
+            most = np.minimum(size[i], size[j])
+            kinds = width[i] * (MOST_BITS + 1) + width[j]
+            for kind in np.unique(kinds):
+                pairs = np.flatnonzero(kinds == kind)
+                thin = min(divmod(int(kind), MOST_BITS + 1))
+                if thin == 0:
+                    continue
+                sides = []
+                for row in (i[pairs], j[pairs]):
+                    bits = words[at[row][:, None] + np.arange(width[row[0]])]
+                    while bits.shape[1] > thin:
+                        half = bits.shape[1] // 2
+                        bits = bits[:, :half] ^ bits[:, half:]
+                    sides.append(bits)
+                apart = np.bitwise_count(sides[0] ^ sides[1]).sum(axis=1, dtype=np.int64)
+                most[pairs] = np.minimum(most[pairs], (size[i[pairs]] + size[j[pairs]] - apart) // 2)
+            fits = enough(most, i, j)
+            if len(done):
+                fits &= ~np.isin(np.minimum(dense[i], dense[j]) << 32 | np.maximum(dense[i], dense[j]), done)
+            i, j, most = i[fits], j[fits], most[fits]
+            score = most / (size[i] + size[j] - most)
+            return first_of(np.r_[i, j], np.r_[j, i], np.r_[score, score], np.r_[most, most], uid)
+
+        found, low = [], 0
+        while low < len(token):
+            before = total[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(total, before + RUN_PAIRS, side="right")))
+            found.append(run(low, high))
+            low = high
+        row, other, score, _ = first_of(*[np.concatenate(values) for values in zip(*found)], uid)
+        return pa.record_batch([pa.array(v) for v in (token[row], uid[row], uid[other], size[row], size[other], score)],
+                               names=["token", "uid", "other", "n", "n_other", "bound"])
+
+    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            token, block = (held.column(c).to_numpy() for c in ("token", "block"))
+            cuts = np.flatnonzero((token[1:] != token[:-1]) | (block[1:] != block[:-1]))
+            if len(cuts):
+                yield compare(held.slice(0, int(cuts[-1]) + 1))
+                held = held.slice(int(cuts[-1]) + 1)
+        if held is not None and held.num_rows:
+            yield compare(held)
+
+    return rows.select("token", "block", "part", "uid", "n", "component", "bits", "tried").mapInArrow(
+        seek, "token long, uid long, other long, n long, n_other long, bound double")
+
+
+def _fragments(texts: DataFrame, size: int, fragments: int) -> DataFrame:
     """(home, lane, uid, fragment, tokens): the set of each text (uid, home, lane, text), cut along the global order."""
     def packed(rows: list, parts: list) -> pa.RecordBatch:
         return pa.record_batch([*[pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], pa.array(parts, pa.list_(pa.int64()))],
@@ -126,9 +239,8 @@ def _fragments(texts: DataFrame, size: int, common: np.ndarray, fragments: int)
         for batch in batches:
             rows, parts, held = [], [], 0
             for uid, home, lane, text in zip(*[batch.column(c).to_pylist() for c in range(3)], batch.column(3)):
-                ordered, rare = _ordered(shingles(text.as_py(), size), common)
-                bounds = [*np.searchsorted(ordered[:rare], np.array([(i << 64) // (fragments - 1) for i in range(fragments - 1)], np.uint64)),
-                          rare, len(ordered)]
+                ordered = shingles(text.as_py(), size)
+                bounds = [*np.searchsorted(ordered, np.array([(i << 64) // fragments for i in range(fragments)], np.uint64)), len(ordered)]
                 for number, (start, end) in enumerate(zip(bounds, bounds[1:])):
                     if start < end:
                         rows.append((home, lane, uid, number))
@@ -142,7 +254,7 @@ def _fragments(texts: DataFrame, size: int, common: np.ndarray, fragments: int)
     return texts.mapInArrow(cut, "home long, lane long, uid long, fragment long, tokens array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int, percent: int, common: np.ndarray, fragments: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int, percent: int, fragments: int) -> DataFrame:
     """Pairs (a, b) of those (a, b, n_a, n_b) that are similar: overlaps are counted per fragment of the order and summed per pair.
 
     The second set of a pair travels to its first one, fragment by fragment.
@@ -159,7 +271,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int, pe
     chosen = near.join(where, near["id"].eqNullSafe(where["id"]) & (near["text_hash"] == where["text_hash"])).select("uid", "home", "lane", "text")
     place = Window.partitionBy("home", "lane", "fragment").orderBy(F.col("uid") != F.col("home"))
     first = F.first(F.struct("uid", "tokens")).over(place)
-    met = _fragments(chosen, size, common, fragments).select("home", "uid", "fragment", "tokens", first.alias("own"))
+    met = _fragments(chosen, size, fragments).select("home", "uid", "fragment", "tokens", first.alias("own"))
     partial = met.filter((F.col("uid") != F.col("home")) & (F.col("own.uid") == F.col("home"))).select(
         "home", "uid", "fragment", F.size(F.array_intersect("tokens", "own.tokens")).alias("shared"))
     # A text repeated under one id is cut more than once; each fragment counts once.
@@ -177,16 +289,18 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     that links reach. The result is exact:
 
     1. Texts with equal sets become one set, however many they are.
-    2. Similar sets share a shingle among the first n - ceil(t * n) + 1 of each
-       in the global order (common shingles last). Prefixes are joined; common
-       shingles are spread over lanes.
-    3. First every set is compared with the first and the previous set that
-       share one of its FIRST_PLACES first shingles. This ties large groups
-       together in a few pairs for each member.
-    4. Then each set is compared with its most promising partner in another
-       group, BEST_ROUNDS times, and at last all remaining pairs that lie in
-       different groups and share enough of their prefixes. Pairs inside a
-       group cannot change it.
+    2. The order of shingles is cut into more fragments than similar sets can
+       differ in, so that they agree in a whole one (``cells``). Sets with a
+       fragment in common are candidates.
+    3. First every set is compared with the better of the first and the
+       previous set that share one of its FIRST_PLACES first fragments. This
+       ties large groups together in one pair for each member.
+    4. Then, in rounds, the sets of each fragment that different groups share
+       meet inside a task, which hands on the most promising partners of each
+       in other groups: one at first, twice as many in each round, until no
+       untried pair of different groups is left that could be similar. Bounds
+       are those of length and of bitmaps, both exact. Pairs inside
+       a group cannot change it.
     5. A comparison adds up overlaps per fragment of the global order.
 
     A text without words (null, empty or blank) has no shingles and is its own
@@ -198,95 +312,76 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     texts = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     hashed = texts.select("id", F.xxhash64("text").alias("text_hash"), "text")
-    common = common_shingles(texts.select("text"), size, texts.count())
-    signed = materialize(_signatures(hashed, size, percent, common), "ngram_signatures")
+    signed = materialize(_signatures(hashed, size, percent), "ngram_signatures")
     members = materialize(signed.select("id", "text_hash", "set_key", "n"), "ngram_members")
 
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("text_hash")))
     grouped = signed.filter("n > 0").groupBy("set_key").agg(
-        first.alias("lead"), F.first("n").alias("n"), F.first("n_light").alias("n_light"), F.first("prefix").alias("prefix"))
-    prefixes = materialize(grouped.select("set_key", "lead", "n", "n_light", "prefix",
-                                          F.monotonically_increasing_id().alias("uid")), "ngram_prefixes")
-    sets = materialize(prefixes.select("uid", "set_key", "lead"), "ngram_sets")
+        first.alias("lead"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("bits").alias("bits"))
+    cut = materialize(grouped.select("set_key", "lead", "n", "cells", "bits",
+                                          F.monotonically_increasing_id().alias("uid")), "ngram_cells")
+    sets = materialize(cut.select("uid", "set_key", "lead", "bits"), "ngram_sets")
     discard(signed)
 
-    # Place in the order and size travel in one number.
-    tokens = prefixes.select("uid", "n", "n_light", F.posexplode("prefix").alias("place", "token"))
-    packed = (F.col("n").cast("bigint") * F.lit(1 << 31) + F.col("place")).alias("packed")
-    rare = tokens.filter("place < n_light").select("token", "uid", packed, F.lit(-1).alias("lane"))
-    often = tokens.filter("place >= n_light").select("token", "uid", packed, F.pmod(F.xxhash64("uid"), F.lit(LANES)).cast("int").alias("lane"))
-
-    def met(rows: DataFrame, *keys: str) -> DataFrame:
-        near = Window.partitionBy(*keys).orderBy("uid")
-        item = F.struct("uid", "packed")
-        return rows.select("token", "lane", "uid", "packed", F.lag(item).over(near).alias("before"), F.first(item).over(near).alias("lead"),
-                           F.lead("uid").over(near).isNotNull().alias("more"))
-
-    alone = met(rare, "token").filter(F.col("before").isNotNull() | F.col("more"))
-    shared = materialize(alone.unionByName(met(often, "token", "lane")), "ngram_shared")
-    discard(prefixes)
-    heads = shared.filter("before is null and lane >= 0")
-    lanes = heads.join(
-        heads.groupBy("token").agg(F.min(F.struct("uid", "packed")).alias("over")), "token")
-    early = shared.filter("before is not null").filter(F.col("packed").bitwiseAND(F.lit((1 << 31) - 1)) < FIRST_PLACES)
-    links = early.select("uid", "packed", F.explode(F.array("before", "lead")).alias("other")).unionByName(
-        lanes.select("uid", "packed", F.col("over").alias("other")))
-
-    def size_of(pack: Column) -> Column:
-        return F.shiftright(pack, 31)
-
-    def place_of(pack: Column) -> Column:
-        return pack.bitwiseAND(F.lit((1 << 31) - 1))
-
-    def possible(pack_a: Column, pack_b: Column) -> Column:
-        """The pair passes the length filter, and what is left behind the shared shingle can still be enough."""
-        n_a, n_b, at_a, at_b = size_of(pack_a), size_of(pack_b), place_of(pack_a), place_of(pack_b)
-        most = F.least(n_a - at_a, n_b - at_b) + F.least(at_a, at_b)
-        return _fits(n_a, n_b, percent) & _similar(most, n_a, n_b, percent)
-
-    near = links.filter((F.col("uid") != F.col("other.uid")) & possible(F.col("packed"), F.col("other.packed"))).select(
-        F.col("other.uid").alias("a"), F.col("uid").alias("b"), size_of(F.col("other.packed")).alias("n_a"), size_of(F.col("packed")).alias("n_b"))
-    near = materialize(near.distinct(), "ngram_near")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return _verified(pairs, sets, hashed, size, percent, common, fragments)
-
-    edges = materialize(verified(near), "ngram_edges")
-    tied = materialize(connected_components(edges, "a", "b"), "ngram_tied")
-
-    grouped_rows = shared.select("token", "uid", "packed").join(tied.withColumnRenamed("vertex", "uid"), "uid", "left").select(
-        "token", "uid", "packed", F.coalesce("component", "uid").alias("component"))
-    spans = grouped_rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token")
-    open_rows = materialize(attach(grouped_rows, spans.withColumn("open", F.lit(True)), "token", F.col("uid")).filter("open").drop("open"), "ngram_open")
-    one, two = (open_rows.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("uid", "packed", "component")]) for side in "ab")
-    meetings = one.join(two, "token").filter((F.col("component_a") < F.col("component_b")) & possible(F.col("packed_a"), F.col("packed_b")))
-    # All prefix shingles that a pair shares are counted: what lies behind the last of them bounds the rest of the overlap.
-    counted = meetings.groupBy("uid_a", "uid_b", size_of(F.col("packed_a")).alias("n_a"), size_of(F.col("packed_b")).alias("n_b")).agg(
-        F.count(F.lit(1)).alias("c"), F.max(place_of(F.col("packed_a"))).alias("at_a"), F.max(place_of(F.col("packed_b"))).alias("at_b"))
-    most = F.col("c") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
-    ahead = F.col("uid_a") < F.col("uid_b")
-    rest = counted.filter(_similar(most, F.col("n_a"), F.col("n_b"), percent)).select(
-        F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b"),
-        F.when(ahead, F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(ahead, F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"),
-        (most / (F.col("n_a") + F.col("n_b") - most)).alias("bound"))
-    rest = materialize(rest.join(near.select("a", "b"), ["a", "b"], "left_anti"), "ngram_rest")
-
-    def joined_by(links: DataFrame) -> DataFrame:
-        bridges = tied.select(F.col("component").alias("a"), F.col("vertex").alias("b")).unionByName(links)
-        return materialize(connected_components(bridges, "a", "b"), "ngram_tied")
-
-    # Most sets of a group link to its most typical member: comparing each with its best partner first spares the pairs between the others.
-    for _ in range(BEST_ROUNDS):
-        pair = F.struct("bound", "a", "b", "n_a", "n_b").alias("pair")
-        best = rest.select(F.explode(F.array("a", "b")).alias("uid"), pair).groupBy("uid").agg(F.max("pair").alias("pair"))
-        chosen = materialize(best.select("pair.*").drop("bound").distinct(), "ngram_best")
-        tied = joined_by(verified(chosen))
-        named = attach(rest, tied.select(F.col("vertex").alias("a"), F.col("component").alias("component_a")), "a", F.col("b"))
-        named = attach(named, tied.select(F.col("vertex").alias("b"), F.col("component").alias("component_b")), "b", F.col("a"))
-        apart = named.filter(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).select(*rest.columns)
-        rest = materialize(apart.join(chosen.select("a", "b"), ["a", "b"], "left_anti"), "ngram_rest")
-    if not rest.isEmpty():
-        tied = joined_by(verified(rest.drop("bound")))
+    places = cut.select("uid", F.col("n").cast("bigint").alias("n"), F.posexplode("cells").alias("place", "token"))
+    often = materialize(places.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"), F.count(F.lit(1)).alias("sets")).filter(
+        "sets > 1").drop("sets"), "ngram_often")
+    shared = materialize(perhaps_in(places, F.col("token"), often, F.col("token")).join(often, "token"), "ngram_shared")
+    discard(cut)
+
+    item = F.struct("uid", "n", "bits")
+    early = shared.filter(F.col("place") < FIRST_PLACES).join(sets.select("uid", "bits"), "uid").withColumn(
+        "lane", F.pmod(F.xxhash64("uid"), F.col("parts")))
+    together = Window.partitionBy("token", "lane").orderBy("uid")
+    early = early.withColumns({"before": F.lag(item).over(together), "lead": F.first(item).over(together)})
+    heads = early.filter("before is null and parts > 1")
+    over = heads.groupBy("token").agg(F.min(item).alias("other"))
+    links = early.filter("before is not null").select("uid", "n", "bits", F.explode(F.array("before", "lead")).alias("other")).unionByName(
+        heads.join(over, "token").select("uid", "n", "bits", "other"))
+    most = F.floor((F.col("n") + F.col("other.n") - _different_bits(F.col("bits"), F.col("other.bits"))) / 2)
+    likely = links.filter((F.col("uid") != F.col("other.uid")) & _fits(F.col("n"), F.col("other.n"), percent)).select(
+        "uid", F.col("other.uid").alias("other"), "n", F.col("other.n").alias("n_other"), most.alias("most")).filter(
+        _similar(F.col("most"), F.col("n"), F.col("n_other"), percent))
+    best = likely.groupBy("uid").agg(F.max(F.struct((F.col("most") / (F.col("n") + F.col("n_other") - F.col("most"))).alias("bound"),
+                                                    "other", "n", "n_other")).alias("best"))
+
+    def verified(asked: DataFrame) -> DataFrame:
+        """Links among the pairs (uid, other) that are asked for, each compared once."""
+        ahead = F.col("uid") < F.col("other")
+        pairs = asked.select(F.least("uid", "other").alias("a"), F.greatest("uid", "other").alias("b"),
+                             F.when(ahead, F.col("n")).otherwise(F.col("n_other")).alias("n_a"),
+                             F.when(ahead, F.col("n_other")).otherwise(F.col("n")).alias("n_b")).distinct()
+        return _verified(materialize(pairs, "ngram_pairs"), sets, hashed, size, percent, fragments)
+
+    asked = materialize(best.select("uid", "best.other", "best.n", "best.n_other"), "ngram_asked")
+    tied = materialize(connected_components(materialize(verified(asked), "ngram_edges"), "a", "b"), "ngram_tied")
+
+    def grouped_by(rows: DataFrame) -> DataFrame:
+        return rows.join(tied.withColumnRenamed("vertex", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+
+    now = grouped_by(shared.drop("place"))
+    spans = now.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    left = materialize(now.drop("component").join(spans.select("token"), "token", "left_semi"), "ngram_open")
+    keep = 1
+    while True:
+        tried = asked.groupBy("uid").agg(F.collect_list("other").alias("tried"))
+        rows = grouped_by(left).join(sets.select("uid", "bits"), "uid").join(tried, "uid", "left").withColumn(
+            "part", F.pmod(F.xxhash64("uid"), F.col("parts")))
+        # Blocks of a whole list or of one part are negative: all of their rows meet; in other blocks the rows of two parts do.
+        with_part = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
+        low, high = F.least("part", "with"), F.greatest("part", "with")
+        blocks = rows.withColumn("with", with_part).withColumn("block", F.when(low == high, -1 - low).otherwise(low * F.col("parts") + high))
+        found = materialize(_partners(blocks.repartition("token", "block").sortWithinPartitions("token", "block"), percent, keep), "ngram_found")
+        if found.isEmpty():
+            break
+        once = found.groupBy("uid", "other").agg(*[F.first(c).alias(c) for c in ("n", "n_other")], F.min("bound").alias("bound"))
+        place = Window.partitionBy("uid").orderBy(F.desc("bound"), "other")
+        new = materialize(once.withColumn("_place", F.row_number().over(place)).filter(F.col("_place") <= keep).select(*asked.columns), "ngram_new")
+        bridges = tied.select(F.col("component").alias("a"), F.col("vertex").alias("b")).unionByName(verified(new))
+        tied = materialize(connected_components(bridges, "a", "b"), "ngram_tied")
+        asked = materialize(asked.unionByName(new), "ngram_asked")
+        left = materialize(left.join(found.select("token").distinct(), "token", "left_semi"), "ngram_open")
+        keep *= 2
 
     placed = sets.select("uid", "set_key", "lead").join(tied.withColumnRenamed("vertex", "uid"), "uid", "left").select(
         "set_key", "lead", F.coalesce("component", "uid").alias("component"))
