@@ -4,7 +4,7 @@ import random
 import pytest
 from llm_cases import EDGES, table
 
-from ticketlens.llm.curriculum_mix import in_training_order, mix
+from ticketlens.llm.curriculum_mix import by_first_position, in_training_order, mix
 
 
 def water(sizes):
@@ -77,3 +77,12 @@ def test_rising_and_falling_schedules(spark):
         mean.setdefault(rows[r.doc_id][2], []).extend(r.positions)
     mean = {s: sum(p) / len(p) for s, p in mean.items()}
     assert mean["a"] < mean["b"] < mean["c"]
+
+
+def test_rows_in_order_of_their_first_position(spark):
+    rows = [(i, "w " * 10, s) for i, s in enumerate("abc" * 50)]
+    mixed = mix(table(spark, rows))
+    ordered = by_first_position(mixed).collect()
+    first = [r.positions[0] if r.positions else -1.0 for r in ordered]
+    assert first == sorted(first) and len(set(first)) > 50
+    assert sorted(map(str, ordered)) == sorted(map(str, mixed.collect()))

@@ -119,6 +119,12 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
                           (F.col("size") * F.col("copies")).alias("taken"), "copies", positions.alias("positions"), *rest)
 
 
+def by_first_position(mixed: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """Rows of :func:`mix`, range-sorted by the training position of their first copy and then by id; documents without one come first."""
+    first = F.get("positions", F.lit(0))
+    return mixed.repartitionByRange(first, F.col(id_column)).sortWithinPartitions(first, F.col(id_column))
+
+
 def in_training_order(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Every taken copy as a row of ``docs``, range-sorted by training position."""
     copies = mix(docs, id_column, text, source, carry=True).filter("copies > 0").select(

@@ -65,7 +65,7 @@ def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
-    mixed = curriculum_mix.mix(_table(spark, folder, "documents"))
+    mixed = curriculum_mix.by_first_position(curriculum_mix.mix(_table(spark, folder, "documents")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
