@@ -44,3 +44,11 @@ def test_score_is_the_sum_of_looked_up_bins():
         total = model.intercept + sum(t[b] for t, b in zip(model.tables, bins))
         total += sum(g[model.coarse[i][bins[i]], model.coarse[j][bins[j]]] for i, j, g in model.grids)
         assert np.isclose(model.score(row[None])[0], 1 / (1 + np.exp(-total)))
+
+
+def test_one_id_on_many_rows_counts_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(Q, "fit_gam", lambda values, labels: seen.append(len(labels)))
+    docs = table(spark, [(1, f"text {i}") for i in range(3000)] + [(2, None), (3, "three")])
+    Q.train(docs, spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 1)], "doc_id long, quality int, toxic int"), max_rows=10)
+    assert seen == [3]

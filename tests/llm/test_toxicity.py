@@ -73,3 +73,13 @@ def test_misspelling_of_a_word_kept_only_as_a_stem(spark):
     say = lambda text: float(model.score([f"{prose(5000, 30)} {text} {prose(5001, 30)}"])[0])
     assert say("you blockhead") > 0.7
     assert say("you glockhead") > 0.5 and say("you bolckheaded") > 0.3 > say("and then some more words")
+
+
+def test_one_id_on_many_rows_counts_once(spark, monkeypatch):
+    seen = []
+    fit = X._fit_layer
+    monkeypatch.setattr(X, "_fit_layer", lambda values, labels: seen.append(len(labels)) or fit(values, labels))
+    rows = [(1, f"vile{'x' * (i % 3)} word") for i in range(3000)] + [(i, "vile rude words" if i % 2 else "kind words") for i in range(2, 60)]
+    labels = [(i, 1, i % 2) for i in range(1, 60)]
+    X.train(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), max_rows=100)
+    assert seen == [59]

@@ -175,7 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_column:
           learn_from: Column | None = None, max_rows: int = MAX_TRAINING_ROWS) -> PairwiseGam:
     """Fit on at most ``max_rows`` labelled rows, those with the smallest hash of the id.
 
-    Only their features reach the driver: max_rows * len(FEATURES) doubles.
+    Only their features reach the driver: max_rows * len(FEATURES) doubles. Of
+    several rows with one id the smallest text is learnt from.
     Rows without a label or text column value null are handled as no label and
     empty text; of several labels of one id the largest counts.
     """
@@ -186,7 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_column:
     chosen = chosen.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
     # max_rows ids and labels of 16 bytes each: the side that is broadcast has a fixed bound.
-    found = rows.join(F.broadcast(chosen), "id").select(F.xxhash64("id").alias("order"), "label", _measured("text").alias("values"))
+    single = rows.join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("label").alias("label"), F.min("text").alias("text"))
+    found = single.select(F.xxhash64("id").alias("order"), "label", _measured("text").alias("values"))
     sample = found.toPandas().sort_values("order", kind="stable")
     values = np.array(sample["values"].tolist(), dtype=float).reshape(len(sample), len(FEATURES))
     return fit_gam(values, sample["label"].to_numpy())

@@ -269,6 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: s
     the words of the sample that the automata map to it, so that a term with
     ordinary words for neighbours gives them nothing. Without toxic rows
     nothing is toxic. Null labels are no labels; the largest of several counts.
+    Of several rows with one id the smallest text is learnt from.
     """
     chosen = labels.select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("label")).filter(
         F.col("label").isNotNull() & F.col("id").isNotNull())
@@ -276,7 +277,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: s
         chosen = chosen.filter(learn_from)
     chosen = chosen.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
     # max_rows ids and labels of 16 bytes each: the side that is broadcast has a fixed bound.
-    sample = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("label", "text")
+    labelled = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    sample = materialize(labelled.groupBy("id").agg(F.max("label").alias("label"), F.min("text").alias("text")).select("label", "text"), "toxic_sample")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
