@@ -56,3 +56,30 @@ def test_exact_round_trip_of_a_table(spark):
     assert sorted((r.doc_id or -1, r.decoded) for r in got) == sorted((i or -1, t or "") for i, t in rows)
     assert all((r.n_tokens == 0) == (r.decoded == "") for r in got)
     assert S.encode(table(spark, []), MODEL).count() == 0
+
+
+@pytest.mark.parametrize("data", [open(MODEL, "rb").read(), unigram_model()], ids=["bpe", "unigram"])
+def test_codec_equals_the_library_alone(data):
+    codec = S.Codec(data)
+    texts = [*TEXTS, "▁marker ▁", "  ", "the cats sat"]
+    ids, back, same = codec.run(texts, 2)
+    library = [codec.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids == library and all(same)
+    assert back == codec.tokenizer.decode_batch(library, skip_special_tokens=False)
+    # Bytes that are no text on their own.
+    lone = [i for i, (_, _, kind) in enumerate(S.parse_model(data).pieces) if kind == S.BYTE][0xC3:0xC5]
+    assert codec.decode(lone) == codec.tokenizer.decode(lone, skip_special_tokens=False)
+
+
+def test_own_ids_are_returned_where_the_libraries_differ():
+    codec = S.Codec(unigram_model())
+    codec.original = type("Other", (), {"encode": lambda self, texts, num_threads: [[1] for _ in texts]})()
+    ids, _, same = codec.run(["the cat"], 1)
+    assert ids[0] != [1] and same == [False]
+
+
+def test_models_of_other_markers_are_refused():
+    # Field 24 of the trainer: markers behind words; field 5 of the normaliser: plain spaces.
+    for extra in (_bytes(2, _number(24, 1)), _bytes(3, _number(5, 0))):
+        with pytest.raises(ValueError, match="not supported"):
+            S.parse_model(extra)
