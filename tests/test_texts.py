@@ -56,6 +56,47 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     assert nb.connected_components(edges.limit(0), "a", "b").count() == 0
 
 
+def near_copies(spark, n):
+    """A family of texts that differ in one or two of 30 words, and some of no family."""
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join([*words[:i % 30], f"x{i}", *words[i % 30 + 1:]]) for i in range(n)] + [f"alone{i} w{i % 30} y z" for i in range(n // 4)]
+    return spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+
+
+def grouping(frame):
+    return {r.vertex: r.component for r in nb.connected_components(frame, "rep_a", "rep_b").collect()}
+
+
+@pytest.mark.parametrize("threshold, copies", [(0.85, 0), (0.5, 60)])
+def test_spanning_links_connect_what_all_pairs_do(spark, threshold, copies):
+    documents = table(spark, FOLDER, "documents").select(F.col("doc_id").alias("id"), "text")
+    sets = nb.token_sets(near_copies(spark, copies) if copies else documents, "id", "text").sets
+    pairs = nb.similar_sets(sets, threshold)
+    links = nb.spanning_links(sets, threshold)
+    assert grouping(links) == grouping(pairs)
+    assert links.join(pairs, ["rep_a", "rep_b"], "left_anti").isEmpty()
+
+
+def test_links_of_a_large_family_grow_with_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(nb, "CHAIN_ROWS", 100)
+    count = {}
+    for n in (100, 400):
+        sets = nb.token_sets(near_copies(spark, n), "id", "text").sets
+        count[n] = nb.chained(nb.prefixes(sets), nb.THRESHOLD).count()
+    assert count[400] <= 6 * count[100]
+    links = nb.spanning_links(sets)
+    assert set(grouping(links).values()) == {0} and len(grouping(links)) == 400
+    assert links.count() <= 6 * 400
+
+
+def test_no_bound_drops_a_similar_pair(spark):
+    sets = nb.token_sets(near_copies(spark, 60), "id", "text").sets
+    tokens = {r.rep: set(r.tokens) for r in sets.collect()}
+    got = {(r.rep_a, r.rep_b) for r in nb.similar_sets(sets).collect()}
+    assert got == {(a, b) for a, b in itertools.combinations(sorted(tokens), 2)
+                   if len(tokens[a] & tokens[b]) / len(tokens[a] | tokens[b]) >= nb.THRESHOLD}
+
+
 def test_wordless_equal_texts_share_a_group(spark):
     rows = spark.createDataFrame([(0, "!!!"), (1, "!!!"), (2, "???"), (3, "a b"), (4, "B a")], "id int, text string")
     prepared = nb.token_sets(rows, "id", "text")

@@ -13,6 +13,10 @@ from ticketlens.session import materialize
 
 THRESHOLD = 0.85
 _SLACK = 1e-9
+#: Longs of 64 bits in the bitmap of a token set.
+BITMAP_LONGS = 4
+#: Rows of one token that are chained in one task; a longer list is cut into lanes.
+CHAIN_ROWS = 8_192
 
 
 @dataclass(frozen=True)
@@ -21,7 +25,7 @@ class TokenSets:
 
     ``rows``: id, normalised text and ``set_key``. ``sets``: one row per
     distinct non-empty set with its key, sorted tokens, the smallest id that
-    has it (``rep``) and the number of rows that have it (``copies``).
+    has it (``rep``), the number of rows that have it (``copies``) and its bitmap.
     """
 
     rows: DataFrame
@@ -35,25 +39,39 @@ def token_sets(texts: DataFrame, id_column: str, text: str) -> TokenSets:
     keyed = tokens.withColumn("set_key", F.when(F.col("_tokens") != "", F.sha2("_tokens", 256)))
     rows = materialize(keyed.select("id", "normal", "set_key", "_tokens"), "token_rows")
     sets = (
-        rows.filter(F.col("set_key").isNotNull()).groupBy("set_key", "_tokens")
-        .agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+        rows.filter(F.col("set_key").isNotNull()).groupBy("set_key")
+        .agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("_tokens").alias("_tokens"))
         .select("set_key", "rep", "copies", F.split("_tokens", " ").alias("tokens"))
-        .withColumn("size", F.size("tokens"))
+        .withColumn("size", F.size("tokens")).withColumn("bits", _bitmap(F.col("tokens")))
     )
     return TokenSets(rows.drop("_tokens"), materialize(sets, "token_sets"))
 
 
+def _bitmap(tokens: Column) -> Column:
+    """Parity bits of a token set: a bit is set if an odd number of tokens hash to it.
+
+    Two bitmaps differ in at most as many bits as their sets differ in tokens.
+    """
+    hashes = F.transform(tokens, lambda token: F.xxhash64(token))
+
+    def long_of(number: int) -> Column:
+        def bit(value: Column) -> Column:
+            return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftright(value, 8), F.lit(64)).cast("int"))
+
+        return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda bits, value: F.when(
+            F.pmod(value, F.lit(BITMAP_LONGS)) == number, bits.bitwiseXOR(bit(value))).otherwise(bits))
+
+    return F.array(*[long_of(number) for number in range(BITMAP_LONGS)])
+
+
 def _required_overlap(a: Column, b: Column, threshold: float) -> Column:
     return F.ceil((a + b) * F.lit(threshold / (1 + threshold)) - _SLACK)
 
 
-def similar_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """All pairs of distinct token sets with Jaccard similarity of at least ``threshold``.
+def prefixes(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(rep, size, token, place, bits): the rarest ``size - ceil(t * size) + 1`` tokens of every set.
 
-    Two sets this similar share one of the rarest ``size - ceil(t * size) + 1``
-    tokens of each. Only those prefixes are joined; a pair also has to pass the
-    length filter and the bound on the overlap still possible behind the shared
-    token before its sets are intersected. The result is exact.
+    Two sets with a similarity of at least ``threshold`` share one of these.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
@@ -68,22 +86,33 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - _SLACK) + 1)
         .select("rep", "size", "token", "place")
     )
-    prefix = materialize(prefix, "prefixes")
-    left = prefix.select(*[F.col(c).alias(f"{c}_a") for c in prefix.columns])
-    right = prefix.select(*[F.col(c).alias(f"{c}_b") for c in prefix.columns])
-    fits = (
-        (F.col("token_a") == F.col("token_b")) & (F.col("rep_a") < F.col("rep_b"))
-        & (F.col("size_a") >= F.col("size_b") * F.lit(threshold) - _SLACK)
-        & (F.col("size_b") >= F.col("size_a") * F.lit(threshold) - _SLACK)
-        & (F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) + F.least("place_a", "place_b")
-           >= _required_overlap(F.col("size_a"), F.col("size_b"), threshold))
-    )
-    candidates = left.join(right, fits).select("rep_a", "rep_b").distinct()
-    full = sets.select("rep", "tokens", "copies", "size")
-    met = (
-        candidates.join(full.select(*[F.col(c).alias(f"{c}_a") for c in full.columns]), "rep_a")
-        .join(full.select(*[F.col(c).alias(f"{c}_b") for c in full.columns]), "rep_b")
+    return materialize(prefix.join(sets.select("rep", "bits"), "rep"), "prefixes")
+
+
+def _may_be_similar(threshold: float) -> Column:
+    """Bounds on two rows of one token, named _a and _b, that no similar pair misses.
+
+    They are those of the sizes, of the tokens still to come behind the shared
+    one, and of the bitmaps, which count the tokens that must differ.
+    """
+    size_a, size_b = F.col("size_a"), F.col("size_b")
+    apart = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(BITMAP_LONGS)), F.lit(0))
+    required = _required_overlap(size_a, size_b, threshold)
+    return (
+        (size_a >= size_b * F.lit(threshold) - _SLACK) & (size_b >= size_a * F.lit(threshold) - _SLACK)
+        & (F.least(size_a - F.col("place_a"), size_b - F.col("place_b")) + F.least("place_a", "place_b") >= required)
+        & (size_a + size_b - apart >= required * 2)
     )
+
+
+def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return tuple(rows.select(*[F.col(c).alias(f"{c}_{side}") for c in rows.columns]) for side in "ab")
+
+
+def _scored(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (rep_a, rep_b) of ``candidates`` that are similar, by their whole sets."""
+    one, two = _sides(sets.select("rep", "tokens", "copies", "size"))
+    met = candidates.join(one, "rep_a").join(two, "rep_b")
     # A generated column is computed once; a plain one would be repeated in the filter below.
     counted = met.select("rep_a", "rep_b", "copies_a", "copies_b", "size_a", "size_b",
                          F.explode(F.array(F.size(F.array_intersect("tokens_a", "tokens_b")))).alias("_overlap"))
@@ -92,6 +121,74 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         "rep_a", "rep_b", "copies_a", "copies_b", F.round("_score", 6).alias("jaccard"))
 
 
+def similar_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """All pairs of distinct token sets with Jaccard similarity of at least ``threshold``.
+
+    Only prefixes are joined; a pair also has to pass the bounds of its sizes,
+    places and bitmaps before it leaves the join and its sets are intersected.
+    The result is exact. Where only groups are wanted, :func:`spanning_links`
+    gives them without all pairs.
+    """
+    left, right = _sides(prefixes(sets, threshold))
+    meet = (F.col("token_a") == F.col("token_b")) & (F.col("rep_a") < F.col("rep_b"))
+    candidates = left.join(right, meet & _may_be_similar(threshold)).select("rep_a", "rep_b").distinct()
+    return _scored(candidates, sets, threshold)
+
+
+def chained(rows: DataFrame, threshold: float) -> DataFrame:
+    """(rep_a, rep_b): every prefix row next to the row before it and to the first one of its token, if the pair may be similar.
+
+    At most two pairs for each row. Rows of a token lie by size and bitmap, so
+    that copies with few changes are neighbours. A list of more than
+    CHAIN_ROWS rows is chained in lanes.
+    """
+    lanes = rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / CHAIN_ROWS).alias("_lanes"))
+    laned = attach_by_key(rows, lanes, "token", ["rep", "token"]).withColumn("_lane", F.pmod(F.xxhash64("rep"), F.col("_lanes")))
+    together = Window.partitionBy("token", "_lane").orderBy("size", "bits", "rep")
+    item = F.struct("rep", "size", "place", "bits")
+    beside = laned.withColumns({"_before": F.lag(item).over(together), "_first": F.first(item).over(together)})
+    pairs = beside.filter(F.col("_before").isNotNull()).select(
+        *[F.col(c).alias(f"{c}_a") for c in ("rep", "size", "place", "bits")], F.explode(F.array("_before", "_first")).alias("_other")).select(
+        "*", *[F.col(f"_other.{c}").alias(f"{c}_b") for c in ("rep", "size", "place", "bits")])
+    return pairs.filter(_may_be_similar(threshold)).select(
+        F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")).distinct()
+
+
+def between_groups(rows: DataFrame, threshold: float) -> DataFrame:
+    """(rep_a, rep_b) of all rows (with their ``component``) of one token and different groups that may be similar."""
+    spread = rows.groupBy("token").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high")
+    left, right = _sides(rows.join(spread.select("token"), "token", "left_semi"))
+    meet = (F.col("token_a") == F.col("token_b")) & (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b"))
+    return left.join(right, meet & _may_be_similar(threshold)).select("rep_a", "rep_b").distinct()
+
+
+def spanning_links(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(rep_a, rep_b): similar pairs that connect the same groups of sets as all similar pairs do.
+
+    In rounds, neighbours in the list of each token are compared, at most two
+    pairs for a row; then one row of each group stays in each list, until
+    no round links anything. At last all rows of different groups that share a
+    token meet, and bounds drop nearly all of those pairs inside the join. Pairs inside
+    a group are never formed, so a group of many near copies costs as many
+    pairs as it has rows. The groups are exact.
+    """
+    prefix = prefixes(sets, threshold)
+    vertices = sets.select("rep")
+    links = materialize(vertices.select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b")).limit(0), "links")
+    rows, placed = prefix, prefix.withColumn("component", F.col("rep"))
+    while True:
+        new = materialize(_scored(chained(rows, threshold), sets, threshold).select("rep_a", "rep_b"), "links")
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        groups = materialize(connected_components(links, "rep_a", "rep_b").withColumnRenamed("vertex", "rep"), "groups")
+        placed = prefix.join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        lead = F.min_by(F.struct("rep", "size", "place", "bits"), "rep").alias("_lead")
+        rows = materialize(placed.groupBy("token", "component").agg(lead).select("_lead.*", "token"), "leads")
+    last = _scored(between_groups(placed, threshold), sets, threshold).select("rep_a", "rep_b")
+    return links.unionByName(last)
+
+
 def copies_of(prepared: TokenSets) -> DataFrame:
     """Every row that repeats the token set of an earlier row, next to that row."""
     facts = prepared.sets.filter("copies > 1").select("set_key", "rep", "copies")
@@ -164,6 +261,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
 def duplicate_groups(prepared: TokenSets, pairs: DataFrame) -> DataFrame:
     """(id, normal, duplicate_group): a digest of the smallest normalised text of the component.
 
+    ``pairs`` are all similar pairs or, with the same result, the spanning links.
     Rows without any word have no token set; equal texts among them still share
     a group, because the digest is taken of the text.
     """

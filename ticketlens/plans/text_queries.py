@@ -36,6 +36,10 @@ def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     return once(spark, folder, "pairs", lambda: nb.similar_sets(_token_sets(spark, folder).sets))
 
 
+def _links(spark: SparkSession, folder: str) -> DataFrame:
+    return once(spark, folder, "links", lambda: nb.spanning_links(_token_sets(spark, folder).sets))
+
+
 @query("token_sets", f"WITH {PAIRS_SQL} SELECT doc_id, len(ts) AS n, md5(array_to_string(ts, ' ')) AS digest FROM toks")
 def _token_set(spark: SparkSession, folder: str) -> DataFrame:
     tokens = tx.token_set(tx.normalize_casefold("text"))
@@ -75,17 +79,17 @@ GROUPS_SQL = PAIRS_SQL + """,
 
 
 def _groups(spark: SparkSession, folder: str) -> DataFrame:
-    return once(spark, folder, "duplicate_groups", lambda: nb.duplicate_groups(_token_sets(spark, folder), _pairs(spark, folder)))
+    return once(spark, folder, "duplicate_groups", lambda: nb.duplicate_groups(_token_sets(spark, folder), _links(spark, folder)))
 
 
 @query("duplicate_components", f"WITH RECURSIVE {GROUPS_SQL} SELECT v AS vertex, component FROM comp")
 def _components(spark: SparkSession, folder: str) -> DataFrame:
-    return nb.connected_components(_pairs(spark, folder), "rep_a", "rep_b")
+    return nb.connected_components(_links(spark, folder), "rep_a", "rep_b")
 
 
 @query("duplicate_groups", f"WITH RECURSIVE {GROUPS_SQL} SELECT doc_id AS id, grp AS duplicate_group FROM grouped")
 def _duplicate_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return nb.duplicate_groups(_token_sets(spark, folder), _pairs(spark, folder)).select("id", "duplicate_group")
+    return nb.duplicate_groups(_token_sets(spark, folder), _links(spark, folder)).select("id", "duplicate_group")
 
 
 # ---- splits -----------------------------------------------------------------------------
