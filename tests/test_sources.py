@@ -154,3 +154,27 @@ def test_category_model_is_calibrated(spark):
     scored = model.score(held, "id", "text").collect()
     assert sum(r.predicted == r.label for r in scored) / len(scored) > 0.95
     assert all(abs(sum(r.probabilities) - 1) < 1e-9 for r in scored) and all(r.known_words >= 2 for r in scored)
+
+
+def test_import_checks_find_every_difference(spark):
+    schema = "a int, b string, `c.d` double"
+    rows = [(i, f"t{i % 3}", i / 2) for i in range(50)] + [(1, None, 1.0), (None, "x", None), (7, "t1", 3.5), (7, "t1", 3.5)]
+
+    def checks(one, two, **options):
+        frames = [spark.createDataFrame(part, schema) for part in (one, two)]
+        return tuple(files.import_checks(frames[0], frames[1].withColumn("extra", F.lit(1)), **options).first())
+
+    assert checks(rows, rows[::-1]) == (54, 54, 0, 0)
+    assert checks(rows, rows[1:] + [(99, "new", None)], buckets=4) == (54, 54, 1, 1)
+    # A copy more, and a null that changes places with its neighbour.
+    assert checks(rows, rows + rows[-1:]) == (54, 55, 0, 1)
+    assert checks([(1, "a", None)] * 2, [(1, "a", None)]) == (2, 1, 1, 0)
+    swapped = [spark.createDataFrame([r], "a string, b string") for r in (("x", None), (None, "x"))]
+    assert tuple(files.import_checks(*swapped).first()) == (1, 1, 1, 1)
+    assert checks([], []) == (0, 0, 0, 0)
+
+
+def test_equal_tables_are_not_compared_in_full(spark, monkeypatch):
+    rows = spark.range(100).withColumn("t", F.col("id").cast("string"))
+    monkeypatch.setattr(type(rows), "exceptAll", lambda *_: pytest.fail("full comparison"))
+    assert tuple(files.import_checks(rows, rows).first()) == (100, 100, 0, 0)

@@ -248,3 +248,13 @@ def test_pruned_search_of_random_words(spark):
         pruned = ti.similar_elsewhere(asked, postings, own, groups, limit, floor, weights)
         rows = [sorted((r["query"], r["doc"], r["rank"], round(r["score"], 6)) for r in x.collect()) for x in (plain, pruned)]
         assert rows[0] == rows[1] and rows[0]
+
+
+@pytest.mark.parametrize("limit", [1, 7, 50, 399, 400, 1000])
+def test_limited_vocabulary_equals_a_sorted_one(spark, limit):
+    # Many ties among small totals, and large totals that share a bin.
+    counts = spark.range(400).select(F.lit(1).alias("doc"), F.format_string("t%03d", (F.col("id") * 7) % 400).alias("term"),
+                                     F.when(F.col("id") < 300, F.col("id") % 5 + 1).otherwise(1_000_000 + F.col("id") * 3).alias("tf"))
+    got = {(r.term, r.total) for r in ti.vocabulary(counts, limit=limit).collect()}
+    want = sorted(((r.term, r.tf) for r in counts.collect()), key=lambda x: (-x[1], x[0]))[:limit]
+    assert got == set(want)

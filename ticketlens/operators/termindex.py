@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlens.functions import text as tx
+from ticketlens.operators.scaling import ranked
 from ticketlens.session import materialize
 
 WORD_FEATURES = 40_000
 CHAR_FEATURES = 60_000
 TOP_HITS = 5
+#: Totals below this have a bin of their own in the histogram of a vocabulary; larger ones share bins.
+EXACT_BINS = 4096
+BINS_PER_OCTAVE = 64
 MIN_SIMILARITY = 0.1
 Words = Callable[[Column], Column]
 # Scores are compared at this precision, so that equal texts tie whatever the order of their sums.
@@ -62,14 +67,33 @@ def char_counts(texts: DataFrame, id_column: str, text: str, shortest: int = 3,
     return grams.groupBy("doc", "term").agg(F.sum("_n").alias("tf"))
 
 
+def _total_bin(total: Column) -> Column:
+    """Bin that never decreases with a count: every small count its own, about 1 % wide beyond."""
+    wide = EXACT_BINS + F.floor((F.log2(total) - math.log2(EXACT_BINS)) * BINS_PER_OCTAVE)
+    return F.when(total < EXACT_BINS, total).otherwise(wide).cast("bigint")
+
+
 def vocabulary(counts: DataFrame, min_df: int = 1, limit: int | None = None) -> DataFrame:
     """Terms in at least ``min_df`` documents; with a ``limit`` the most frequent ones, ties in term order.
 
     A limit is a parameter of a classifier's features. Retrieval has none:
-    every term can find documents.
+    every term can find documents. The limit is found in a histogram of the
+    written totals (some thousand bins, whatever the number of terms): bins
+    above it are kept whole, and only the bin it falls into is ranked.
     """
     totals = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
-    return totals if limit is None else totals.orderBy(F.desc("total"), F.asc("term")).limit(limit)
+    if limit is None:
+        return totals
+    totals = materialize(totals, "term_totals")
+    at = _total_bin(F.col("total"))
+    above = 0
+    for last, n in sorted(totals.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        if above + n > limit:
+            tied = F.struct(-F.col("total"), F.substring("term", 1, 3))
+            edge = ranked(totals.filter(at == last), [], tied, [F.desc("total"), F.asc("term")], "_rank")
+            return totals.filter(at > last).unionByName(edge.filter(F.col("_rank") <= limit - above).drop("_rank"))
+        above += n
+    return totals
 
 
 def term_weights(vocab: DataFrame, documents: Column) -> DataFrame:

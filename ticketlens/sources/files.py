@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ticketlens.session import materialize
+
 # Column names reserved for row metadata.
 RESERVED = ("_record_id", "_sheet", "_source_row")
 SPLITS = ("train", "validation", "test")
+#: Buckets of rows in the digest of a table.
+DIGEST_BUCKETS = 4096
 
 
 def check_headers(names: Sequence[str | None], blank: str = "name", required: Sequence[str] = (),
@@ -125,11 +129,41 @@ def flag_histogram(rows: DataFrame, flags: str = "quality_flags") -> DataFrame:
     return rows.select(F.explode(flags).alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
 
 
-def import_checks(source: DataFrame, stored: DataFrame) -> DataFrame:
-    """Row counts and rows whose source columns differ between a table and its stored form."""
+def multiset_digest(rows: DataFrame, buckets: int = DIGEST_BUCKETS) -> DataFrame:
+    """(bucket, n, d0 to d3): number and sums of the row digests of each bucket; equal multisets of rows have equal ones.
+
+    Sums do not depend on the order of rows and count copies. The two 64-bit
+    digests of a row are added in halves, which cannot overflow. A null is
+    marked, so that it cannot change places with its neighbour unseen.
+    """
+    cells = [F.col(f"`{c}`") for c in rows.columns]
+    cells += [cell.isNull() for cell in cells]
+    hashed = rows.select(*[F.xxhash64(F.lit(seed), *cells).alias(f"_h{seed}") for seed in (1, 2)])
+    halves = [half for seed in (1, 2) for half in (F.col(f"_h{seed}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"_h{seed}", 32))]
+    return hashed.groupBy(F.pmod("_h1", F.lit(buckets)).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(half).alias(f"d{i}") for i, half in enumerate(halves)])
+
+
+def import_checks(source: DataFrame, stored: DataFrame, buckets: int = DIGEST_BUCKETS) -> DataFrame:
+    """Row counts and rows whose source columns differ between a table and its stored form.
+
+    Each table is read once for its digest, a few numbers per bucket. Only rows
+    of buckets that differ are compared in full; equal tables need no shuffle of
+    rows at all. The driver holds at most ``buckets`` numbers.
+    """
     kept = stored.select(*[F.col(f"`{c}`") for c in source.columns])
-    lost = source.exceptAll(kept).agg(F.count(F.lit(1)).alias("n"))
-    gained = kept.exceptAll(source).agg(F.count(F.lit(1)).alias("n"))
-    return source.agg(F.count(F.lit(1)).alias("rows_in")).select(
-        "rows_in", stored.agg(F.count(F.lit(1)).alias("n")).scalar().alias("rows_out"),
-        lost.scalar().alias("rows_lost"), gained.scalar().alias("rows_gained"))
+    digests = [materialize(multiset_digest(rows, buckets), "digest") for rows in (source, kept)]
+    facts = ["n", "d0", "d1", "d2", "d3"]
+    before, after = (d.select("bucket", F.struct(*facts).alias(name)) for d, name in zip(digests, ("before", "after")))
+    differing = [r.bucket for r in before.join(after, "bucket", "full").filter(~F.col("before").eqNullSafe(F.col("after"))).select("bucket").collect()]
+
+    def only_in(one: DataFrame, other: DataFrame) -> Column:
+        if not differing:
+            return F.lit(0).cast("bigint")
+        cells = [F.col(f"`{c}`") for c in one.columns]
+        bucket = F.pmod(F.xxhash64(F.lit(1), *cells, *[cell.isNull() for cell in cells]), F.lit(buckets))
+        return one.filter(bucket.isin(differing)).exceptAll(other.filter(bucket.isin(differing))).agg(F.count(F.lit(1)).alias("n")).scalar()
+
+    counts = [d.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")) for d in digests]
+    return counts[0].select(F.col("n").alias("rows_in"), counts[1].scalar().alias("rows_out"),
+                            only_in(source, kept).alias("rows_lost"), only_in(kept, source).alias("rows_gained"))
