@@ -7,8 +7,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticketlens.functions.fragments import mixed  # noqa: F401
+from ticketlens.operators.scaling import perhaps_in  # noqa: F401
+
 LANES = 64
-_SLOTS = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,14 +46,6 @@ def window_hashes(hashes: np.ndarray, size: int, base: np.uint64 = _MIX) -> np.n
     return out
 
 
-def mixed(values: np.ndarray) -> np.ndarray:
-    """Finaliser that spreads every input bit over all output bits."""
-    with np.errstate(over="ignore"):
-        x = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def attach(rows: DataFrame, facts: DataFrame, key: str, spread: Column, lanes: int = LANES) -> DataFrame:
     """``rows`` left-joined with ``facts`` (one row per key), however many rows share a key.
 
@@ -61,19 +55,3 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, spread: Column, lanes: i
     laned = rows.withColumn("_lane", F.pmod(F.xxhash64(spread), F.lit(lanes)))
     sent = laned.select(key, "_lane").distinct().join(facts, key)
     return laned.join(sent, [key, "_lane"], "left").drop("_lane")
-
-
-def perhaps_in(rows: DataFrame, digest: Column, wanted: DataFrame, wanted_digest: Column) -> DataFrame:
-    """``rows`` without most of those whose digest no row of ``wanted`` has; none that has a partner is left out.
-
-    A one-hash Bloom filter of 2 ** 18 slots of 64 bits. It is broadcast: its
-    size of at most 2 ** 18 rows of two numbers does not grow with the data.
-    A filter that fills up lets more rows pass and changes nothing else.
-    """
-    def slot(value: Column) -> Column:
-        return F.pmod(F.shiftright(value, 6), F.lit(_SLOTS))
-
-    bits = wanted.select(slot(wanted_digest).alias("_slot"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(wanted_digest, F.lit(64)).cast("int")).alias("_bit")
-                         ).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
-    return rows.withColumn("_slot", slot(digest)).join(F.broadcast(bits), "_slot").filter(
-        F.getbit("_bits", F.pmod(digest, F.lit(64)).cast("int")) == 1).drop("_slot", "_bits")
