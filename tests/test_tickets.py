@@ -151,3 +151,17 @@ def test_rank_and_hot_key_join(spark):
     assert joined.count() == 500 and joined.filter("k = 'hot' AND n = 300").count() == 300 and joined.filter("n IS NULL").count() == 0
     placed = ranked(rows, ["k"], F.floor(F.col("id") / 7), [F.col("id")], "r", "total")
     assert placed.filter("k = 'hot' AND (r <> id + 1 OR total <> 300)").count() == 0
+
+
+def test_named_ticket_columns_are_derived_alone(spark, tmp_path):
+    import shutil
+
+    from ticketlens.plans import views
+    folder = str(tmp_path / "tables")
+    shutil.copytree("/root/testdata/sf0.001", folder)
+    named = views.tickets(spark, folder, "position", "resolved_line", "category_grouped")
+    assert not any(views._known(spark, folder, name) for name in ("raw_tickets", "tickets"))
+    whole = views.tickets(spark, folder)
+    assert sorted(map(tuple, named.collect()), key=str) == sorted(
+        map(tuple, whole.select("position", "resolved_line", "category_grouped").collect()), key=str)
+    assert views.tickets(spark, folder, "service").columns == ["service"] and not views._known(spark, folder, "tickets-service")

@@ -44,7 +44,8 @@ _SPLIT_SQL = "CASE WHEN position % 10 < 7 THEN 'train' WHEN position % 10 < 8 TH
 
 
 def _prepared_tickets(spark: SparkSession, folder: str) -> DataFrame:
-    return tickets(spark, folder).select(
+    rows = tickets(spark, folder, "ticket_id", "position", "resolved_line", "priority", "service", "lines_count")
+    return rows.select(
         "ticket_id", "position", F.expr(_SPLIT_SQL).alias("split"), F.coalesce("resolved_line", F.lit("")).alias("line"),
         F.array_compact(F.array(F.when(F.col("priority").isNull(), "no_priority"), F.when(F.col("service") == "---)", "unknown_service"),
                                 F.when(F.col("lines_count") > 3, "many_lines"))).alias("quality_flags"))
@@ -350,7 +351,7 @@ def _batch_quality(spark: SparkSession, folder: str) -> DataFrame:
       UNION ALL SELECT 'priority', count(*) - count(priority) FROM tickets
       UNION ALL SELECT 'is_overdue', count(*) - count(is_overdue) FROM tickets) WHERE missing > 0"""))
 def _missing_cells(spark: SparkSession, folder: str) -> DataFrame:
-    return qu.missing_cells(tickets(spark, folder).select("fact_sla_h", "resolved_line", "reg_dt", "priority", "is_overdue", "service"))
+    return qu.missing_cells(tickets(spark, folder, "fact_sla_h", "resolved_line", "reg_dt", "priority", "is_overdue", "service"))
 
 
 _OLD = """SELECT o_orderkey AS id, concat(o_orderpriority, CASE WHEN o_orderkey % 3 = 0 THEN '  x' ELSE ' x' END) AS text,
