@@ -178,3 +178,12 @@ def test_equal_tables_are_not_compared_in_full(spark, monkeypatch):
     rows = spark.range(100).withColumn("t", F.col("id").cast("string"))
     monkeypatch.setattr(type(rows), "exceptAll", lambda *_: pytest.fail("full comparison"))
     assert tuple(files.import_checks(rows, rows).first()) == (100, 100, 0, 0)
+
+
+def test_csv_files_grow_in_number_with_the_table(spark, monkeypatch):
+    from ticketlens.plans import data_queries
+    parts, write = [], data_queries.files.write_csv
+    monkeypatch.setattr(data_queries.files, "write_csv", lambda rows, path: (parts.append(rows.rdd.getNumPartitions()), write(rows, path)))
+    got = data_queries._csv_positions(spark, "/root/testdata/sf0.001").first()
+    assert (got.low, got.high, got.positions) == (2, got.n + 1, got.n)
+    assert parts[0] >= spark.sparkContext.defaultParallelism > 3
