@@ -187,3 +187,15 @@ def test_csv_files_grow_in_number_with_the_table(spark, monkeypatch):
     got = data_queries._csv_positions(spark, "/root/testdata/sf0.001").first()
     assert (got.low, got.high, got.positions) == (2, got.n + 1, got.n)
     assert parts[0] >= spark.sparkContext.defaultParallelism > 3
+
+
+def test_column_profile_sorts_no_cells(spark):
+    import datetime as dt
+
+    from ticketlens.operators import quality as qu
+    rows = spark.createDataFrame([(1, "=a", dt.date(2020, 1, 2)), (2, " ", None), (2, None, dt.date(2019, 3, 4))], "k int, t string, d date")
+    got = qu.column_profile(rows)
+    assert "SortAggregate(key=[column" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["column"]: (r.missing, r.distinct, r.formula_cells, r.date_min, r.date_max) for r in got.collect()} == {
+        "k": (0, 2, 0, None, None), "t": (2, 1, 1, None, None), "d": (1, 2, 0, "2019-03-04 00:00:00", "2020-01-02 00:00:00")}
+    assert qu.column_profile(rows.limit(0)).count() == 0

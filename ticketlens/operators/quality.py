@@ -24,7 +24,8 @@ def column_profile(rows: DataFrame, columns: Sequence[str] | None = None) -> Dat
     """Missing, distinct, type, formula-like cells and date range of each column.
 
     Cells are unpivoted once; counting per (column, value) first keeps the
-    distinct count spread out over the values.
+    distinct count spread out over the values. Counts alone are kept in hash tables; least and largest dates, which
+    are texts and would have all cells sorted, come from an aggregate of their own over the date columns.
     """
     chosen = [f for f in rows.schema if columns is None or f.name in columns]
 
@@ -32,22 +33,26 @@ def column_profile(rows: DataFrame, columns: Sequence[str] | None = None) -> Dat
         value = _name(field.name)
         text = value.cast("string")
         is_text = isinstance(field.dataType, T.StringType)
-        is_date = isinstance(field.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
         return F.struct(
             F.lit(field.name).alias("column"), F.lit(field.dataType.simpleString()).alias("type"),
             (blank_to_null(value) if is_text else text).alias("present"), text.alias("value"),
-            F.lit(is_text).alias("is_text"),
-            (F.date_format(value, "yyyy-MM-dd HH:mm:ss") if is_date else F.lit(None).cast("string")).alias("date"))
+            F.lit(is_text).alias("is_text"))
+
+    def span(field: T.StructField) -> Column:
+        is_date = isinstance(field.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+        date = F.date_format(_name(field.name), "yyyy-MM-dd HH:mm:ss") if is_date else F.lit(None).cast("string")
+        return F.struct(F.lit(field.name).alias("column"), F.min(date).alias("date_min"), F.max(date).alias("date_max"))
 
+    spans = rows.agg(F.array(*[span(f) for f in chosen]).alias("_s")).select(F.explode("_s").alias("_s")).select("_s.*")
     cells = rows.select(F.explode(F.array(*[cell(f) for f in chosen])).alias("_c")).select("_c.*")
     by_value = cells.groupBy("column", "type", "value", "is_text").agg(
-        F.count(F.lit(1)).alias("n"), F.count("present").alias("present"), F.max("date").alias("date"))
+        F.count(F.lit(1)).alias("n"), F.count("present").alias("present"))
     here = F.col("present") > 0
-    return by_value.groupBy("column", "type").agg(
+    counts = by_value.groupBy("column", "type").agg(
         F.sum(F.col("n") - F.col("present")).alias("missing"), F.sum(here.cast("bigint")).alias("distinct"),
         F.sum("present").alias("present"),
-        F.coalesce(F.sum(F.when(F.col("is_text") & here & F.col("value").startswith("="), F.col("n"))), F.lit(0)).alias("formula_cells"),
-        F.min("date").alias("date_min"), F.max("date").alias("date_max"))
+        F.coalesce(F.sum(F.when(F.col("is_text") & here & F.col("value").startswith("="), F.col("n"))), F.lit(0)).alias("formula_cells"))
+    return counts.join(F.broadcast(spans), "column").select(*counts.columns, "date_min", "date_max")
 
 
 def categories_outside(rows: DataFrame, column: str, limit: int = en.TOP_CATEGORIES) -> DataFrame:
