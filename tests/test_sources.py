@@ -147,6 +147,16 @@ def test_line_model_learns_abstains_and_explains(spark):
     assert terms.count() > 0 and terms.filter("contribution <= 0 OR place > 5").count() == 0
 
 
+def test_evidence_takes_positive_coefficients_of_the_label_of_each_posting(spark):
+    postings = spark.createDataFrame([(1, "word", "a", 0.5), (1, "word", "b", 0.9), (2, "word", "a", 0.4)], "doc int, space string, term string, weight double")
+    answers = spark.createDataFrame([(1, "x"), (2, "y")], "doc int, label string")
+    coefficients = spark.createDataFrame([("x", "word", "a", 1.0), ("x", "word", "b", -1.0), ("y", "word", "a", 0.0)],
+                                         "label string, space string, term string, coefficient double")
+    apart = ml.evidence(postings, answers, coefficients).select("doc", "place", "term", "contribution").collect()
+    beside = ml.evidence(postings.join(answers, "doc"), None, coefficients).select("doc", "place", "term", "contribution").collect()
+    assert apart == beside == [(1, 1, "a", 0.5)]
+
+
 def test_category_model_is_calibrated(spark):
     rows = corpus(spark, 30)
     train, held = rows.filter("id % 3 <> 0"), rows.filter("id % 3 = 0")

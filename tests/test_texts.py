@@ -250,6 +250,26 @@ def test_pruned_search_of_random_words(spark):
         assert rows[0] == rows[1] and rows[0]
 
 
+@pytest.mark.parametrize("frequent", [0, 3, 1000])
+@pytest.mark.parametrize("min_df", [1, 2])
+def test_corpus_weights_do_not_depend_on_broadcast_terms(spark, monkeypatch, frequent, min_df):
+    docs = spark.createDataFrame([(i, f"pump valve pump {'gauge' if i % 2 else 'meter'} word{i % 5} single{i}") for i in range(12)]
+                                 + [(3, "pump again"), (None, "pump valve"), (50, None)], "id int, text string")
+    monkeypatch.setattr(ti, "BROADCAST_TERMS", frequent)
+    postings, weights = ti.fit_index(docs, "id", "text", min_df=min_df)
+    plain = ti.tfidf(ti.term_counts(docs, "id", "text"), weights)
+    rows = [sorted((r.doc is None, r.doc or 0, r.term, round(r.weight, 9)) for r in x.collect()) for x in (postings, plain)]
+    assert rows[0] == rows[1] and rows[0]
+
+
+def test_postings_of_a_corpus_are_shuffled_once_as_texts(spark):
+    """Postings of frequent terms stay with their document: no exchange stands between the terms and the scaling of a document."""
+    docs = spark.createDataFrame([(i, "pump valve gauge meter") for i in range(20)], "id int, text string")
+    postings, _ = ti.fit_index(docs, "id", "text")
+    plan = postings._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[plan.index("Window"):plan.index("Union")]
+
+
 @pytest.mark.parametrize("limit", [1, 7, 50, 399, 400, 1000])
 def test_limited_vocabulary_equals_a_sorted_one(spark, limit):
     # Many ties among small totals, and large totals that share a bin.
