@@ -250,6 +250,42 @@ def test_pruned_search_of_random_words(spark):
         assert rows[0] == rows[1] and rows[0]
 
 
+def test_blocks_of_documents_give_the_hits_of_all_pairs(spark, monkeypatch):
+    """Same hits from one block and from many, with repeated and null groups, ids without a group and null ids."""
+    import random
+
+    from ticketlens.operators import scoreblocks as sb
+    maker = random.Random(6)
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(maker.choices(words, [1 / (n + 1) for n in range(30)], k=maker.randrange(1, 12)))) for i in range(150)]
+                                 + [(1000 + i, "w0 w1") for i in range(20)] + [(None, "w0 w2"), (2000, ""), (2001, None)], "id int, text string")
+    groups = docs.select(F.col("id").alias("doc"), F.when(F.col("id") % 40 > 0, F.concat(F.lit("g"), F.col("id") % 40)).alias("group")).filter("doc <> 7")
+    groups = groups.unionByName(spark.createDataFrame([(3, "g9"), (3, "g3"), (11, None)], "doc int, group string"))
+    postings, weights = ti.fit_index(docs, "id", "text")
+    asked = ti.known_terms(docs, "id", "text", weights)
+    own = groups.withColumnRenamed("doc", "query")
+    for limit, floor, size in ((3, 0.1, 4096), (3, 0.1, 40), (50, 0.0, 40)):
+        monkeypatch.setattr(sb, "BLOCK_ROWS", size)
+        plain = ti.similar_elsewhere(asked, postings, own, groups, limit, floor)
+        blocks = ti.similar_elsewhere(asked, postings, own, groups, limit, floor, blocks=True)
+        found = [sorted((r["query"], r["doc"], r["rank"], round(r["score"], 6)) for r in x.collect()) for x in (plain, blocks)]
+        assert found[0] == found[1] and found[0]
+
+
+@pytest.mark.parametrize("cells", [0, 8, 10 ** 9])
+def test_dense_and_sparse_products_are_the_same(monkeypatch, cells):
+    import numpy as np
+
+    from ticketlens.operators import scoreblocks as sb
+    maker = np.random.default_rng(4)
+    monkeypatch.setattr(sb, "DENSE_CELLS", cells)
+    monkeypatch.setattr(sb, "DENSE_TERMS", 3)
+    monkeypatch.setattr(sb, "SLAB_PRODUCTS", 7)
+    sides = [np.where(maker.random((n, 20)) < np.linspace(0, 1, 20), maker.random((n, 20)), 0.0) for n in (6, 9)]
+    by_term = [sb._by_term(*np.nonzero(x), x[np.nonzero(x)], 20) for x in sides]
+    assert np.allclose(sb._products(20, *by_term, 6, 9), sides[0] @ sides[1].T)
+
+
 @pytest.mark.parametrize("frequent", [0, 3, 1000])
 @pytest.mark.parametrize("min_df", [1, 2])
 def test_corpus_weights_do_not_depend_on_broadcast_terms(spark, monkeypatch, frequent, min_df):
