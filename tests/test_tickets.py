@@ -165,3 +165,20 @@ def test_named_ticket_columns_are_derived_alone(spark, tmp_path):
     assert sorted(map(tuple, named.collect()), key=str) == sorted(
         map(tuple, whole.select("position", "resolved_line", "category_grouped").collect()), key=str)
     assert views.tickets(spark, folder, "service").columns == ["service"] and not views._known(spark, folder, "tickets-service")
+
+
+def test_named_columns_of_both_dialects_are_those_of_the_whole_table(spark, tmp_path):
+    import shutil
+
+    from ticketlens.plans import views
+    from ticketlens.plans.ticket_queries import QUERY_COLUMNS
+    folder = str(tmp_path / "tables")
+    shutil.copytree("/root/testdata/sf0.001", folder)
+    raw = views._derived(spark, folder).limit(400).localCheckpoint()
+    chosen = [*QUERY_COLUMNS.values(), ("fact_sla_source",), ("total_work_h", "fact_sla_h", "is_high_clarifications")]
+    for enrich, more in ((en.enrich_tickets_batch, ("has_datetime_anomaly", "clarification_h", "lines_count_changed")), (en.enrich_tickets, ("position", "reg_dt"))):
+        whole = enrich(raw).localCheckpoint()
+        for columns in (*chosen, more):
+            assert sorted(map(str, enrich(raw, columns=columns).collect())) == sorted(map(str, whole.select(*columns).collect()))
+    rows = views.batch_tickets(spark, folder, *QUERY_COLUMNS["feature_partition"])
+    assert rows.columns == ["service", "fact_sla_h"] and not any(views._known(spark, folder, name) for name in ("raw_tickets", "batch_tickets"))
