@@ -182,3 +182,18 @@ def test_named_columns_of_both_dialects_are_those_of_the_whole_table(spark, tmp_
             assert sorted(map(str, enrich(raw, columns=columns).collect())) == sorted(map(str, whole.select(*columns).collect()))
     rows = views.batch_tickets(spark, folder, *QUERY_COLUMNS["feature_partition"])
     assert rows.columns == ["service", "fact_sla_h"] and not any(views._known(spark, folder, name) for name in ("raw_tickets", "batch_tickets"))
+
+
+def test_table_audit_writes_no_raw_table_and_blank_is_what_strips_to_nothing(spark, tmp_path):
+    import shutil
+
+    from ticketlens.functions import text as tx
+    from ticketlens.plans import load_queries, views
+    folder = str(tmp_path / "tables")
+    shutil.copytree("/root/testdata/sf0.001", folder)
+    amounts = {(r.section, r["item"]): r.amount for r in load_queries()["table_audit"].run(spark, folder).collect()}
+    assert not views._known(spark, folder, "raw_tickets")
+    rows = views.raw_tickets(spark, folder)
+    assert amounts["rows", ""] == rows.count() == sum(n for (section, _), n in amounts.items() if section == "sla_flag")
+    texts = spark.createDataFrame([(x,) for x in (None, "", " ", "\n", " 　\x1c", "a", " a\n", "\n\na", "\U0001f600")], "x string")
+    assert all(r.a == r.b for r in texts.select(tx.is_blank("x").alias("a"), tx.blank_to_null("x").isNull().alias("b")).collect())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketlens.functions import values as v
-from ticketlens.functions.text import blank_to_null, normalize_casefold, normalize_text
+from ticketlens.functions.text import blank_to_null, is_blank, normalize_casefold, normalize_text
 from ticketlens.operators import enrich as en
 from ticketlens.operators.scaling import attach_by_key
 from ticketlens.session import materialize
@@ -121,20 +121,20 @@ AUDIT_REQUIRED = (en.TICKET, en.DESCRIPTION, en.CATEGORY, en.SOLVED_BY, en.REGIS
                   en.NORM_SLA, en.FACT_SLA)
 
 
-def audited(raw: DataFrame, position: str) -> DataFrame:
-    """Strictly parsed dates and durations next to the position, flag and category of each row."""
+def audited(raw: DataFrame, position: str, *more: Column) -> DataFrame:
+    """Strictly parsed dates and durations next to the position and flag of each row, and to the columns ``more``."""
     missing = sorted(set(AUDIT_REQUIRED) - set(raw.columns))
     if missing:
         raise ValueError(f"missing columns: {missing}")
     dates = {c: layout for c, layout in _AUDIT_DATES.items() if c in raw.columns}
-    invalid = [F.when(blank_to_null(_name(c)).isNotNull() & v.audit_datetime(_name(c), layout).isNull(), c)
+    invalid = [F.when(~is_blank(_name(c)) & v.audit_datetime(_name(c), layout).isNull(), c)
                for c, layout in dates.items()]
     invalid += [F.when(v.strict_duration_invalid(_name(c)), c) for c in (en.NORM_SLA, en.FACT_SLA)]
     return raw.select(
         F.col(position), v.audit_datetime(_name(en.REGISTERED), v.AUDIT_LONG).alias("start"),
         v.audit_datetime(_name(en.FINISHED), v.AUDIT_SHORT).alias("finish"),
         v.strict_duration_seconds(_name(en.NORM_SLA)).alias("norm_s"), v.strict_duration_seconds(_name(en.FACT_SLA)).alias("actual_s"),
-        _name(en.OVERDUE).alias("flag"), F.array_compact(F.array(*invalid)).alias("invalid"))
+        _name(en.OVERDUE).alias("flag"), F.array_compact(F.array(*invalid)).alias("invalid"), *more)
 
 
 def invalid_values(raw: DataFrame, position: str) -> DataFrame:
@@ -154,36 +154,55 @@ def sla_disagreements(raw: DataFrame, position: str) -> DataFrame:
         & ((F.col("actual_s") > F.col("norm_s")) != late)).select(position)
 
 
-def missing_per_field(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    counts = rows.agg(*[F.sum(blank_to_null(_name(c)).isNull().cast("bigint")).alias(str(i)) for i, c in enumerate(columns)])
-    return counts.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("field"), F.col(str(i)).alias("missing")) for i, c in enumerate(columns)])).alias("_m")).select("_m.*")
-
-
 def table_audit(raw: DataFrame, position: str) -> DataFrame:
-    """All audit numbers as (section, item, amount): counts, histograms, gaps, ranges and contradictions."""
-    parsed = materialize(audited(raw, position), "audited")
-
-    def tally(section: str, column: str) -> DataFrame:
-        return raw.groupBy(_name(column).alias("item")).agg(F.count(F.lit(1)).alias("amount")).select(
-            F.lit(section).alias("section"), "item", "amount")
-
-    def one(section: str, rows: DataFrame) -> DataFrame:
-        return rows.agg(F.count(F.lit(1)).alias("amount")).select(F.lit(section).alias("section"), F.lit("").alias("item"), "amount")
+    """All audit numbers as (section, item, amount): counts, histograms, gaps, ranges and contradictions.
 
+    One pass counts everything per solving line, flag and category; the
+    sections are totals of these few rows. Only distinct ids need another pass.
+    """
     columns = [c for c in raw.columns if c != position]
+    dates = [*[c for c in _AUDIT_DATES if c in raw.columns], en.NORM_SLA, en.FACT_SLA]
     late = F.col("flag") == v.OVERDUE_LABEL
     checked = (F.col("norm_s").isNotNull() & F.col("actual_s").isNotNull()
                & F.col("flag").isin(v.OVERDUE_LABEL, v.NOT_OVERDUE_LABEL))
+    counted = {"rows": F.lit(True), "negative_intervals": F.col("finish") < F.col("start"),
+               "sla_disagreements": checked & ((F.col("actual_s") > F.col("norm_s")) != late)}
+    counted |= {f"invalid {c}": F.array_contains("invalid", c) for c in dates}
+    counted |= {f"missing {i}": F.col(f"_blank{i}") for i in range(len(columns))}
+    read = audited(raw, position, _name(en.SOLVED_BY).alias("line"), _name(en.CATEGORY).alias("category"),
+                   *[is_blank(_name(c)).alias(f"_blank{i}") for i, c in enumerate(columns)])
+    cells = materialize(read.groupBy("line", "flag", "category").agg(
+        *[F.count_if(test).alias(str(i)) for i, test in enumerate(counted.values())]), "audited").withColumnsRenamed(
+            {str(i): name for i, name in enumerate(counted)})
+
+    def section(name: str, item: Column, amount: Column, rows: DataFrame) -> DataFrame:
+        return rows.select(F.lit(name).alias("section"), item.alias("item"), amount.alias("amount"))
+
+    def one(name: str, rows: DataFrame) -> DataFrame:
+        return section(name, F.lit(""), F.col("amount"), rows)
+
+    def total(name: str) -> DataFrame:
+        return one(name, cells.agg(F.coalesce(F.sum(name), F.lit(0)).alias("amount")))
+
+    def number(rows: DataFrame) -> DataFrame:
+        return rows.distinct().agg(F.count(F.lit(1)).alias("amount"))
+
+    def tally(name: str, column: str) -> DataFrame:
+        return section(name, F.col(column), F.col("amount"), cells.groupBy(column).agg(F.sum("rows").alias("amount")))
+
+    def listed(name: str, items: dict[str, str]) -> DataFrame:
+        """Totals of many counts, one row each."""
+        sums = cells.agg(*[F.sum(_name(c)).alias(str(i)) for i, c in enumerate(items.values())])
+        rows = sums.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("item"), F.col(str(i)).alias("amount")) for i, c in enumerate(items)])).alias("_m")).select("_m.*")
+        return section(name, F.col("item"), F.col("amount"), rows)
+
     parts = [
-        one("rows", raw), one("unique_ids", raw.select(_name(en.TICKET)).distinct()),
-        one("categories", raw.select(_name(en.CATEGORY)).distinct()),
-        tally("solving_line", en.SOLVED_BY), tally("sla_flag", en.OVERDUE),
-        missing_per_field(raw, columns).select(F.lit("missing").alias("section"), F.col("field").alias("item"), F.col("missing").alias("amount")),
-        parsed.select(F.explode("invalid").alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("amount")).select(
-            F.lit("invalid").alias("section"), F.col("field").alias("item"), "amount"),
-        one("negative_intervals", parsed.filter("finish < start")),
-        one("sla_disagreements", parsed.filter(checked & ((F.col("actual_s") > F.col("norm_s")) != late))),
+        total("rows"), one("unique_ids", number(raw.select(_name(en.TICKET)))), one("categories", number(cells.select("category"))),
+        tally("solving_line", "line"), tally("sla_flag", "flag"),
+        listed("missing", {c: f"missing {i}" for i, c in enumerate(columns)}),
+        listed("invalid", {c: f"invalid {c}" for c in dates}).filter("amount > 0"),
+        total("negative_intervals"), total("sla_disagreements"),
     ]
     return reduce(DataFrame.unionByName, parts)
 

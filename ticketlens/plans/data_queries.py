@@ -11,7 +11,7 @@ from ticketlens.operators import enrich as en
 from ticketlens.operators import filters as fl
 from ticketlens.operators import quality as qu
 from ticketlens.plans.registry import query, sql_collapse, sql_fold
-from ticketlens.plans.views import HEADERS, batch_tickets, raw_tickets, tickets, with_raw, with_tickets
+from ticketlens.plans.views import HEADERS, batch_tickets, raw_plan, raw_tickets, tickets, with_raw, with_tickets
 from ticketlens.session import scratch_path
 from ticketlens.sources import files, ingest
 from ticketlens.sources.tables import table
@@ -323,7 +323,7 @@ _SQL_MISSING = " UNION ALL ".join(
     UNION ALL SELECT 'negative_intervals', '', count(*) FROM tickets WHERE {_LONG} AND fact_dt < reg_dt
     UNION ALL SELECT 'sla_disagreements', '', count(*) FROM ({_SQL_DISAGREE})"""))
 def _table_audit(spark: SparkSession, folder: str) -> DataFrame:
-    return qu.table_audit(raw_tickets(spark, folder), "position")
+    return qu.table_audit(raw_plan(spark, folder), "position")
 
 
 @query("date_ranges", with_tickets(f"""
