@@ -25,6 +25,14 @@ def test_near_pairs_ignore_case_order_and_blanks(spark):
     assert nb.similar_sets(prepared.sets).count() == 0
 
 
+def test_copies_of_texts_alone_are_those_of_the_token_sets(spark):
+    texts = [(5, "The pump leaks"), (3, "leaks  the PUMP"), (3, "pump the leaks the"), (9, "leaks the pump"), (None, "the pump leaks"),
+             (4, ""), (6, None), (7, " ... "), (8, "Straße"), (2, "STRASSE"), (1, "a new filter")]
+    rows = spark.createDataFrame(texts, "id int, text string")
+    found = [sorted((r.rep, r.id) for r in x.collect()) for x in (nb.copies_of(nb.token_sets(rows, "id", "text")), nb.text_copies(rows, "id", "text"))]
+    assert found[0] == found[1] == [(2, 8), (3, 5), (3, 9)]
+
+
 def test_threshold_boundary(spark):
     assert pairs_of(spark, ["a b c d", "a b c d e"], 0.8) == [(0, 1, 0.8)]
     assert pairs_of(spark, ["a b c d", "a b c d e"], 0.81) == []

@@ -35,12 +35,16 @@ class TokenSets:
     sets: DataFrame
 
 
-def token_sets(texts: DataFrame, id_column: str, text: str) -> TokenSets:
-    """Collapse rows with equal token sets, so that copies never meet each other in a join."""
+def _keyed(texts: DataFrame, id_column: str, text: str) -> DataFrame:
+    """(id, normal, _tokens, set_key): each text with the key of its token set, null without tokens."""
     normal = texts.select(F.col(id_column).alias("id"), normalize_casefold(F.col(text)).alias("normal"))
     tokens = normal.withColumn("_tokens", F.array_join(token_set("normal"), " "))
-    keyed = tokens.withColumn("set_key", F.when(F.col("_tokens") != "", F.sha2("_tokens", 256)))
-    rows = materialize(keyed.select("id", "normal", "set_key", "_tokens"), "token_rows")
+    return tokens.withColumn("set_key", F.when(F.col("_tokens") != "", F.sha2("_tokens", 256)))
+
+
+def token_sets(texts: DataFrame, id_column: str, text: str) -> TokenSets:
+    """Collapse rows with equal token sets, so that copies never meet each other in a join."""
+    rows = materialize(_keyed(texts, id_column, text).select("id", "normal", "set_key", "_tokens"), "token_rows")
     sets = (
         rows.filter(F.col("set_key").isNotNull()).groupBy("set_key")
         .agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("_tokens").alias("_tokens"))
@@ -220,7 +224,18 @@ def spanning_links(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def copies_of(prepared: TokenSets) -> DataFrame:
     """Every row that repeats the token set of an earlier row, next to that row."""
     facts = prepared.sets.filter("copies > 1").select("set_key", "rep", "copies")
-    rows = prepared.rows.filter(F.col("set_key").isNotNull()).select("id", "set_key")
+    return _beside(prepared.rows.filter(F.col("set_key").isNotNull()).select("id", "set_key"), facts)
+
+
+def text_copies(texts: DataFrame, id_column: str, text: str) -> DataFrame:
+    """:func:`copies_of` where nothing else is asked for: keys alone are written and grouped, neither texts nor tokens."""
+    # The filter stays behind the written keys, else it would be pushed below and cut every text again.
+    rows = materialize(_keyed(texts, id_column, text).select("id", "set_key"), "set_keys").filter(F.col("set_key").isNotNull())
+    facts = rows.groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    return _beside(rows, facts)
+
+
+def _beside(rows: DataFrame, facts: DataFrame) -> DataFrame:
     return attach_by_key(rows, facts, "set_key", ["id"]).filter("id <> rep").select(F.col("rep").alias("rep"), "id")
 
 
