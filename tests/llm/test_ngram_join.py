@@ -116,3 +116,19 @@ def test_bitmaps_bound_the_difference():
             bits[wide] = bits[wide][:half] ^ bits[wide][half:]
         assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(np.setxor1d(one, two))
     assert N._bitmap(np.arange(20_000, dtype=np.uint64)) is None
+
+
+def test_members_of_a_large_group_do_not_all_hand_on_one_outsider(spark):
+    bits = [int(b) for b in N._bitmap(N.shingles(prose(5, 60)), N.SPREAD).view(np.int64)]
+    rows = [(1, -1, 0, uid, 57, min(uid, 300), bits, None) for uid in range(302)]
+    frame = spark.createDataFrame([(t, b, p, u, n, 0 if u < 300 else u, x, y) for t, b, p, u, n, _, x, y in rows],
+                                  "token long, block long, part long, uid long, n long, component long, bits array<long>, tried array<long>")
+    got = N._partners(frame.coalesce(1), 85, 1).collect()
+    assert [(r.uid, r.other) for r in got] == [(300, 0), (301, 0)]
+
+
+def test_bound_of_a_pair_is_close():
+    maker = np.random.default_rng(4)
+    one = np.unique(maker.integers(0, 2 ** 63, 400).astype(np.uint64))
+    two = np.unique(np.r_[one[44:], maker.integers(0, 2 ** 63, 44).astype(np.uint64)])
+    assert np.bitwise_count(N._bitmap(one, N.SPREAD) ^ N._bitmap(two, N.SPREAD)).sum() >= 84

@@ -9,6 +9,7 @@ from ticketlens.operators import quality as qu
 from ticketlens.operators import splits as sp
 from ticketlens.operators import termindex as ti
 from ticketlens.plans.views import table
+from ticketlens.session import materialize
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -335,3 +336,21 @@ def test_frequent_words_make_no_fragment_of_unrelated_texts(spark):
     met = shared.alias("a").join(shared.alias("b"), F.expr("a.token = b.token AND a.rep < b.rep")).select("a.rep", "b.rep").distinct().count()
     assert met < 400 * 10
     assert {(r.rep_a, r.rep_b) for r in nb.similar_sets(sets).collect()} == set(itertools.combinations([0, 400, 401, 402], 2))
+
+
+def test_components_of_large_graphs_are_those_of_small_ones(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (9, 3), (5, 6), (7, 6), (7, 7), (None, 4), (20, 21), (21, 5)], "a int, b int")
+    small = sorted(map(tuple, nb.connected_components(edges, "a", "b").collect()))
+    monkeypatch.setattr(nb, "SMALL_EDGES", 0)
+    assert small == sorted(map(tuple, nb.connected_components(edges, "a", "b").collect()))
+    assert dict(small) == {1: 1, 2: 1, 3: 1, 9: 1, 5: 5, 6: 5, 7: 5, 20: 5, 21: 5}
+
+
+def test_materialize_leaves_no_shuffle_files(spark):
+    def left():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.length()))
+
+    before = left()
+    frame = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert left() <= before and frame.count() == 7

@@ -54,14 +54,17 @@ def cells(tokens: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(found)
 
 
-def parity_bitmap(tokens: np.ndarray) -> np.ndarray | None:
+def parity_bitmap(tokens: np.ndarray, spread: int = 1) -> np.ndarray | None:
     """Parity bits of a set: bit h is set if an odd number of members are h modulo the width; none for sets too large for it.
 
+    There are ``spread`` (a power of two) to twice as many bits for each
+    member, MOST_BITS at most; the more, the closer the bound.
+
     Two bitmaps differ in at most as many bits as their sets differ in
     members. The width is a power of two, so that halves of a bitmap, put
     together by exclusive or, are the bitmap of half the width.
     """
-    width = min(MOST_BITS, max(64, 1 << (len(tokens) - 1).bit_length())) if len(tokens) else 64
+    width = min(MOST_BITS, max(64, spread << (len(tokens) - 1).bit_length())) if len(tokens) else 64
     if len(tokens) > MEMBERS_PER_BIT * width:
         return None
     odd = np.bincount((tokens % np.uint64(width)).astype(np.int64), minlength=width) & 1

@@ -26,8 +26,10 @@ FIRST_PLACES = 8
 HOME_PAIRS = 256
 #: Sets of one shingle that a block holds; a longer list is cut into parts, and each two parts meet in a block of their own.
 PART = 8_192
+#: Bits for each shingle in the bitmap of a set, so that the bound of a pair is close to its similarity.
+SPREAD = 8
 #: Pairs that a task compares at a time.
-RUN_PAIRS = 1 << 16
+RUN_PAIRS = 1 << 15
 #: Shingles that a task hands on at a time.
 BATCH_SHINGLES = 1_000_000
 
@@ -41,26 +43,43 @@ def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
 
 
 def _signatures(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """set_key, n, cells and bitmap of each text."""
+    """set_key, n and cells of each text."""
     kind = T.StructType([T.StructField("set_key", T.BinaryType()), T.StructField("n", T.IntegerType()),
-                         T.StructField("cells", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
+                         T.StructField("cells", T.ArrayType(T.LongType()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, places, bits = [], [], [], []
+            keys, sizes, places = [], [], []
             for text in batch.column(2):
                 tokens = shingles(text.as_py(), size)
                 keys.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
                 sizes.append(len(tokens))
                 places.append(cells(tokens, percent).view(np.int64))
-                bits.append(_bitmap(tokens))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()),
-                                   pa.array(places, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                                  names=["id", "text_hash", "set_key", "n", "cells", "bits"])
+                                   pa.array(places, pa.list_(pa.int64()))], names=["id", "text_hash", "set_key", "n", "cells"])
 
     return texts.mapInArrow(sign, T.StructType([texts.schema["id"], texts.schema["text_hash"], *kind.fields]))
 
 
+def _texts_of(where: DataFrame, texts: DataFrame) -> DataFrame:
+    """``where`` (id, text_hash, ...) with the texts that it names; a text repeated under one id comes as often."""
+    digest = F.xxhash64("id", "text_hash")
+    near = perhaps_in(texts, digest, where, digest)
+    return near.join(where, near["id"].eqNullSafe(where["id"]) & (near["text_hash"] == where["text_hash"])).drop("id", "text_hash")
+
+
+def _bitmaps(sets: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(uid, bits) of each set, from the text that stands for it."""
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [_bitmap(shingles(text.as_py(), size), SPREAD) for text in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array(bits, pa.list_(pa.int64()))], names=["uid", "bits"])
+
+    where = materialize(sets.select("uid", F.col("lead.id").alias("id"), F.col("lead.text_hash").alias("text_hash")), "ngram_wanted")
+    signed = _texts_of(where, texts).select("uid", "text").mapInArrow(sign, "uid long, bits array<long>")
+    return signed.groupBy("uid").agg(F.first("bits").alias("bits"))
+
+
 def _fits(n_a: Column, n_b: Column, percent: int) -> Column:
     """Whether sets of these sizes can be similar enough."""
     return (n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent)
@@ -72,11 +91,12 @@ def _similar(overlap: Column, n_a: Column, n_b: Column, percent: int) -> Column:
 
 
 def _partners(rows: DataFrame, percent: int, keep: int) -> DataFrame:
-    """(token, uid, other, n, n_other, bound): for every row its ``keep`` most promising partners of another component.
+    """(token, uid, other, n, n_other, bound): for every row its ``keep`` most promising partners of components before its own.
 
     ``rows`` (token, block, part, uid, n, component, bits, tried) meet inside
     each (token, block). A pair has to pass the length filter and the bound of
-    the bitmaps, and must not have been tried. Pairs stay inside the task; a row hands on ``keep`` of them.
+    the bitmaps, and must not have been tried. Pairs stay inside the task; a row hands on ``keep`` of them. Each pair belongs to
+    the row of the later component, so that the members of a large group do not all hand on the same few outsiders.
     """
     def first_of(row: np.ndarray, other: np.ndarray, score: np.ndarray, most: np.ndarray, uid: np.ndarray) -> tuple[np.ndarray, ...]:
         order = np.lexsort((uid[other], -score, row))
@@ -137,8 +157,8 @@ def _partners(rows: DataFrame, percent: int, keep: int) -> DataFrame:
             if len(done):
                 fits &= ~np.isin(np.minimum(dense[i], dense[j]) << 32 | np.maximum(dense[i], dense[j]), done)
             i, j, most = i[fits], j[fits], most[fits]
-            score = most / (size[i] + size[j] - most)
-            return first_of(np.r_[i, j], np.r_[j, i], np.r_[score, score], np.r_[most, most], uid)
+            later_one = component[i] > component[j]
+            return first_of(np.where(later_one, i, j), np.where(later_one, j, i), most / (size[i] + size[j] - most), most, uid)
 
         found, low = [], 0
         while low < len(token):
@@ -204,9 +224,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int, pe
         laned.select(F.col("a").alias("uid"), F.col("a").alias("home"), "lane").distinct())
     where = materialize(roles.join(sets.select("uid", "lead"), "uid").select(
         "uid", "home", "lane", F.col("lead.id").alias("id"), F.col("lead.text_hash").alias("text_hash")), "ngram_roles")
-    digest = F.xxhash64("id", "text_hash")
-    near = perhaps_in(texts, digest, where, digest)
-    chosen = near.join(where, near["id"].eqNullSafe(where["id"]) & (near["text_hash"] == where["text_hash"])).select("uid", "home", "lane", "text")
+    chosen = _texts_of(where, texts).select("uid", "home", "lane", "text")
     place = Window.partitionBy("home", "lane", "fragment").orderBy(F.col("uid") != F.col("home"))
     first = F.first(F.struct("uid", "tokens")).over(place)
     met = _fragments(chosen, size, fragments).select("home", "uid", "fragment", "tokens", first.alias("own"))
@@ -235,7 +253,7 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
        ties large groups together in one pair for each member.
     4. Then, in rounds, the sets of each fragment that different groups share
        meet inside a task, which hands on the most promising partners of each
-       in other groups: one at first, twice as many in each round, until no
+       in other groups: one at first, four times as many in each round, until no
        untried pair of different groups is left that could be similar. Bounds
        are those of length and of bitmaps, both exact. Pairs inside
        a group cannot change it.
@@ -255,11 +273,10 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("text_hash")))
     grouped = signed.filter("n > 0").groupBy("set_key").agg(
-        first.alias("lead"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("bits").alias("bits"))
-    cut = materialize(grouped.select("set_key", "lead", "n", "cells", "bits",
-                                          F.monotonically_increasing_id().alias("uid")), "ngram_cells")
-    sets = materialize(cut.select("uid", "set_key", "lead", "bits"), "ngram_sets")
+        first.alias("lead"), F.first("n").alias("n"), F.first("cells").alias("cells"))
+    cut = materialize(grouped.select("set_key", "lead", "n", "cells", F.monotonically_increasing_id().alias("uid")), "ngram_cells")
     discard(signed)
+    sets = materialize(cut.select("uid", "set_key", "lead"), "ngram_sets")
 
     places = cut.select("uid", F.col("n").cast("bigint").alias("n"), F.posexplode("cells").alias("place", "token"))
     often = materialize(places.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"), F.count(F.lit(1)).alias("sets")).filter(
@@ -267,18 +284,21 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     shared = materialize(perhaps_in(places, F.col("token"), often, F.col("token")).join(often, "token"), "ngram_shared")
     discard(cut)
 
-    item = F.struct("uid", "n", "bits")
-    early = shared.filter(F.col("place") < FIRST_PLACES).join(sets.select("uid", "bits"), "uid").withColumn(
-        "lane", F.pmod(F.xxhash64("uid"), F.col("parts")))
+    bitmaps = materialize(_bitmaps(sets.join(shared.select("uid").distinct(), "uid", "left_semi"), hashed, size), "ngram_bitmaps")
+
+    item = F.struct("uid", "n")
+    early = shared.filter(F.col("place") < FIRST_PLACES).withColumn("lane", F.pmod(F.xxhash64("uid"), F.col("parts")))
     together = Window.partitionBy("token", "lane").orderBy("uid")
     early = early.withColumns({"before": F.lag(item).over(together), "lead": F.first(item).over(together)})
     heads = early.filter("before is null and parts > 1")
     over = heads.groupBy("token").agg(F.min(item).alias("other"))
-    links = early.filter("before is not null").select("uid", "n", "bits", F.explode(F.array("before", "lead")).alias("other")).unionByName(
-        heads.join(over, "token").select("uid", "n", "bits", "other"))
-    most = F.floor((F.col("n") + F.col("other.n") - _different_bits(F.col("bits"), F.col("other.bits"))) / 2)
-    likely = links.filter((F.col("uid") != F.col("other.uid")) & _fits(F.col("n"), F.col("other.n"), percent)).select(
-        "uid", F.col("other.uid").alias("other"), "n", F.col("other.n").alias("n_other"), most.alias("most")).filter(
+    links = early.filter("before is not null").select("uid", "n", F.explode(F.array("before", "lead")).alias("other")).unionByName(
+        heads.join(over, "token").select("uid", "n", "other"))
+    met = links.filter((F.col("uid") != F.col("other.uid")) & _fits(F.col("n"), F.col("other.n"), percent)).select(
+        "uid", F.col("other.uid").alias("other"), "n", F.col("other.n").alias("n_other")).distinct()
+    signed_pairs = met.join(bitmaps, "uid").join(bitmaps.select(F.col("uid").alias("other"), F.col("bits").alias("bits_other")), "other")
+    most = F.floor((F.col("n") + F.col("n_other") - _different_bits(F.col("bits"), F.col("bits_other"))) / 2)
+    likely = signed_pairs.select("uid", "other", "n", "n_other", most.alias("most")).filter(
         _similar(F.col("most"), F.col("n"), F.col("n_other"), percent))
     best = likely.groupBy("uid").agg(F.max(F.struct((F.col("most") / (F.col("n") + F.col("n_other") - F.col("most"))).alias("bound"),
                                                     "other", "n", "n_other")).alias("best"))
@@ -303,7 +323,7 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     keep = 1
     while True:
         tried = asked.groupBy("uid").agg(F.collect_list("other").alias("tried"))
-        rows = grouped_by(left).join(sets.select("uid", "bits"), "uid").join(tried, "uid", "left").withColumn(
+        rows = grouped_by(left).join(bitmaps, "uid").join(tried, "uid", "left").withColumn(
             "part", F.pmod(F.xxhash64("uid"), F.col("parts")))
         # Blocks of a whole list or of one part are negative: all of their rows meet; in other blocks the rows of two parts do.
         with_part = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
@@ -319,7 +339,7 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         tied = materialize(connected_components(bridges, "a", "b"), "ngram_tied")
         asked = materialize(asked.unionByName(new), "ngram_asked")
         left = materialize(left.join(found.select("token").distinct(), "token", "left_semi"), "ngram_open")
-        keep *= 2
+        keep *= 4
 
     placed = sets.select("uid", "set_key", "lead").join(tied.withColumnRenamed("vertex", "uid"), "uid", "left").select(
         "set_key", "lead", F.coalesce("component", "uid").alias("component"))
