@@ -90,3 +90,27 @@ def test_shapes_take_linear_time():
     every = P.Marks(P.np.full(P._FILTER_BITS // 8, 255, P.np.uint8))
     for run in ("a" * 300_000, "a." * 150_000 + "!", ":" * 300_000 + "!", "1 " * 50_000, "x at " * 50_000, "@" * 300_000):
         P.occurrences(f"to {run}", every, every, every)
+
+
+def test_ordinary_words_of_a_hopeless_pattern_are_not_all_listed(spark, monkeypatch):
+    calls = [f"so call +1 555 010 {1000 + i} now" for i in range(8)] + [f"so call word{chr(97 + i % 26)}{chr(97 + i // 26)} now" for i in range(400)]
+    rows = [(i, "\n".join(calls[i::4])) for i in range(4)]
+    sizes, whole = [], P._graph
+
+    def seen(*parts):
+        graph = whole(*parts)
+        sizes.append(graph.count())
+        return graph
+
+    monkeypatch.setattr(P, "_graph", seen)
+    assert all(not r.discovered for r in P.extract(table(spark, rows)).collect()) and sizes == [0]
+
+
+def test_pattern_with_more_words_than_listed_is_read_in_full(spark, monkeypatch):
+    monkeypatch.setattr(P, "PLAIN_VALUES", 1)
+    rows = [(0, "\n".join([f"please call +1 555 010 {1000 + i} today" for i in range(60)] + [f"please call {w} today" for w in ("him", "her", "them", "us")]))]
+    rows += [(50, "please call ext-99887 today")]
+    got = {r.doc_id: r for r in P.extract(table(spark, rows)).collect()}
+    assert [(s.start, s.kind, s.end) for s in got[50].discovered] == [(12, 3, 21)]
+    rows[0] = (0, rows[0][1] + "".join(f"\nplease call {chr(97 + i)} today" for i in range(20)))
+    assert all(not r.discovered for r in P.extract(table(spark, rows)).collect())

@@ -41,6 +41,10 @@ _LETTER = re.compile(r"[^\W\d_]")
 _HOST = re.compile(r"[0-9A-Fa-fXx*.:]++")
 #: Bits of the filters that tell a scan which places to hand on: their size is fixed, and joins drop what passes by chance.
 _FILTER_BITS = 1 << 25
+#: Values without the shape of any kind that a task lists for a pattern before it only notes that there are more.
+PLAIN_VALUES = 16
+#: Edges that a task remembers, so as not to list them again.
+_MOST_KNOWN = 500_000
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -233,6 +237,63 @@ def _edges(texts: DataFrame, **filters: object) -> DataFrame:
         F.max("kind").alias("kind"), F.max("shapes").alias("shapes"))
 
 
+def _opened(texts: DataFrame, patterns: DataFrame, most_plain: int | None = None) -> DataFrame:
+    """(pattern, value, kind, shapes) of what stands in the patterns outside of base spans, about once a task.
+
+    Of values without any shape, a task lists ``most_plain`` for a pattern; a
+    row of kind -2 without a value says that there are more.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(_filters(patterns))
+    schema = pa.schema([("pattern", pa.string()), ("value", pa.string()), ("kind", pa.int32()), ("shapes", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, str]] = set()
+        plain: dict[str, int] = {}
+        for batch in batches:
+            rows = []
+            for text in batch.column(1):
+                for _, kind, _, value, looks, around in occurrences(text.as_py(), seeds=False, **sent.value)[1]:
+                    for pattern in around:
+                        listed = plain.get(pattern, 0)
+                        if (pattern, value) in seen or not looks and most_plain is not None and listed > most_plain:
+                            continue
+                        if not looks:
+                            plain[pattern] = listed + 1
+                        if not looks and listed == most_plain:
+                            rows.append((pattern, "", -2, 0))
+                        else:
+                            seen.add((pattern, value))
+                            rows.append((pattern, value, kind, looks))
+            if len(seen) + len(plain) > _MOST_KNOWN:
+                seen.clear()
+                plain.clear()
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * 4, schema)], schema=schema)
+
+    return texts.mapInArrow(run, "pattern string, value string, kind int, shapes int")
+
+
+def _graph(texts: DataFrame, new: DataFrame, links: DataFrame, confidence: float, label: str) -> DataFrame:
+    """(pattern, value, kind, shapes), each edge of the new patterns once, without patterns that can never be trusted.
+
+    Only instances that are seeds or have a shape can ever earn points, at most
+    one each. A pattern whose other values, as far as they are listed, are too
+    many for that is left out; of the rest those with more values than were
+    listed are read again, in full.
+    """
+    def graph(opened: DataFrame, patterns: DataFrame) -> DataFrame:
+        return opened.unionByName(links).join(patterns, "pattern", "left_semi").groupBy("pattern", "value").agg(
+            F.max("kind").alias("kind"), F.max("shapes").alias("shapes"))
+
+    listed = materialize(graph(_opened(texts, new, PLAIN_VALUES), new), f"{label}_listed")
+    earns = (F.col("kind") >= 0) | (F.col("shapes") != 0)
+    cut = listed.groupBy("pattern").agg(F.min("kind").alias("least"), F.count_if(earns).alias("able"), F.count_if(~earns & (F.col("kind") == -1)).alias("plain")).filter(
+        "least = -2").select("pattern", (F.col("able") >= (confidence - 1e-9) * (F.col("able") + F.col("plain"))).alias("open"))
+    cut = materialize(cut, f"{label}_cut")
+    whole = listed.join(cut, "pattern", "left_anti")
+    again = cut.filter("open").select("pattern")
+    return whole if again.isEmpty() else whole.unionByName(graph(_opened(texts, again), again))
+
+
 def _filters(patterns: DataFrame) -> dict[str, Marks]:
     # A pattern has three parts; the word just before the place is the one in front of the mark. Words may be "_" themselves.
     part = F.split("pattern", " ")
@@ -250,11 +311,11 @@ def _scored_patterns(texts: DataFrame, rounds: int, least_seeds: int, confidence
     instances. Another instance counts once trusted patterns hold it and it
     has a shape of the kind: with 1 - the product of (1 - score) over them,
     otherwise 0. The graph holds each edge once, however often a text repeats
-    it.
+    it, and no edges of patterns that can never be trusted (``_graph``).
     """
     links = materialize(_edges(texts), "pattern_seeds")
     supporters = links.select("pattern", F.col("kind").alias("of"), "value")
-    edges = held = scores = None
+    edges = opened = held = scores = None
     for turn in range(rounds):
         if turn:
             names = held.select("value").distinct()
@@ -264,12 +325,12 @@ def _scored_patterns(texts: DataFrame, rounds: int, least_seeds: int, confidence
         able = materialize(supporters.distinct().groupBy("pattern", "of").agg(F.count(F.lit(1)).alias("seeds")).filter(
             F.col("seeds") >= least_seeds), f"pattern_able_{turn}")
         patterns = able.select("pattern").distinct()
-        new = patterns if edges is None else patterns.join(edges.select("pattern").distinct(), "pattern", "left_anti")
+        new = patterns if opened is None else patterns.join(opened, "pattern", "left_anti")
         if not new.isEmpty():
             new = materialize(new, f"pattern_new_{turn}")
-            opened = _edges(texts, **_filters(new), seeds=False).unionByName(links).join(new, "pattern", "left_semi").groupBy("pattern", "value").agg(
-                F.max("kind").alias("kind"), F.max("shapes").alias("shapes"))
-            edges = materialize(opened if edges is None else edges.unionByName(opened), f"pattern_graph_{turn}")
+            opened = new if opened is None else opened.unionByName(new)
+            found = _graph(texts, new, links, confidence, f"pattern_{turn}")
+            edges = materialize(found if edges is None else edges.unionByName(found), f"pattern_graph_{turn}")
         elif edges is None:
             return able.select("pattern", F.col("of").alias("kind"), F.lit(0.0).alias("score"), "seeds")
         points = edges.filter("kind >= 0").select("pattern", F.col("kind").alias("of"), F.lit(1.0).alias("points"))
