@@ -354,3 +354,23 @@ def test_materialize_leaves_no_shuffle_files(spark):
     before = left()
     frame = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
     assert left() <= before and frame.count() == 7
+
+
+def test_blocks_of_documents_are_written_once_for_all_blocks_of_queries(spark, monkeypatch):
+    import numpy as np
+
+    from ticketlens.operators import scoreblocks as sb
+    docs = spark.createDataFrame([(i, f"pump{i % 7} valve{i % 5} gauge") for i in range(90)], "id int, text string")
+    postings, weights = ti.fit_index(docs, "id", "text")
+    asked = materialize(ti.known_terms(docs, "id", "text", weights))
+    groups = docs.select(F.col("id").alias("doc"), F.col("id").alias("group"))
+    written = {}
+    monkeypatch.setattr(sb, "materialize", lambda df, label="step": written.setdefault(label, []).append(materialize(df, label)) or written[label][-1])
+    for rows, postings_of_block, rounds in ((10, 10 ** 6, 9), (100, 10 ** 6, 1), (100, 100, 5)):
+        monkeypatch.setattr(sb, "BLOCK_ROWS", rows)
+        monkeypatch.setattr(sb, "BLOCK_POSTINGS", postings_of_block)
+        written.clear()
+        frames = list(sb.block_scores(asked, postings, groups.withColumnRenamed("doc", "query"), groups, 3, 0.1, 9, postings.count()))
+        assert len(frames) == rounds and len(written["doc_blocks"]) == 1
+        stored = written["doc_blocks"][0].collect()
+        assert sum(len(np.frombuffer(r["term"])) for r in stored) == postings.count() and sum(len(r["ids"]) for r in stored) == 90
