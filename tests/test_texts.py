@@ -374,3 +374,17 @@ def test_blocks_of_documents_are_written_once_for_all_blocks_of_queries(spark, m
         assert len(frames) == rounds and len(written["doc_blocks"]) == 1
         stored = written["doc_blocks"][0].collect()
         assert sum(len(np.frombuffer(r["term"])) for r in stored) == postings.count() and sum(len(r["ids"]) for r in stored) == 90
+
+
+def test_worksheet_scores_its_sample_alone(spark, monkeypatch, tmp_path):
+    from ticketlens.plans import load_queries
+    rows = [(i, f"pump{i} valve{i % 9} gauge{i % 11} leaks{i % 13} oil{i % 17}", "en", f"s{i % 2}", 40) for i in range(600)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    scored = []
+    whole = ti.similar_elsewhere
+    monkeypatch.setattr(ti, "similar_elsewhere", lambda asked, postings, own, groups, **options: scored.append(own.count()) or whole(asked, postings, own, groups, **options))
+    columns = {"result": "doc", "similarity": "score"}
+    sheet = load_queries()["review_worksheet"].run(spark, str(tmp_path)).withColumnsRenamed(columns).filter("rank > 0")
+    hits = load_queries()["similar_outside_group"].run(spark, str(tmp_path)).join(sheet.select("query").distinct(), "query", "left_semi")
+    assert scored[0] == 30 and scored[1] == 90
+    assert sorted(sheet.select("query", "doc", "rank", "score").collect()) == sorted(hits.select("query", "doc", "rank", "score").collect()) != []
