@@ -209,3 +209,53 @@ def test_column_profile_sorts_no_cells(spark):
     assert {r["column"]: (r.missing, r.distinct, r.formula_cells, r.date_min, r.date_max) for r in got.collect()} == {
         "k": (0, 2, 0, None, None), "t": (2, 1, 1, None, None), "d": (1, 2, 0, "2019-03-04 00:00:00", "2020-01-02 00:00:00")}
     assert qu.column_profile(rows.limit(0)).count() == 0
+
+
+def test_machines_of_all_sets_share_one_copy_of_the_terms(spark):
+    """Slopes of every set vanish at its weights, by dense algebra, also for a row whose terms were counted in two folds."""
+    import numpy as np
+
+    from ticketlens.operators import linear as ln
+    maker = np.random.default_rng(3)
+    sets, codes = [0, 1, 2, 3], 12
+    places = {n: np.full(codes, -1, np.int32) for n in sets}
+    idfs = {n: np.zeros(codes) for n in sets}
+    for n in sets:
+        own = np.flatnonzero(np.arange(codes) % 5 != n)
+        places[n][own], idfs[n][own] = np.arange(len(own)), 1.0 + maker.random(len(own))
+    terms = ln.Terms(places, idfs, np.repeat([0, 1], codes // 2))
+    rows = []
+    for i in range(60):
+        chosen = sorted(maker.choice(codes, maker.integers(0, 6), replace=False).tolist())
+        rows.append((i % 2, i % 3, chosen, maker.integers(1, 9, len(chosen)).tolist(), [i % 3] * len(chosen)))
+    rows[7] = (1, 1, [2, 2, 8], [3, 3, 1], [0, 1, 1])
+    counted = spark.createDataFrame(rows, "class_index int, fold int, codes array<int>, tf array<int>, folds array<int>")
+
+    packed = ln.packed_sets(counted, terms).collect()
+    plain = [row for i, row in enumerate(rows) if i != 7]
+    assert sum(len(r["codes"]) // 4 for r in packed if len(r["fits"]) == 3) == sum(len(r[2]) for r in plain)
+    weights = ln.fit_one_vs_rest(counted, terms, {n: [1.0, 2.0] for n in sets}, tol=1e-3)
+    for n in sets:
+        x, labels = [], []
+        for label, fold, row_codes, tf, folds in rows:
+            if fold == n - 1:
+                continue
+            dense = np.zeros((2, codes))
+            squares = np.zeros(2)
+            for code, times, entry_fold in zip(row_codes, tf, folds):
+                if entry_fold != n - 1 and places[n][code] >= 0:
+                    w = (1 + np.log(times)) * idfs[n][code]
+                    dense[code // 6, code] += w
+                    squares[code // 6] += w * w
+            dense /= np.sqrt(np.where(squares > 0, squares, 1.0))[:, None]
+            x.append(np.r_[dense.sum(axis=0)[places[n] >= 0], 1.0])
+            labels.append(label)
+        x = np.array(x)
+        for machine in (0, 1):
+            sign = np.where(np.array(labels) == machine, 1.0, -1.0)
+            cost = np.where(sign > 0, [1.0, 2.0][machine], 1.0)
+
+            def slope(w):
+                return w - 2 * x.T @ (cost * sign * np.maximum(0.0, 1 - sign * (x @ w)))
+
+            assert np.linalg.norm(slope(weights[n][machine])) < 1.001e-3 * np.linalg.norm(slope(np.zeros(x.shape[1])))
